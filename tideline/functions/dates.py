@@ -17,6 +17,9 @@ MICROS_PER_DAY = 86_400_000_000
 
 # String date layouts tried after Spark's own ISO parsing, in order.
 DEFAULT_DATE_FORMATS: tuple[str, ...] = ("yyyyMMdd", "ddMMMyyyy", "MM/dd/yyyy")
+# ISO text must open with a four-digit year; Spark alone would also read
+# "12345" as the year 12345.
+ISO_PREFIX = r"^[0-9]{4}($|[-T ])"
 
 
 def micros_between(start: ColumnOrName, end: ColumnOrName) -> Column:
@@ -60,9 +63,11 @@ def to_timestamp_lenient(
 
     ISO forms (``2020``, ``2020-01``, ``2020-01-01``, ``2020-01-01T10:00``) are
     tried first, then each of ``formats``.  Never raises under ANSI mode.
+    Parsing follows the session time zone (UTC under :mod:`tideline.session`).
     """
     s = F.trim(col_of(c).cast("string"))
-    tries = [F.try_to_timestamp(s)] + [F.try_to_timestamp(s, F.lit(f)) for f in formats]
+    iso = F.when(s.rlike(ISO_PREFIX), F.try_to_timestamp(s))
+    tries = [iso] + [F.try_to_timestamp(s, F.lit(f)) for f in formats]
     return F.coalesce(*tries)
 
 

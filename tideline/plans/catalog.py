@@ -26,11 +26,15 @@ from tideline.functions import (
     shift_days,
     to_number,
 )
+from tideline.operators import checks as V
 from tideline.operators import derive as D
+from tideline.operators import layers as U
 from tideline.operators import merge as M
 from tideline.operators import profile as P
+from tideline.operators import textjobs as X
 from tideline.operators import timeline as G
 from tideline.plans.bars import record_bars
+from tideline.plans.steps import apply_steps
 from tideline.roles import Roles
 from tideline.sources import load_table
 
@@ -228,6 +232,104 @@ def q_profile(spark, d):
     return P.profile(_t(spark, d, "customer"), exact=True)
 
 
+def typed_orders(spark, d):
+    """orders with text versions of a date and a price, for the type probes."""
+    o = _t(spark, d, "orders")
+    return o.select(
+        "o_orderkey", "o_orderdate",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date_text"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("order_date_compact"),
+        F.col("o_totalprice").cast("string").alias("price_text"),
+        "o_orderstatus",
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("d")).alias("key_label"),
+    )
+
+
+def q_axis_types(spark, d):
+    return V.column_types(typed_orders(spark, d))
+
+
+def q_validate_timeline(spark, d):
+    roles = Roles(subject="o_orderkey", x="order_date_text", bar="price_text")
+    return V.validate_all(typed_orders(spark, d), roles,
+                          graph_request="Please subset by region and add a title")
+
+
+def q_check_timeline(spark, d):
+    return G.check_timeline(item_bars(spark, d), item_category_markers(spark, d), "l_orderkey")
+
+
+# Terms present in the driver documents (licence lines, secrets, prose).
+DOCUMENT_TERMS = ("license", "token", "without", "password", "secret")
+
+
+def q_screen_terms(spark, d):
+    docs = X.screen_terms(_t(spark, d, "documents"), "text", DOCUMENT_TERMS)
+    return docs.select("doc_id", "issues", "valid")
+
+
+def q_screen_requests(spark, d):
+    conv = _t(spark, d, "conversations").filter(F.col("role") == "user")
+    out = X.screen_terms(conv, "text", X.PLOT_TERMS)
+    return out.select("conv_id", "turn", "issues", "valid")
+
+
+def q_classify_intent(spark, d):
+    docs = X.classify_intent(_t(spark, d, "documents"), "text")
+    return docs.select("doc_id", "intent")
+
+
+def q_extract_block(spark, d):
+    pages = X.extract_block(_t(spark, d, "pages"), "html", "<title>", "</title>",
+                            fallback_open=None, name="title")
+    return pages.select("page_id", "title")
+
+
+# Alphabetic URL tokens: host labels, path segments and query keys.
+URL_TOKEN = r"[/.?&=]([A-Za-z][A-Za-z_-]*)"
+
+
+def q_audit_references(spark, d):
+    langs = _t(spark, d, "documents").select(F.col("lang").alias("name"))
+    return X.audit_references(_t(spark, d, "pages"), ["page_id"], "url", langs,
+                              pattern=URL_TOKEN)
+
+
+def q_conversation_log(spark, d):
+    return X.conversation_log(_t(spark, d, "conversations"))
+
+
+def _event_layers(spark, d, parity):
+    ev = _t(spark, d, "events").filter(F.dayofmonth("ts") % 2 == parity)
+    return ev.select(F.col("user_id").alias("plot_id"), F.col("event_type").alias("layer"))
+
+
+def layer_diff(spark, d):
+    return U.layer_changes(_event_layers(spark, d, 1), _event_layers(spark, d, 0))
+
+
+def q_layer_changes(spark, d):
+    return layer_diff(spark, d)
+
+
+def q_edit_contract(spark, d):
+    return U.check_edit_contract(layer_diff(spark, d))
+
+
+def q_apply_steps(spark, d):
+    steps = [
+        {"kind": "merge", "key": ITEM_KEY},
+        {"kind": "derive", "name": "ship_day",
+         "expr": "floor(timestampdiff(MICROSECOND, o_orderdate, l_shipdate) / 86400000000D) + 1"},
+        {"kind": "filter", "predicate": "ship_day > 0"},
+        {"kind": "drop_missing", "cols": ["o_orderpriority"]},
+    ]
+    result = apply_steps(_t(spark, d, "lineitem"), steps, subjects=_t(spark, d, "orders"),
+                         roles=Roles(subject="l_orderkey", x="ship_day", bar="ship_day"),
+                         strict=True)
+    return result.df
+
+
 QUERIES: dict[str, Query] = {
     "subject_bars": q_subject_bars,
     "merge_subjects": q_merge_subjects,
@@ -257,4 +359,16 @@ QUERIES: dict[str, Query] = {
     "distinct_values": q_distinct_values,
     "sample_values": q_sample_values,
     "profile": q_profile,
+    "axis_types": q_axis_types,
+    "validate_timeline": q_validate_timeline,
+    "check_timeline": q_check_timeline,
+    "screen_terms": q_screen_terms,
+    "screen_requests": q_screen_requests,
+    "classify_intent": q_classify_intent,
+    "extract_block": q_extract_block,
+    "audit_references": q_audit_references,
+    "conversation_log": q_conversation_log,
+    "layer_changes": q_layer_changes,
+    "edit_contract": q_edit_contract,
+    "apply_steps": q_apply_steps,
 }

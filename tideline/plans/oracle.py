@@ -54,6 +54,127 @@ ITEM_CATEGORY_MARKERS = (
     f"'l_returnflag' AS layer FROM {MERGED_ITEMS} WHERE l_returnflag IS NOT NULL)"
 )
 
+ISO_PREFIX = r"^[0-9]{4}($|[-T ])"
+
+
+def _to_timestamp(expr: str) -> str:
+    t = f"trim(CAST({expr} AS VARCHAR))"
+    return (
+        f"coalesce(CASE WHEN regexp_matches({t}, '{ISO_PREFIX}') THEN try_cast({t} AS TIMESTAMP) END, "
+        f"try_strptime({t}, '%Y%m%d'), try_strptime({t}, '%d%b%Y'), try_strptime({t}, '%m/%d/%Y'))"
+    )
+
+
+TYPED_ORDERS = (
+    "(SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS order_date_text, "
+    "strftime(o_orderdate, '%Y%m%d') AS order_date_compact, "
+    "CAST(o_totalprice AS VARCHAR) AS price_text, o_orderstatus, "
+    "CAST(o_orderkey AS VARCHAR) || 'd' AS key_label FROM orders)"
+)
+TYPED_ORDER_COLUMNS = [
+    ("o_orderkey", "numeric"), ("o_orderdate", "datetime"), ("order_date_text", None),
+    ("order_date_compact", None), ("price_text", None), ("o_orderstatus", None),
+    ("key_label", None),
+]
+
+
+def _probe(c: str, tag: str) -> str:
+    return (
+        f"count({c}) AS {tag}_n, count({_to_timestamp(c)}) AS {tag}_date, "
+        f"count({_to_number(c)}) AS {tag}_num"
+    )
+
+
+def _axis(tag: str) -> str:
+    return (
+        f"CASE WHEN {tag}_n = 0 THEN 'no_values' WHEN {tag}_date = {tag}_n THEN 'date_string' "
+        f"WHEN {tag}_num = {tag}_n THEN 'numeric_string' ELSE 'non_linear' END"
+    )
+
+
+def _bar(tag: str) -> str:
+    return f"CASE WHEN {tag}_num = {tag}_n THEN 'numeric' ELSE 'non_numeric' END"
+
+
+def _axis_types_sql() -> str:
+    probes = ", ".join(_probe(c, f"p{i}") for i, (c, fixed) in enumerate(TYPED_ORDER_COLUMNS)
+                       if fixed is None)
+    parts = []
+    for i, (c, fixed) in enumerate(TYPED_ORDER_COLUMNS):
+        if fixed:
+            parts.append(f"SELECT '{c}' AS column_name, '{fixed}' AS axis_type, '{fixed}' AS bar_type FROM p")
+        else:
+            parts.append(f"SELECT '{c}', {_axis(f'p{i}')}, {_bar(f'p{i}')} FROM p")
+    return f"WITH p AS (SELECT {probes} FROM {TYPED_ORDERS}) " + " UNION ALL ".join(parts)
+
+
+def _validate_sql() -> str:
+    x, b = "order_date_text", "price_text"
+    xt, bt = _axis("x"), _bar("b")
+    return (
+        f"WITH p AS (SELECT count(*) AS n_rows, {_probe(x, 'x')}, {_probe(b, 'b')} "
+        f"FROM {TYPED_ORDERS}), q AS (SELECT n_rows, {xt} AS xt, {bt} AS bt FROM p) "
+        "SELECT 'roles_specified' AS \"check\", true AS passed, 'ok' AS severity, "
+        "CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS message FROM q WHERE n_rows > 0 "
+        "UNION ALL SELECT 'roles_in_data', true, 'ok', NULL, NULL FROM q WHERE n_rows > 0 "
+        "UNION ALL SELECT 'x_axis_linear', xt IN ('datetime', 'numeric', 'date_string', 'numeric_string'), "
+        "CASE WHEN xt NOT IN ('datetime', 'numeric', 'date_string', 'numeric_string') THEN 'error' "
+        "WHEN xt IN ('date_string', 'numeric_string') THEN 'warning' ELSE 'ok' END, xt, "
+        f"CASE WHEN xt NOT IN ('datetime', 'numeric', 'date_string', 'numeric_string') "
+        f"THEN 'X-axis ''{x}'' must be numeric or date (linear values).' "
+        f"WHEN xt IN ('date_string', 'numeric_string') THEN 'X-axis ''{x}'' will be converted (' || xt || ').' END "
+        "FROM q WHERE n_rows > 0 "
+        "UNION ALL SELECT 'bar_numeric', bt IN ('datetime', 'numeric'), "
+        "CASE WHEN bt NOT IN ('datetime', 'numeric') THEN 'error' WHEN bt = 'datetime' THEN 'warning' "
+        f"ELSE 'ok' END, bt, CASE WHEN bt NOT IN ('datetime', 'numeric') THEN "
+        f"'HBAR ''{b}'' must be numeric for duration calculation.' WHEN bt = 'datetime' THEN "
+        f"'HBAR ''{b}'' is datetime - will convert to days.' END FROM q WHERE n_rows > 0 "
+        "UNION ALL SELECT 'graph_request_screen', false, 'error', 'subset by', "
+        "'Graph customization contains data elements: subset by' FROM q WHERE n_rows > 0 "
+        "UNION ALL SELECT 'roles_in_data', false, 'error', 'No data', 'No data' FROM q WHERE n_rows = 0"
+    )
+
+
+DOCUMENT_TERMS = ("license", "token", "without", "password", "secret")
+PLOT_TERMS = (
+    "plotly title", "chart title", "plot title", "figure title",
+    "axis label font", "legend font", "text font",
+    "plot background", "chart background", "figure background",
+    "plot layout", "chart layout", "figure layout",
+    "hover tooltip", "plot annotation",
+)
+REMOVE_INTENT = (
+    r"\b(remov\w*|delet\w*|dropp?\w*|get\s+rid\s+of|took?\s+off|hidd?\w*|exclud\w*|without)\b"
+)
+ADD_INTENT = r"\b(add\w*|overlay\w*|includ\w*|show\w*|plott?\w*|putt?\w*|introduc\w*|display\w*)\b"
+URL_TOKEN = r"[/.?&=]([A-Za-z][A-Za-z_-]*)"
+NON_COLUMN_WORDS = (
+    r"^(markers?|lines?|rgba?|rgb|#[0-9a-fA-F]+|circle|square|diamond|"
+    r"triangle.*|star|cross|outside|inside|auto|top|bottom|left|right|"
+    r"linear|category|date|log|h|v|overlay|group|stack|text|none|"
+    r"solid|dash|dot|longdash|dashdot|longdashdot)$"
+)
+
+
+def _screen(text: str, terms) -> str:
+    arr = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    return f"list_filter({arr}, lambda t: coalesce(contains(lower({text}), t), false))"
+
+
+def _layer_set(parity: int) -> str:
+    return (
+        "(SELECT DISTINCT user_id AS plot_id, event_type AS layer FROM events "
+        f"WHERE day(ts) % 2 = {parity})"
+    )
+
+
+LAYER_CHANGES = (
+    "(SELECT coalesce(b.plot_id, a.plot_id) AS plot_id, coalesce(b.layer, a.layer) AS layer, "
+    "CASE WHEN b.plot_id IS NULL THEN 'added' WHEN a.plot_id IS NULL THEN 'removed' "
+    f"ELSE 'kept' END AS status FROM {_layer_set(1)} b FULL OUTER JOIN {_layer_set(0)} a "
+    "ON b.plot_id = a.plot_id AND b.layer = a.layer)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "subject_bars": f"SELECT * FROM {ITEM_BARS}",
     "merge_subjects": (
@@ -196,4 +317,64 @@ ORACLE_SQL: dict[str, str] = {
             ("c_acctbal", "double"), ("c_mktsegment", "string"),
         ])
     ),
+    "axis_types": _axis_types_sql(),
+    "validate_timeline": _validate_sql(),
+    "check_timeline": (
+        f"WITH b AS {ITEM_BARS}, m AS {ITEM_CATEGORY_MARKERS}, "
+        "c AS (SELECT (SELECT count(*) FROM (SELECT l_orderkey FROM b GROUP BY l_orderkey "
+        "HAVING count(*) > 1)) AS dup, (SELECT count(*) FROM b) AS n_bars, "
+        "(SELECT count(*) FROM m WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = m.l_orderkey)) "
+        "AS orphans) "
+        "SELECT 'one bar per subject' AS \"check\", dup = 0 AS passed, "
+        "CAST(dup AS VARCHAR) || ' subjects with several bars' AS detail FROM c "
+        "UNION ALL SELECT 'bars present', n_bars > 0, CAST(n_bars AS VARCHAR) || ' bars' FROM c "
+        "UNION ALL SELECT 'markers reference bar subjects', orphans = 0, "
+        "CAST(orphans AS VARCHAR) || ' orphan markers' FROM c"
+    ),
+    "screen_terms": (
+        f"SELECT doc_id, {_screen('text', DOCUMENT_TERMS)} AS issues, "
+        f"len({_screen('text', DOCUMENT_TERMS)}) = 0 AS valid FROM documents"
+    ),
+    "screen_requests": (
+        f"SELECT conv_id, turn, {_screen('text', PLOT_TERMS)} AS issues, "
+        f"len({_screen('text', PLOT_TERMS)}) = 0 AS valid FROM conversations WHERE role = 'user'"
+    ),
+    "classify_intent": (
+        "SELECT doc_id, CASE WHEN r AND a THEN 'both' WHEN r THEN 'remove' WHEN a THEN 'add' "
+        "ELSE 'none' END AS intent FROM (SELECT doc_id, "
+        f"regexp_matches(coalesce(text, ''), '(?i){REMOVE_INTENT}') AS r, "
+        f"regexp_matches(coalesce(text, ''), '(?i){ADD_INTENT}') AS a FROM documents)"
+    ),
+    "extract_block": (
+        "SELECT page_id, CASE WHEN instr(html, '<title>') > 0 THEN "
+        "CASE WHEN instr(substring(html, instr(html, '<title>') + 7), '</title>') > 1 THEN "
+        "regexp_replace(substring(html, instr(html, '<title>') + 7, "
+        "instr(substring(html, instr(html, '<title>') + 7), '</title>') - 1), '^\\s+|\\s+$', '', 'g') "
+        "ELSE html END ELSE html END AS title FROM pages"
+    ),
+    "audit_references": (
+        "WITH r AS (SELECT DISTINCT page_id, ref FROM (SELECT page_id, "
+        f"unnest(regexp_extract_all(url, '{URL_TOKEN}', 1)) AS ref FROM pages)) "
+        "SELECT page_id, ref FROM r WHERE length(ref) >= 2 AND regexp_matches(ref, '^\\p{L}') "
+        f"AND NOT contains(ref, ' ') AND NOT regexp_matches(ref, '(?i){NON_COLUMN_WORDS}') "
+        "AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = r.ref)"
+    ),
+    "conversation_log": (
+        "SELECT c.conv_id, c.turn, c.role, CASE WHEN length(c.text) > 100 "
+        "THEN left(c.text, 100) || '...' ELSE c.text END AS snippet, g.n_messages, "
+        "g.first_turn, g.last_turn FROM conversations c JOIN (SELECT conv_id, "
+        "count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn "
+        "FROM conversations GROUP BY conv_id) g ON c.conv_id = g.conv_id"
+    ),
+    "layer_changes": f"SELECT * FROM {LAYER_CHANGES}",
+    "edit_contract": (
+        "SELECT plot_id, n_added, n_removed, n_added = 1 AND n_removed = 0 AS add_ok, "
+        "n_removed = 1 AND n_added = 0 AS remove_ok FROM (SELECT plot_id, "
+        "count(*) FILTER (WHERE status = 'added') AS n_added, "
+        f"count(*) FILTER (WHERE status = 'removed') AS n_removed FROM {LAYER_CHANGES} "
+        "GROUP BY plot_id)"
+    ),
+    "apply_steps": (
+        f"SELECT * FROM {MERGED_ITEMS} WHERE ship_day > 0 AND o_orderpriority IS NOT NULL"
+    ),
 }
