@@ -193,7 +193,7 @@ def validate_all(
 def check_list(report: DataFrame) -> DataFrame:
     """V6: the per-check view (label, passed, detail) of a :func:`validate_all` report."""
     label = F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for kv in CHECK_LABELS.items() for x in kv]),
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in CHECK_LABELS.items() for x in kv]),
                      F.col("check")),
         F.col("check"),
     )

@@ -142,8 +142,8 @@ def parse_status(
     """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"),
                      lambda s: _strip(s) != "")
-    first = _strip(F.regexp_replace(_strip(F.element_at(lines, 1)), r"^#+", ""))
-    second = _strip(F.regexp_replace(_strip(F.element_at(lines, 2)), r"^#+", ""))
+    first = _strip(F.regexp_replace(_strip(F.try_element_at(lines, F.lit(1))), r"^#+", ""))
+    second = _strip(F.regexp_replace(_strip(F.try_element_at(lines, F.lit(2))), r"^#+", ""))
     matched = F.lit(None).cast("string")
     for key in reversed(list(keys)):
         matched = F.when(F.upper(first).startswith(key), F.lit(key)).otherwise(matched)
