@@ -17,6 +17,13 @@ MICROS_PER_DAY = 86_400_000_000
 
 # String date layouts tried after Spark's own ISO parsing, in order.
 DEFAULT_DATE_FORMATS: tuple[str, ...] = ("yyyyMMdd", "ddMMMyyyy", "MM/dd/yyyy")
+# The text shape each layout can parse.  A parse attempt that fails costs an
+# exception inside Spark, so text of another shape is not tried at all.
+FORMAT_SHAPES: dict[str, str] = {
+    "yyyyMMdd": r"^[0-9]{8}$",
+    "ddMMMyyyy": r"^[0-9]{2}[A-Za-z]{3}[0-9]{4}$",
+    "MM/dd/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+}
 # ISO text must open with a four-digit year; Spark alone would also read
 # "12345" as the year 12345.
 ISO_PREFIX = r"^[0-9]{4}($|[-T ])"
@@ -67,7 +74,11 @@ def to_timestamp_lenient(
     """
     s = F.trim(col_of(c).cast("string"))
     iso = F.when(s.rlike(ISO_PREFIX), F.try_to_timestamp(s))
-    tries = [iso] + [F.try_to_timestamp(s, F.lit(f)) for f in formats]
+    tries = [iso]
+    for f in formats:
+        parsed = F.try_to_timestamp(s, F.lit(f))
+        shape = FORMAT_SHAPES.get(f)
+        tries.append(F.when(s.rlike(shape), parsed) if shape else parsed)
     return F.coalesce(*tries)
 
 

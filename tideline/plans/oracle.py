@@ -61,7 +61,9 @@ def _to_timestamp(expr: str) -> str:
     t = f"trim(CAST({expr} AS VARCHAR))"
     return (
         f"coalesce(CASE WHEN regexp_matches({t}, '{ISO_PREFIX}') THEN try_cast({t} AS TIMESTAMP) END, "
-        f"try_strptime({t}, '%Y%m%d'), try_strptime({t}, '%d%b%Y'), try_strptime({t}, '%m/%d/%Y'))"
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{8}}$') THEN try_strptime({t}, '%Y%m%d') END, "
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{2}}[A-Za-z]{{3}}[0-9]{{4}}$') THEN try_strptime({t}, '%d%b%Y') END, "
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN try_strptime({t}, '%m/%d/%Y') END)"
     )
 
 
