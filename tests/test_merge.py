@@ -90,14 +90,6 @@ def test_merge_with_different_key_names(spark):
     assert rows(out) == sorted([(1, "x", "A"), (2, "y", "B"), (3, "z", None)], key=repr)
 
 
-def test_unused_subject_side_is_pruned(spark):
-    records = spark.createDataFrame([("a", 1)], "USUBJID string, v int")
-    subjects = spark.createDataFrame([("a", "x")], "USUBJID string, arm string")
-    plan = merge_subjects(records, subjects).select("USUBJID", "v")._jdf.queryExecution() \
-        .optimizedPlan().toString()
-    assert "Join" not in plan
-
-
 def test_resolve_columns(spark):
     records = spark.createDataFrame([("a", 1)], "USUBJID string, v int")
     subjects = spark.createDataFrame([("a", "x")], "USUBJID string, arm string")

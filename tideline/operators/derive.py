@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import day_diff
+from tideline.operators.skew import join_one_per_key
 from tideline.roles import SUBJECT_ID_COLUMNS, Roles
 
 
@@ -93,10 +94,15 @@ def _subject_keys(subjects: DataFrame | Sequence, key: str, spark_df: DataFrame)
 def keep_subjects(
     df: DataFrame, subjects: DataFrame | Sequence, key: str, subjects_key: str | None = None
 ) -> DataFrame:
-    """rows whose subject is in ``subjects`` (a table or a list): semi join."""
+    """rows whose subject is in ``subjects`` (a table or a list): semi join.
+
+    The subject list is de-duplicated first (partial aggregation), so a
+    subject listed many times is one build row; hot subjects on ``df`` are
+    salted (:mod:`tideline.operators.skew`).
+    """
     s = _subject_keys(subjects, key, df)
-    sk = subjects_key or key
-    return df.join(s.select(F.col(sk).alias("_keep_key")), F.col(key) == F.col("_keep_key"), "left_semi")
+    keys = s.select(F.col(subjects_key or key).alias("_keep_key")).distinct()
+    return join_one_per_key(df, keys, key, "_keep_key", "left_semi")
 
 
 def exclude_subjects(
@@ -107,8 +113,8 @@ def exclude_subjects(
     A NULL subject is never excluded (it equals no listed subject).
     """
     s = _subject_keys(subjects, key, df)
-    sk = subjects_key or key
-    return df.join(s.select(F.col(sk).alias("_drop_key")), F.col(key) == F.col("_drop_key"), "left_anti")
+    keys = s.select(F.col(subjects_key or key).alias("_drop_key")).distinct()
+    return join_one_per_key(df, keys, key, "_drop_key", "left_anti")
 
 
 class InvalidSubjectRole(ValueError):
@@ -130,7 +136,7 @@ def per_subject(
 
     ``method='join'`` (default) aggregates first (partial aggregation, so a hot
     subject is folded before the exchange) and joins the one-row-per-subject
-    result back null-safely; AQE can split a skewed subject on the join.
+    result back null-safely, salting hot subjects over several tasks.
     ``method='window'`` uses ``agg OVER (PARTITION BY key)``, which sends all
     rows of one subject to one task.
     """
@@ -139,7 +145,7 @@ def per_subject(
         return df.withColumns({n: a.over(w) for n, a in aggs.items()})
     per_key = df.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
     per_key = per_key.withColumnRenamed(key, "_ps_key")
-    out = df.join(per_key, df[key].eqNullSafe(per_key["_ps_key"]), "left")
+    out = join_one_per_key(df, per_key, key, "_ps_key", "left", null_safe=True)
     return out.drop("_ps_key")
 
 

@@ -1,15 +1,17 @@
 """De-duplication and the subject merge.
 
 Plan shape.  :func:`first_per_key` is an aggregate (``min`` of a struct), so
-Spark runs it as partial + final hash aggregation: every map task folds its
+Spark runs it as partial + final aggregation (sort-based when the struct
+carries strings, spilling like any sort): every map task folds its
 rows to one per key before the exchange, and a key that owns a third of the
 table costs one row per task, not a third of the table in one task.  The merge
-is a left equi-join of the records onto that one-row-per-key table.  The join
-strategy is left to Spark: the subject side is broadcast only when its size is
-known to be under ``spark.sql.autoBroadcastJoinThreshold`` (from statistics, or
-at run time from AQE's measured shuffle size); above it a sort-merge join runs,
-and AQE splits a skewed records partition into several tasks, each joined
-against the single matching subject row.
+is a left equi-join of the records onto that one-row-per-key table, through
+:func:`tideline.operators.skew.join_one_per_key`: subjects with very many
+records are salted over several tasks (AQE's own skew split cannot reach a
+join input that comes out of an aggregate).  The join strategy is otherwise
+left to Spark: the subject side is broadcast only when its size is known to be
+under ``spark.sql.autoBroadcastJoinThreshold`` (from statistics, or at run
+time from AQE's measured shuffle size); above it a sort-merge join runs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.operators.skew import join_one_per_key
+
 OrderItem = str | tuple[str, str]
 
 
@@ -59,8 +63,7 @@ def first_per_key(
 
     ``method='aggregate'`` (default for ascending orders) runs
     ``min(struct(order IS NULL, order, rest))`` per key: partial aggregation
-    before the exchange, and Catalyst can drop the whole step when a later
-    join does not use the de-duplicated side.  ``method='window'`` uses
+    before the exchange.  ``method='window'`` uses
     ``row_number() = 1``; it is chosen automatically for descending orders and
     for columns of map type, which have no ordering.
     """
@@ -134,6 +137,7 @@ def merge_subjects(
     null_keys: str = "no_match",
     suffix: str = "_subj",
     dedup: bool = True,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """J1 (+J4): left-join one row per subject onto every record.
 
@@ -144,6 +148,8 @@ def merge_subjects(
     so the merge never multiplies records.  Subject columns whose names clash
     with record columns get ``suffix``.  ``null_keys='match'`` pairs NULL keys
     with each other, as pandas does; the default leaves them unmatched.
+    ``hot_rows`` overrides the hot-subject threshold (``0`` disables
+    splitting, for records that already hold one row per subject).
     """
     rkey, skey = _keys(key)
     wanted = list(cols) if cols is not None else [c for c in subjects.columns if c != skey]
@@ -151,16 +157,11 @@ def merge_subjects(
     if dedup:
         subj = first_per_key(subj, skey, order)
     renames = clash_renames(records.columns, subj.columns, skey, suffix)
-    if renames:
-        subj = subj.withColumnsRenamed(renames)
-    if rkey == skey and null_keys != "match":
-        return records.join(subj, on=rkey, how="left")
-    right_key = "_merge_key" if skey in records.columns else skey
-    if right_key != skey:
-        subj = subj.withColumnRenamed(skey, right_key)
-    left_k, right_k = records[rkey], subj[right_key]
-    cond = left_k.eqNullSafe(right_k) if null_keys == "match" else left_k == right_k
-    return records.join(subj, on=cond, how="left").drop(subj[right_key])
+    renames[skey] = "_merge_key"
+    subj = subj.withColumnsRenamed(renames)
+    out = join_one_per_key(records, subj, rkey, "_merge_key", "left",
+                           null_safe=null_keys == "match", hot_rows=hot_rows)
+    return out.drop("_merge_key")
 
 
 def merge_with_counts(
@@ -218,4 +219,4 @@ def orphan_markers(markers: DataFrame, bars: DataFrame, key: str | tuple[str, st
     """Markers whose subject has no bar (must be empty for a sound timeline)."""
     mkey, bkey = _keys(key)
     bar_keys = bars.select(F.col(bkey).alias("_bar_key"))
-    return markers.join(bar_keys, markers[mkey] == bar_keys["_bar_key"], "left_anti")
+    return join_one_per_key(markers, bar_keys, mkey, "_bar_key", "left_anti")

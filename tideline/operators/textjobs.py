@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.common import ColumnOrName, col_of
+from tideline.operators.skew import join_one_per_key
 
 # Terms that mark a plot request as containing data-step work.
 DATA_TERMS: tuple[str, ...] = (
@@ -245,7 +246,10 @@ def conversation_log(
         F.min(turn).alias("first_turn"),
         F.max(turn).alias("last_turn"),
     )
-    return df.select(conv, turn, role, snippet(text).alias("snippet")).join(counts, conv, "left")
+    msgs = df.select(conv, turn, role, snippet(text).alias("snippet"))
+    counts = counts.withColumnRenamed(conv, "_conv_key")
+    out = join_one_per_key(msgs, counts, conv, "_conv_key", "left", null_safe=True)
+    return out.drop("_conv_key")
 
 
 # ------------------------------------------------------------------- X7 lineage
