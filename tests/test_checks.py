@@ -108,3 +108,10 @@ def test_validation_report(spark):
     assert rep["derived"] == ["x2"] and rep["formulas"] == {"x2": "x * 2"}
     assert rep["first_rows"] == ['{"s":"a","x":1,"b":3.0,"x2":2}', '{"s":"a","x":3,"x2":6}']
     assert rep["dtypes"]["x2"] == "int" and rep["roles"]["bar"] == "b"
+
+
+def test_single_column_type_wrappers(spark):
+    from tideline.operators.checks import axis_type, bar_type
+    df = spark.createDataFrame([("2020-01-01", "5")], "x string, b string")
+    assert axis_type(df, "x").first()["axis_type"] == "date_string"
+    assert bar_type(df, "b").first()["bar_type"] == "numeric"

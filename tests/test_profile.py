@@ -82,3 +82,14 @@ def test_days_since_min(spark):
 def test_preview(spark):
     df = spark.range(0, 100)
     assert [r[0] for r in preview(df, 3, [F.col("id").desc()]).collect()] == [99, 98, 97]
+
+
+def test_bar_to_days(spark):
+    import datetime as dt
+    from tideline.operators.derive import bar_to_days
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), dt.datetime(2020, 1, 11, 5))],
+                               "start date, endt timestamp_ntz")
+    out = bar_to_days(df, "endt", "start", inclusive=True)
+    assert out.first()["endt"] == 11
+    out = bar_to_days(df, "endt", F.lit(dt.datetime(2020, 1, 10)), name="d")
+    assert out.first()["d"] == 1

@@ -117,6 +117,16 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return row.select(F.inline(entries))
 
 
+def axis_type(df: DataFrame, x: str) -> DataFrame:
+    """V3 for one column: one row ``(column_name, axis_type)``."""
+    return column_types(df, [x]).select("column_name", "axis_type")
+
+
+def bar_type(df: DataFrame, bar: str) -> DataFrame:
+    """V4 for one column: one row ``(column_name, bar_type)``."""
+    return column_types(df, [bar]).select("column_name", "bar_type")
+
+
 def _rows(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 

@@ -167,6 +167,14 @@ def days_since_min(
     return out.withColumn(name, day_diff(F.col(tmp), F.col(col), inclusive=inclusive)).drop(tmp)
 
 
-def column_min(df: DataFrame, col: str) -> Column:
-    """A5: the smallest value of ``col`` as a scalar-subquery Column."""
-    return df.agg(F.min(col)).scalar()
+def bar_to_days(
+    df: DataFrame, bar: str, reference: str | Column, inclusive: bool = False,
+    name: str | None = None,
+) -> DataFrame:
+    """Turn a datetime bar into whole days from ``reference``.
+
+    ``reference`` is a column (e.g. the subject's start date) or a Column such
+    as ``F.lit(date)``; the result replaces ``bar`` unless ``name`` is given.
+    """
+    ref = F.col(reference) if isinstance(reference, str) else reference
+    return df.withColumn(name or bar, day_diff(ref, F.col(bar), inclusive=inclusive))

@@ -217,9 +217,13 @@ def audit_references(
     catalog_col: str = "name", pattern: str = BRACKET_REF,
     ignore: str | None = NON_COLUMN_WORDS,
 ) -> DataFrame:
-    """References that are not in the catalogue of known names."""
+    """References that are not in the catalogue of known names.
+
+    The catalogue is de-duplicated first (partial aggregation), so a name
+    repeated across a large table is one build row of the anti join.
+    """
     refs = references(df, id_cols, text, pattern, ignore)
-    known = catalog.select(F.col(catalog_col).alias("_known"))
+    known = catalog.select(F.col(catalog_col).alias("_known")).distinct()
     return refs.join(known, refs["ref"] == known["_known"], "left_anti")
 
 
