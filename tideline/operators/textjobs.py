@@ -71,13 +71,14 @@ def _strip(c: Column) -> Column:
 # ------------------------------------------------------------------- X1 screen
 
 def screen_expr(text: ColumnOrName, terms: Sequence[str]) -> Column:
-    """Terms (in list order) found case-insensitively in ``text``; [] for NULL/blank."""
+    """Terms (in list order) found case-insensitively in ``text``; [] for NULL/blank.
+
+    Written without a lambda so that codegen's common-subexpression
+    elimination lower-cases each text once, not once per term.
+    """
     lowered = F.lower(col_of(text))
-    found = F.filter(
-        F.array(*[F.lit(t.lower()) for t in terms]),
-        lambda t: F.coalesce(F.contains(lowered, t), F.lit(False)),
-    )
-    return found
+    hits = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t.lower())) for t in terms]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def screen_terms(
