@@ -93,3 +93,15 @@ def test_bar_to_days(spark):
     assert out.first()["endt"] == 11
     out = bar_to_days(df, "endt", F.lit(dt.datetime(2020, 1, 10)), name="d")
     assert out.first()["d"] == 1
+
+
+def test_plot_columns_without_merged_and_lineage_frame(spark):
+    from tideline.operators.derive import derive, lineage_frame
+    base = spark.createDataFrame([("a", 1, 2.0)], "USUBJID string, ADY int, DUR double")
+    merged = base.withColumn("TRT01P", F.lit("X"))
+    df, lin = derive(merged, {"NEW": "ADY + 1"}, request="add one")
+    roles = Roles(subject="USUBJID", x="ADY", bar="DUR")
+    out = select_plot_columns(df, roles, base.columns, include_merged=False, merged_cols=["TRT01P"])
+    assert out.columns == ["USUBJID", "ADY", "DUR", "NEW"]
+    r = lineage_frame(spark, lin, 1, 1).first()
+    assert (r["request"], r["derived"], r["formulas"]) == ("add one", ["NEW"], {"NEW": "ADY + 1"})

@@ -56,3 +56,16 @@ def test_write_result_and_report(spark):
     write_report(rep, f"{out}/rep")
     write_report(rep, f"{out}/rep")
     assert spark.read.json(f"{out}/rep").count() == 2 * rep.count()
+
+
+def test_observe_shape_and_register(spark):
+    from tideline.sources import observe_shape, register_datasets
+    orders = load_table(spark, SMOKE_DIR, "orders")
+    df, obs, ncols = observe_shape(orders)
+    df.write.format("noop").mode("overwrite").save()
+    assert (obs.get["rows"], ncols) == (orders.count(), 6)
+    d = tempfile.mkdtemp(prefix="tideline-reg-")
+    with open(os.path.join(d, "ADSL.csv"), "w") as f:
+        f.write("USUBJID,AGE\nS1,40\n")
+    register_datasets(spark, d, ["ADSL"])
+    assert spark.sql("SELECT AGE FROM ADSL").first()[0] == 40

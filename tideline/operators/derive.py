@@ -22,21 +22,29 @@ def derived_columns(df: DataFrame, base_cols: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in base]
 
 
-def plot_columns(df: DataFrame, roles: Roles, base_cols: Sequence[str]) -> list[str]:
+def plot_columns(
+    df: DataFrame, roles: Roles, base_cols: Sequence[str],
+    include_merged: bool = True, merged_cols: Sequence[str] = (),
+) -> list[str]:
     """Column order of the plot table: subject, x, bar, keep, then derived.
 
-    Repeats are dropped keeping the first position; merged subject columns count
-    as derived because they are not in the records table.
+    Repeats are dropped keeping the first position.  Merged subject columns
+    count as derived because they are not in the records table; with
+    ``include_merged=False`` the ``merged_cols`` are left out unless kept.
     """
     chosen = list(dict.fromkeys([roles.subject, roles.x, roles.bar, *roles.keep]))
     chosen = [c for c in chosen if c]
-    extra = [c for c in derived_columns(df, base_cols) if c not in chosen]
+    skip = set(chosen) | (set() if include_merged else set(merged_cols))
+    extra = [c for c in derived_columns(df, base_cols) if c not in skip]
     return chosen + extra
 
 
-def select_plot_columns(df: DataFrame, roles: Roles, base_cols: Sequence[str]) -> DataFrame:
+def select_plot_columns(
+    df: DataFrame, roles: Roles, base_cols: Sequence[str],
+    include_merged: bool = True, merged_cols: Sequence[str] = (),
+) -> DataFrame:
     """Project to :func:`plot_columns`; rows are never dropped."""
-    return df.select(*plot_columns(df, roles, base_cols))
+    return df.select(*plot_columns(df, roles, base_cols, include_merged, merged_cols))
 
 
 def addable_columns(df: DataFrame, roles: Roles) -> list[str]:
@@ -63,6 +71,20 @@ def derive(
     return df.withColumns(cols), lineage
 
 
+LINEAGE_SCHEMA = (
+    "request string, derived array<string>, formulas map<string,string>, "
+    "rows_before bigint, rows_after bigint"
+)
+
+
+def lineage_frame(spark, lineage: Mapping, rows_before: int | None = None,
+                  rows_after: int | None = None) -> DataFrame:
+    """A lineage record as a one-row typed DataFrame (for a lineage table)."""
+    row = (lineage.get("request", ""), list(lineage.get("derived", [])),
+           dict(lineage.get("formulas", {})), rows_before, rows_after)
+    return spark.createDataFrame([row], LINEAGE_SCHEMA)
+
+
 def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Replace NULLs per column."""
     return df.na.fill(dict(values))

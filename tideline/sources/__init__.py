@@ -6,7 +6,9 @@ from tideline.sources.datasets import (
     load_dataset,
     load_table,
     normalize_nan,
+    observe_shape,
     read_table,
+    register_datasets,
     require_nonempty,
     shape,
     write_report,
@@ -21,7 +23,9 @@ __all__ = [
     "load_dataset",
     "load_table",
     "normalize_nan",
+    "observe_shape",
     "read_table",
+    "register_datasets",
     "require_nonempty",
     "shape",
     "write_report",

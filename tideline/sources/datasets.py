@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,6 +114,19 @@ def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return read_table(spark, f"{base.rstrip('/')}/{name}.parquet", fmt="parquet")
 
 
+def register_datasets(
+    spark: SparkSession, base: str, names: list[str] | None = None,
+    datasets: Mapping[str, DatasetSpec] = CLINICAL_DATASETS, **read_kw,
+) -> dict[str, DataFrame]:
+    """Load named datasets and register each as a temp view of the same name."""
+    out = {}
+    for name in names or list(datasets):
+        df = load_dataset(spark, name, base, datasets=datasets, **read_kw)
+        df.createOrReplaceTempView(name)
+        out[name] = df
+    return out
+
+
 def list_datasets(
     spark: SparkSession, datasets: Mapping[str, DatasetSpec] = CLINICAL_DATASETS
 ) -> DataFrame:
@@ -136,6 +149,16 @@ def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
+def observe_shape(df: DataFrame, name: str = "shape") -> tuple[DataFrame, Observation, int]:
+    """S4 without an extra job: the row count rides on the next action.
+
+    Returns the observed DataFrame, the Observation (``obs.get["rows"]`` after
+    an action) and the column count.
+    """
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs, len(df.columns)
+
+
 def write_result(df: DataFrame, path: str, mode: str = "overwrite",
                  partition_by: list[str] | None = None) -> None:
     """Persist a processed table as Parquet for the next step."""
