@@ -119,3 +119,13 @@ def test_check_timeline(spark):
     dup = bars.unionByName(bars)
     got = {r["check"]: r["passed"] for r in check_timeline(dup, None, "s").collect()}
     assert got["one bar per subject"] is False
+
+
+def test_merged_items_scan_reads_named_columns_only(spark):
+    from tideline.plans.catalog import q_bar_label
+    df = q_bar_label(spark, SMOKE_DIR)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_shipdate:timestamp_ntz>" in plan
+    assert ("ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string>"
+            in plan)

@@ -143,7 +143,9 @@ def merge_subjects(
 
     ``key`` is one name present on both sides or ``(records_key, subjects_key)``;
     the result keeps the records' key column only.  ``cols`` limits the subject
-    columns brought over (all by default; Catalyst prunes unused ones anyway).
+    columns brought over (all by default).  Name the columns you need: the
+    de-duplication breaks ties on every carried column, so Catalyst cannot
+    prune carried columns from the subject scan even when nothing uses them.
     The subject table is first reduced to one row per key (W1, by ``order``),
     so the merge never multiplies records.  Subject columns whose names clash
     with record columns get ``suffix``.  ``null_keys='match'`` pairs NULL keys
