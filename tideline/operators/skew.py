@@ -19,8 +19,8 @@ subject owning a third of all records would be joined in one task.
    ``(key, salt)``.
 
 Step 1 runs as its own small job when the join is built (it reads only the
-key column, and is skipped when the input has fewer rows than the threshold,
-checked with a limit that stops early): when no key reaches the threshold, the
+key column, and is skipped when a parallel count finds fewer rows than the
+threshold): when no key reaches the threshold, the
 plain join is planned,
 with full column pruning and Spark's own broadcast/sort-merge choice.  The
 salted route hashes whole rows, so it reads every column of the many side (or
@@ -100,9 +100,10 @@ def join_one_per_key(
     plain_cond = many[many_key].eqNullSafe(one[one_key]) if null_safe else many[many_key] == one[one_key]
     if hot_rows <= 0 or many.isStreaming:
         return many.join(one, plain_cond, how)
-    # fewer rows than the threshold: no key can be hot.  The limit stops the
-    # scan as soon as the threshold is reached, so this is cheap either way.
-    if many.limit(hot_rows).count() < hot_rows:
+    # fewer rows than the threshold: no key can be hot.  A plain count is
+    # fully parallel and, on a Parquet scan, reads footers only (a limit
+    # before the count would funnel rows into a single partition).
+    if many.count() < hot_rows:
         return many.join(one, plain_cond, how)
     hot_table = hot_keys(many, many_key, hot_rows)
     if hot_table.isEmpty():
