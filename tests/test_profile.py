@@ -105,3 +105,9 @@ def test_plot_columns_without_merged_and_lineage_frame(spark):
     assert out.columns == ["USUBJID", "ADY", "DUR", "NEW"]
     r = lineage_frame(spark, lin, 1, 1).first()
     assert (r["request"], r["derived"], r["formulas"]) == ("add one", ["NEW"], {"NEW": "ADY + 1"})
+
+
+def test_not_null_drops_nan(spark):
+    from tideline.operators.derive import not_null
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
+    assert [r[0] for r in not_null(df, "v").collect()] == [1.0]

@@ -101,8 +101,12 @@ def filter_rows(df: DataFrame, predicate: str | Column) -> DataFrame:
 
 
 def not_null(df: DataFrame, col: str) -> DataFrame:
-    """rows where ``col`` has a value."""
-    return df.filter(F.col(col).isNotNull())
+    """rows where ``col`` has a value (for float columns also not NaN, in
+    case the table was not loaded through :func:`tideline.sources.read_table`)."""
+    cond = F.col(col).isNotNull()
+    if df.schema[col].dataType.typeName() in ("double", "float"):
+        cond = cond & ~F.isnan(F.col(col))
+    return df.filter(cond)
 
 
 def _subject_keys(subjects: DataFrame | Sequence, key: str, spark_df: DataFrame) -> DataFrame:

@@ -190,12 +190,19 @@ def check_timeline(
     """Soundness of a timeline as rows ``(check, passed, detail)``.
 
     One bar per subject, bars present, every marker on a subject that has a
-    bar, and (when given) an X type that is linear.  The counts are scalar
-    subqueries of one small result row, not collects.
+    bar, and (when given) an X type that is linear.  The counts come from two
+    scalar subqueries (one aggregate over the bars, one anti join for the
+    markers) folded into one small result row, not collects.
     """
     spark = bars.sparkSession
-    dup = bars.groupBy(subject).count().filter(F.col("count") > 1).agg(F.count(F.lit(1))).scalar()
-    n_bars = bars.agg(F.count(F.lit(1))).scalar()
+    per_subject = bars.groupBy(subject).agg(F.count(F.lit(1)).alias("_n"))
+    bar_stats = per_subject.agg(
+        F.struct(
+            F.count_if(F.col("_n") > 1).alias("dup"),
+            F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_bars"),
+        )
+    ).scalar()
+    dup, n_bars = bar_stats.getField("dup"), bar_stats.getField("n_bars")
     if markers is not None:
         orphans = orphan_markers(markers, bars, (marker_subject or subject, subject))
         n_orphans = orphans.agg(F.count(F.lit(1))).scalar()
