@@ -76,3 +76,12 @@ def test_shift_days(spark):
     assert r["t3"] == dt.datetime(2020, 2, 2, 6)
     assert r["d2"] == dt.date(2020, 3, 1)
     assert r["tm"] == dt.datetime(2020, 1, 29, 6)
+
+
+def test_interval_days_floors(spark):
+    from tideline.functions import interval_days
+    df = spark.createDataFrame([(dt.datetime(2020, 1, 1, 23), dt.datetime(2020, 1, 1, 12)),
+                                (dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 3, 6))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    got = [r[0] for r in df.select(interval_days(F.col("b") - F.col("a"))).collect()]
+    assert got == [-1, 2]

@@ -86,3 +86,13 @@ def test_operators_use_threshold_from_conf(spark, skewed):
         spark.conf.unset(HOT_ROWS_CONF)
     assert got == expected
     assert log_salted == rows(conversation_log(conv))
+
+
+def test_salt_columns_limit_the_scan(spark, skewed):
+    rec, sub = skewed
+    rec = rec.withColumn("wide", F.repeat(F.lit("x"), 10))
+    merged = merge_subjects(rec, sub, "k", hot_rows=100, salt_cols=["v"]).select("k", "arm")
+    plain = merge_subjects(rec, sub, "k", hot_rows=0).select("k", "arm")
+    assert rows(merged) == rows(plain)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide" not in plan

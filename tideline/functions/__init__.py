@@ -5,6 +5,7 @@ from tideline.functions.dates import (
     day_diff,
     days_from,
     elapsed_days,
+    interval_days,
     micros_between,
     shift_days,
     to_timestamp_lenient,
@@ -20,6 +21,7 @@ __all__ = [
     "day_diff",
     "days_from",
     "elapsed_days",
+    "interval_days",
     "is_number",
     "micros_between",
     "shift_days",

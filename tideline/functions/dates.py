@@ -82,6 +82,19 @@ def to_timestamp_lenient(
     return F.coalesce(*tries)
 
 
+def interval_days(c: ColumnOrName) -> Column:
+    """Whole days of a day-time interval (e.g. ``end - start``), floored.
+
+    ``-11 hours`` is day -1, as for :func:`day_diff`.  Works on
+    ``INTERVAL DAY TO SECOND`` values of any precision.
+    """
+    iv = col_of(c)
+    # total microseconds: the interval added to a fixed instant, measured back
+    anchor = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = micros_between(anchor, anchor + iv)
+    return F.floor(micros / F.lit(float(MICROS_PER_DAY)))
+
+
 def days_from(reference: ColumnOrName, c: ColumnOrName, inclusive: bool = False) -> Column:
     """Express a datetime ``c`` as study days from ``reference``."""
     return day_diff(reference, c, inclusive=inclusive)

@@ -138,6 +138,7 @@ def merge_subjects(
     suffix: str = "_subj",
     dedup: bool = True,
     hot_rows: int | None = None,
+    salt_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """J1 (+J4): left-join one row per subject onto every record.
 
@@ -151,7 +152,9 @@ def merge_subjects(
     with record columns get ``suffix``.  ``null_keys='match'`` pairs NULL keys
     with each other, as pandas does; the default leaves them unmatched.
     ``hot_rows`` overrides the hot-subject threshold (``0`` disables
-    splitting, for records that already hold one row per subject).
+    splitting, for records that already hold one row per subject);
+    ``salt_cols`` names the record columns hashed to spread a hot subject
+    (default: all, which makes a skewed merge read every record column).
     """
     rkey, skey = _keys(key)
     wanted = list(cols) if cols is not None else [c for c in subjects.columns if c != skey]
@@ -162,7 +165,8 @@ def merge_subjects(
     renames[skey] = "_merge_key"
     subj = subj.withColumnsRenamed(renames)
     out = join_one_per_key(records, subj, rkey, "_merge_key", "left",
-                           null_safe=null_keys == "match", hot_rows=hot_rows)
+                           null_safe=null_keys == "match", hot_rows=hot_rows,
+                           salt_cols=list(salt_cols) if salt_cols else None)
     return out.drop("_merge_key")
 
 
