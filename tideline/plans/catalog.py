@@ -23,8 +23,10 @@ from tideline.functions import (
     bar_label,
     day_diff,
     elapsed_days,
+    interval_days,
     shift_days,
     to_number,
+    to_timestamp_lenient,
 )
 from tideline.operators import checks as V
 from tideline.operators import derive as D
@@ -338,6 +340,60 @@ def q_apply_steps(spark, d):
     return result.df
 
 
+def q_last_event(spark, d):
+    """W1 by the window route: each user's latest event (descending order)."""
+    return M.first_per_key(_t(spark, d, "events"), "user_id", order=[("ts", "desc"), "event_id"])
+
+
+def q_customer_bars(spark, d):
+    """Second pairing: orders onto customers; bar = days from a customer's first
+    to last order (+1, W3 spread back), arm = market segment (G5)."""
+    merged = M.merge_subjects(_t(spark, d, "orders"), _t(spark, d, "customer"), CUST_KEY,
+                              cols=["c_mktsegment"])
+    spans = D.per_subject(merged, "o_custkey", {
+        "_first": F.min("o_orderdate"), "_last": F.max("o_orderdate")})
+    spans = spans.withColumn("span_days", day_diff("_first", "_last", inclusive=True))
+    return G.subject_bars(spans, "o_custkey", "span_days", carry=["c_mktsegment"],
+                          count_records=True)
+
+
+def q_top_orders(spark, d):
+    """L2: the five largest orders (ties by key)."""
+    return P.preview(_t(spark, d, "orders"), 5, [F.col("o_totalprice").desc(), "o_orderkey"])
+
+
+def q_parse_dates(spark, d):
+    """Order dates written in three layouts, parsed back."""
+    o = _t(spark, d, "orders")
+    texts = o.select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso_text"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("compact_text"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("us_text"),
+    )
+    return texts.select(
+        "o_orderkey",
+        to_timestamp_lenient("iso_text").cast("timestamp_ntz").alias("from_iso"),
+        to_timestamp_lenient("compact_text").cast("timestamp_ntz").alias("from_compact"),
+        to_timestamp_lenient("us_text").cast("timestamp_ntz").alias("from_us"),
+    )
+
+
+def q_bar_to_days(spark, d):
+    """Order dates as study days from a fixed reference date."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    ref = F.lit("1992-01-01 00:00:00").cast("timestamp_ntz")
+    return D.bar_to_days(o, "o_orderdate", ref, inclusive=True, name="order_day")
+
+
+def q_interval_days(spark, d):
+    """Whole days of the interval ship - order, floored."""
+    m = M.merge_subjects(_t(spark, d, "lineitem"), _t(spark, d, "orders"), ITEM_KEY,
+                         cols=["o_orderdate"])
+    return m.select("l_orderkey", "l_linenumber",
+                    interval_days(F.col("l_shipdate") - F.col("o_orderdate")).alias("interval_days"))
+
+
 QUERIES: dict[str, Query] = {
     "subject_bars": q_subject_bars,
     "merge_subjects": q_merge_subjects,
@@ -379,4 +435,10 @@ QUERIES: dict[str, Query] = {
     "layer_changes": q_layer_changes,
     "edit_contract": q_edit_contract,
     "apply_steps": q_apply_steps,
+    "last_event": q_last_event,
+    "customer_bars": q_customer_bars,
+    "top_orders": q_top_orders,
+    "parse_dates": q_parse_dates,
+    "bar_to_days": q_bar_to_days,
+    "interval_days": q_interval_days,
 }

@@ -177,6 +177,8 @@ LAYER_CHANGES = (
     "ON b.plot_id = a.plot_id AND b.layer = a.layer)"
 )
 
+REFERENCE_DAY = "TIMESTAMP '1992-01-01 00:00:00'"
+
 ORACLE_SQL: dict[str, str] = {
     "subject_bars": f"SELECT * FROM {ITEM_BARS}",
     "merge_subjects": (
@@ -379,4 +381,30 @@ ORACLE_SQL: dict[str, str] = {
     "apply_steps": (
         f"SELECT * FROM {MERGED_ITEMS} WHERE ship_day > 0 AND o_orderpriority IS NOT NULL"
     ),
+    "last_event": (
+        "SELECT event_id, ts, user_id, event_type, value, props FROM events "
+        "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1"
+    ),
+    "customer_bars": (
+        "SELECT o_custkey, min(span_days) AS span_days, min(c_mktsegment) AS c_mktsegment, "
+        "count(*) AS n_records FROM (SELECT o.o_custkey, c.c_mktsegment, "
+        f"{_days('min(o.o_orderdate) OVER (PARTITION BY o.o_custkey)', 'max(o.o_orderdate) OVER (PARTITION BY o.o_custkey)')} + 1 AS span_days "
+        f"FROM orders o LEFT JOIN {CUSTOMER_DEDUP} c ON o.o_custkey = c.c_custkey) GROUP BY o_custkey"
+    ),
+    "top_orders": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
+    "parse_dates": (
+        "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS from_iso, "
+        "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS from_compact, "
+        "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS from_us FROM orders"
+    ),
+    "bar_to_days": (
+        "SELECT o_orderkey, o_orderdate, "
+        f"{_days(REFERENCE_DAY, 'o_orderdate')} + 1 AS order_day "
+        "FROM orders"
+    ),
+    "interval_days": (
+        "SELECT l.l_orderkey, l.l_linenumber, "
+        f"{_days('o.o_orderdate', 'l.l_shipdate')} AS interval_days "
+        "FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey"
+    ),
 }
