@@ -309,13 +309,15 @@ def q_conversation_log(spark, d):
     return X.conversation_log(_t(spark, d, "conversations"))
 
 
-def _event_layers(spark, d, parity):
-    ev = _t(spark, d, "events").filter(F.dayofmonth("ts") % 2 == parity)
+def _event_layers(spark, d, first_half):
+    """A figure version per user: the event types seen in one half of the month."""
+    day = F.dayofmonth("ts")
+    ev = _t(spark, d, "events").filter(day <= 15 if first_half else day > 15)
     return ev.select(F.col("user_id").alias("plot_id"), F.col("event_type").alias("layer"))
 
 
 def layer_diff(spark, d):
-    return U.layer_changes(_event_layers(spark, d, 1), _event_layers(spark, d, 0))
+    return U.layer_changes(_event_layers(spark, d, True), _event_layers(spark, d, False))
 
 
 def q_layer_changes(spark, d):

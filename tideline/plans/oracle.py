@@ -163,17 +163,15 @@ def _screen(text: str, terms) -> str:
     return f"list_filter({arr}, lambda t: coalesce(contains(lower({text}), t), false))"
 
 
-def _layer_set(parity: int) -> str:
-    return (
-        "(SELECT DISTINCT user_id AS plot_id, event_type AS layer FROM events "
-        f"WHERE day(ts) % 2 = {parity})"
-    )
+def _layer_set(first_half: bool) -> str:
+    cond = "day(ts) <= 15" if first_half else "day(ts) > 15"
+    return f"(SELECT DISTINCT user_id AS plot_id, event_type AS layer FROM events WHERE {cond})"
 
 
 LAYER_CHANGES = (
     "(SELECT coalesce(b.plot_id, a.plot_id) AS plot_id, coalesce(b.layer, a.layer) AS layer, "
     "CASE WHEN b.plot_id IS NULL THEN 'added' WHEN a.plot_id IS NULL THEN 'removed' "
-    f"ELSE 'kept' END AS status FROM {_layer_set(1)} b FULL OUTER JOIN {_layer_set(0)} a "
+    f"ELSE 'kept' END AS status FROM {_layer_set(True)} b FULL OUTER JOIN {_layer_set(False)} a "
     "ON b.plot_id = a.plot_id AND b.layer = a.layer)"
 )
 
