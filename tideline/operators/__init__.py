@@ -1,4 +1,8 @@
-"""DataFrame -> DataFrame operators; see each module for the plan they produce."""
+"""DataFrame -> DataFrame operators; see each module for the plan they produce.
+
+``derive`` and ``profile`` are both module and function names; the functions
+are imported from their modules (``from tideline.operators.derive import derive``).
+"""
 
 from tideline.operators.checks import (
     axis_type,
@@ -18,7 +22,6 @@ from tideline.operators.derive import (
     addable_columns,
     bar_to_days,
     days_since_min,
-    derive,
     derived_columns,
     drop_missing,
     exclude_subjects,
@@ -47,7 +50,6 @@ from tideline.operators.profile import (
     distinct_values,
     group_agg,
     preview,
-    profile,
     reconcile,
     sample_values,
     subject_counts,
