@@ -111,3 +111,19 @@ def test_not_null_drops_nan(spark):
     from tideline.operators.derive import not_null
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
     assert [r[0] for r in not_null(df, "v").collect()] == [1.0]
+
+
+def test_group_agg_and_column_min(spark):
+    from tideline.operators.profile import column_min, group_agg
+    df = spark.createDataFrame([("X", 1, 5), ("X", 2, 3), ("Y", 3, None)], "arm string, s int, v int")
+    got = rows(group_agg(df, "arm", {"n": F.count(F.lit(1)), "mn": F.min("v")}))
+    assert got == [("X", 2, 3), ("Y", 1, None)]
+    assert column_min(df, "v").first()[0] == 3
+
+
+def test_require_subject_id():
+    import pytest
+    from tideline.operators.derive import InvalidSubjectRole, require_subject_id
+    require_subject_id(Roles(subject="USUBJID", x="ADY", bar="DUR"))
+    with pytest.raises(InvalidSubjectRole):
+        require_subject_id(Roles(subject="AGE", x="ADY", bar="DUR"))
