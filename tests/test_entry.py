@@ -45,3 +45,15 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     order = sorted(range(len(dcols)), key=lambda i: dcols[i])
     want = sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     assert got == want
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plans_have_no_cross_products_or_python(spark, name):
+    df = E.queries()[name](spark, SMOKE_DIR)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in FORBIDDEN if f in plan]
