@@ -84,3 +84,12 @@ def test_conversation_log(spark):
                                 (2, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     got = rows(conversation_log(df), "conv_id", "turn", "snippet", "n_messages")
     assert got == [(1, 0, "x" * 100, 2), (1, 1, "y" * 100 + "...", 2), (2, 0, "hi", 1)]
+
+
+def test_extract_fenced_and_rows_per_subject(spark):
+    from tideline.operators.profile import rows_per_subject
+    from tideline.operators.textjobs import extract_fenced
+    df = spark.createDataFrame([(1, "```sql\nselect 1\n```")], "id int, text string")
+    assert extract_fenced(df, "text", "sql").first()["block"] == "select 1"
+    subj = spark.createDataFrame([("a",), ("a",), ("b",)], "s string")
+    assert rows_per_subject(subj, "s").first()[0] == 1.5

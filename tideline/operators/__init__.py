@@ -51,6 +51,7 @@ from tideline.operators.profile import (
     group_agg,
     preview,
     reconcile,
+    rows_per_subject,
     sample_values,
     subject_counts,
 )
@@ -60,6 +61,7 @@ from tideline.operators.textjobs import (
     classify_intent,
     conversation_log,
     extract_block,
+    extract_fenced,
     extract_formulas,
     parse_status,
     references,

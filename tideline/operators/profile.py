@@ -35,6 +35,11 @@ def subject_counts(df: DataFrame, key: str, approx: bool = False) -> DataFrame:
     return out.withColumn("rows_per_subject", per)
 
 
+def rows_per_subject(df: DataFrame, key: str) -> DataFrame:
+    """A2: rows per distinct subject, one decimal (one row)."""
+    return subject_counts(df, key).select("rows_per_subject")
+
+
 def group_agg(df: DataFrame, by: str | Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """A3: grouped aggregates (partial + final hash aggregation)."""
     keys = [by] if isinstance(by, str) else list(by)

@@ -195,6 +195,11 @@ def extract_block(
     return df.withColumn(name, block_expr(text, open_tag, close_tag, fallback_open))
 
 
+def extract_fenced(df: DataFrame, text: str, lang: str = "python", name: str = "block") -> DataFrame:
+    """X4 for code fences: the first block tagged ``lang``, else the first untagged one."""
+    return extract_block(df, text, "```" + lang, "```", "```", name=name)
+
+
 # ------------------------------------------------------------------- X5 audit
 
 def references(
