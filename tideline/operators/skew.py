@@ -20,7 +20,9 @@ subject owning a third of all records would be joined in one task.
 
 Step 1 runs as its own small job when the join is built (it reads only the
 key column, and is skipped when a parallel count finds fewer rows than the
-threshold): when no key reaches the threshold, the
+threshold); the hot keys it finds, at most ``rows / hot_rows`` of them, are
+fetched once and broadcast as a local table.  When no key reaches the
+threshold, the
 plain join is planned,
 with full column pruning and Spark's own broadcast/sort-merge choice.  The
 salted route hashes whole rows, so it reads every column of the many side (or
@@ -106,10 +108,14 @@ def join_one_per_key(
     if many.count() < hot_rows:
         return many.join(one, plain_cond, how)
     hot_table = hot_keys(many, many_key, hot_rows)
-    if hot_table.isEmpty():
+    # at most rows / hot_rows keys: the same rows a broadcast of the table
+    # would move through the driver, fetched once instead of recomputed
+    hot_list = hot_table.collect()
+    if not hot_list:
         return many.join(one, plain_cond, how)
 
-    hot = F.broadcast(hot_table)
+    spark = many.sparkSession
+    hot = F.broadcast(spark.createDataFrame(hot_list, hot_table.schema))
     hk = hot.select(F.col("_hk").alias("_hk_m"), F.col("_ns").alias("_ns_m"))
     tag_m = many[many_key].eqNullSafe(hk["_hk_m"]) if null_safe else many[many_key] == hk["_hk_m"]
     hashed = [F.col(f"`{c}`") for c in salt_cols] if salt_cols else _hashable(many)
