@@ -69,3 +69,17 @@ def test_observe_shape_and_register(spark):
         f.write("USUBJID,AGE\nS1,40\n")
     register_datasets(spark, d, ["ADSL"])
     assert spark.sql("SELECT AGE FROM ADSL").first()[0] == 40
+
+
+def test_parquet_filters_reach_the_scan(spark):
+    ev = load_table(spark, SMOKE_DIR, "events").filter("value > 10")
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(value,10.0)" in plan
+
+
+def test_csv_nan_is_null(spark):
+    d = tempfile.mkdtemp(prefix="tideline-nan-")
+    with open(os.path.join(d, "ADRS_ONCO.csv"), "w") as f:
+        f.write("USUBJID,EOS\nS1,NaN\nS2,3.5\n")
+    df = load_dataset(spark, "ADRS", d, schema="USUBJID string, EOS double")
+    assert [r[0] for r in df.orderBy("USUBJID").select("EOS").collect()] == [None, 3.5]

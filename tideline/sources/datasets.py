@@ -64,14 +64,25 @@ def normalize_nan(df: DataFrame) -> DataFrame:
     )
 
 
+TEXT_FORMATS = ("csv", "json")
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     null_values: str | None = None,
+    normalize: bool | None = None,
 ) -> DataFrame:
-    """Read one table lazily; CSV with a header, NaN normalised to NULL.
+    """Read one table lazily; CSV with a header.
+
+    ``normalize`` turns NaN into NULL (:func:`normalize_nan`); by default it
+    is applied to text formats, where a missing number arrives as ``NaN``
+    text, and not to Parquet/ORC.  On typed columnar data a projection over
+    every double column would hide the columns from filter pushdown (a
+    filter on ``nanvl(x, NULL)`` is not pushed to the scan); call
+    :func:`normalize_nan` explicitly when such data does hold NaN.
 
     Declare ``schema`` for CSV in production: inference costs an extra pass
     and loses leading zeros in identifiers.
@@ -86,7 +97,10 @@ def read_table(
             reader = reader.option("inferSchema", True)
         if null_values is not None:
             reader = reader.option("nullValue", null_values)
-    return normalize_nan(reader.format(kind).load(path))
+    df = reader.format(kind).load(path)
+    if normalize is None:
+        normalize = kind in TEXT_FORMATS
+    return normalize_nan(df) if normalize else df
 
 
 def load_dataset(
@@ -97,6 +111,7 @@ def load_dataset(
     schema: T.StructType | str | None = None,
     datasets: Mapping[str, DatasetSpec] = CLINICAL_DATASETS,
     null_values: str | None = None,
+    normalize: bool | None = None,
 ) -> DataFrame:
     """Load a named dataset from ``base``; unknown names raise."""
     spec = datasets.get(name)
@@ -104,14 +119,16 @@ def load_dataset(
         raise DatasetError(f"Unknown dataset '{name}'. Available: {list(datasets)}")
     path = f"{base.rstrip('/')}/{spec.file}"
     try:
-        return read_table(spark, path, fmt=fmt, schema=schema, null_values=null_values)
+        return read_table(spark, path, fmt=fmt, schema=schema, null_values=null_values,
+                          normalize=normalize)
     except AnalysisException as err:
         raise DatasetError(f"Cannot read dataset '{name}' at {path}: {err}") from err
 
 
-def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+def load_table(spark: SparkSession, base: str, name: str, normalize: bool = False) -> DataFrame:
     """Read ``{base}/{name}.parquet`` (the layout of the driver tables)."""
-    return read_table(spark, f"{base.rstrip('/')}/{name}.parquet", fmt="parquet")
+    return read_table(spark, f"{base.rstrip('/')}/{name}.parquet", fmt="parquet",
+                      normalize=normalize)
 
 
 def register_datasets(
