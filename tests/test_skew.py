@@ -96,3 +96,15 @@ def test_salt_columns_limit_the_scan(spark, skewed):
     assert rows(merged) == rows(plain)
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "wide" not in plan
+
+
+def test_default_salt_skips_text_columns(spark, skewed):
+    """Without salt_cols the hash uses fixed-width columns: a text column that
+    nothing downstream reads stays out of the plan."""
+    rec, sub = skewed
+    rec = rec.withColumn("wide", F.repeat(F.lit("x"), 10))
+    merged = merge_subjects(rec, sub, "k", hot_rows=100).select("k", "arm")
+    plain = merge_subjects(rec, sub, "k", hot_rows=0).select("k", "arm")
+    assert rows(merged) == rows(plain)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt_m" in plan and "wide" not in plan

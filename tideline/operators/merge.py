@@ -154,7 +154,8 @@ def merge_subjects(
     ``hot_rows`` overrides the hot-subject threshold (``0`` disables
     splitting, for records that already hold one row per subject);
     ``salt_cols`` names the record columns hashed to spread a hot subject
-    (default: all, which makes a skewed merge read every record column).
+    (default: the fixed-width record columns, so a skewed merge still skips
+    the record text columns nothing downstream reads).
     """
     rkey, skey = _keys(key)
     wanted = list(cols) if cols is not None else [c for c in subjects.columns if c != skey]

@@ -13,7 +13,7 @@ subject owning a third of all records would be joined in one task.
    one row per key) and keep keys with at least ``hot_rows`` rows, each with
    ``ceil(rows / hot_rows)`` salts;
 2. give every row of a hot key a salt from a hash of its own values
-   (deterministic, so a recomputed task after an executor loss produces the
+   (see below for which columns; deterministic, so a recomputed task after an executor loss produces the
    same rows), and every other row salt 0;
 3. repeat the one-row side's row once per salt of its key, and join on
    ``(key, salt)``.
@@ -23,10 +23,11 @@ key column, and is skipped when a parallel count finds fewer rows than the
 threshold); the hot keys it finds, at most ``rows / hot_rows`` of them, are
 fetched once and broadcast as a local table.  When no key reaches the
 threshold, the
-plain join is planned,
-with full column pruning and Spark's own broadcast/sort-merge choice.  The
-salted route hashes whole rows, so it reads every column of the many side (or
-``salt_cols`` when given); it is taken only when hot keys exist.
+plain join is planned, with full column pruning and Spark's own
+broadcast/sort-merge choice.  The salted route hashes ``salt_cols`` when given,
+else the many side's fixed-width columns (numbers, dates, timestamps, flags),
+else every column; so by default a scan of the many side still skips its text
+columns unless a later step reads them.  It is taken only when hot keys exist.
 
 A hot key with ``n`` rows is spread over ``ceil(n / hot_rows)`` tasks of at
 most about ``hot_rows`` rows each.  The hot-key table has at most
@@ -53,6 +54,9 @@ def hot_key_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
+_FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 def _hashable(df: DataFrame) -> list[Column]:
     def ok(dt: T.DataType) -> bool:
         if isinstance(dt, T.MapType):
@@ -66,6 +70,19 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{f.name}`") for f in df.schema.fields if ok(f.dataType)]
 
 
+def _salt_columns(df: DataFrame) -> list[Column]:
+    """Columns hashed to spread a hot key when the caller names none.
+
+    The fixed-width columns (numbers, dates, timestamps, flags) when there are
+    any: they tell rows apart as well as a whole row usually does, and a
+    columnar scan then skips the wide text columns unless a later step reads
+    them.  Otherwise every hashable column.
+    """
+    fixed = [F.col(f"`{f.name}`") for f in df.schema.fields
+             if isinstance(f.dataType, _FIXED_WIDTH)]
+    return fixed or _hashable(df)
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """Keys with at least ``hot_rows`` rows and their salt count ``_ns``.
 
@@ -118,7 +135,7 @@ def join_one_per_key(
     hot = F.broadcast(spark.createDataFrame(hot_list, hot_table.schema))
     hk = hot.select(F.col("_hk").alias("_hk_m"), F.col("_ns").alias("_ns_m"))
     tag_m = many[many_key].eqNullSafe(hk["_hk_m"]) if null_safe else many[many_key] == hk["_hk_m"]
-    hashed = [F.col(f"`{c}`") for c in salt_cols] if salt_cols else _hashable(many)
+    hashed = [F.col(f"`{c}`") for c in salt_cols] if salt_cols else _salt_columns(many)
     row_hash = F.xxhash64(*(hashed or [F.lit(0)]))
     salt = F.when(F.col("_ns_m").isNotNull(), F.pmod(row_hash, F.col("_ns_m")))
     if not null_safe:
