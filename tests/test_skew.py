@@ -1,6 +1,8 @@
 """Hot subjects: the salted one-row-per-key join equals a plain join and
 spreads a subject holding a third of all rows over several tasks."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,17 @@ def test_default_salt_skips_text_columns(spark, skewed):
     assert rows(merged) == rows(plain)
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt_m" in plan and "wide" not in plan
+
+
+def test_salt_falls_back_to_all_columns_without_fixed_width(spark):
+    """Records with text columns only still spread a hot key (the hash then
+    covers every column) and join exactly like the plain join."""
+    rec = spark.range(600).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+        F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    one = spark.createDataFrame([("hot", "a"), ("1", "b"), ("3", "c")], "k string, arm string")
+    salted = join_one_per_key(rec, one.withColumnRenamed("k", "k1"), "k", "k1", hot_rows=50)
+    plain = join_one_per_key(rec, one.withColumnRenamed("k", "k1"), "k", "k1", hot_rows=0)
+    assert rows(salted) == rows(plain)
+    salts = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"xxhash64\(k#\d+, v#\d+", salts)
