@@ -121,6 +121,26 @@ def test_check_timeline(spark):
     assert got["one bar per subject"] is False
 
 
+def test_check_timeline_without_bars(spark):
+    # no bars: still one row per check, every marker is an orphan
+    bars = spark.createDataFrame([], "s string, bar double")
+    markers = spark.createDataFrame([("A", 1.0)], "s string, x double")
+    got = {r["check"]: (r["passed"], r["detail"])
+           for r in check_timeline(bars, markers, "s").collect()}
+    assert got == {"one bar per subject": (True, "0 subjects with several bars"),
+                   "bars present": (False, "0 bars"),
+                   "markers reference bar subjects": (False, "1 orphan markers")}
+
+
+def test_check_timeline_aggregates_bars_once(spark):
+    bars = spark.createDataFrame([("A", 10.0), ("B", 5.0)], "s string, bar double")
+    markers = spark.createDataFrame([("A", 1.0)], "s string, x double")
+    plan = check_timeline(bars, markers, "s")._jdf.queryExecution().optimizedPlan().toString()
+    # the bar counts are one aggregate in the main plan; the only scalar
+    # subquery is the orphan count
+    assert plan.count("scalar-subquery") == 1
+
+
 def test_merged_items_scan_reads_named_columns_only(spark):
     from tideline.plans.catalog import q_bar_label
     df = q_bar_label(spark, SMOKE_DIR)
