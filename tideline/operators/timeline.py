@@ -190,22 +190,28 @@ def check_timeline(
     """Soundness of a timeline as rows ``(check, passed, detail)``.
 
     One bar per subject, bars present, every marker on a subject that has a
-    bar, and (when given) an X type that is linear.  The counts come from one
-    global aggregate over the bars (always exactly one row) with the orphan
-    count of the markers' anti join as a scalar subquery: one small result
-    row, no collects, and the bars are aggregated once.
+    bar, and (when given) an X type that is linear.  The counts come from two
+    scalar subqueries, one aggregate over the bars (a struct, referenced once,
+    so the bars are aggregated once) and one anti join for the markers; Spark
+    runs them concurrently and folds them into one small result row, no
+    collects.
     """
+    spark = bars.sparkSession
     per_subject = bars.groupBy(subject).agg(F.count(F.lit(1)).alias("_n"))
-    row = per_subject.agg(
-        F.count_if(F.col("_n") > 1).alias("dup"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_bars"),
-    )
+    bar_stats = per_subject.agg(
+        F.struct(
+            F.count_if(F.col("_n") > 1).alias("dup"),
+            F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_bars"),
+        )
+    ).scalar()
     if markers is not None:
         orphans = orphan_markers(markers, bars, (marker_subject or subject, subject))
         n_orphans = orphans.agg(F.count(F.lit(1))).scalar()
     else:
         n_orphans = F.lit(0).cast("long")
-    row = row.select("dup", "n_bars", n_orphans.alias("orphans"))
+    row = spark.range(1).select(bar_stats.alias("_st"), n_orphans.alias("orphans")).select(
+        F.col("_st.dup").alias("dup"), F.col("_st.n_bars").alias("n_bars"), "orphans"
+    )
     checks = [
         ("one bar per subject", F.col("dup") == 0,
          F.concat(F.col("dup").cast("string"), F.lit(" subjects with several bars"))),
