@@ -84,16 +84,16 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             len(set(words)), letters, upper, digits, bang, stops)
 
 
-@F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-def _counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for t in texts:
-        rows = np.array([text_counts(x) for x in t], dtype=np.int64).reshape(len(t), len(COUNTS))
-        yield pd.DataFrame(rows, columns=list(COUNTS))
-
-
 def counts_of(text: Column) -> Column:
     """The :data:`COUNTS` of a text column as one struct, computed once per row."""
-    return _counts.asNondeterministic()(text.cast("string"))
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
+            rows = np.array([text_counts(x) for x in t], dtype=np.int64).reshape(len(t), len(COUNTS))
+            yield pd.DataFrame(rows, columns=list(COUNTS))
+
+    return counts.asNondeterministic()(text.cast("string"))
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
