@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import is_held_out, table, text_batches
-from tideline.llm.stats import COUNTS, FEATURES, counts_of, document_stats, feature_columns, labelled_sample
+from tideline.llm.stats import FEATURES, document_stats, labelled_sample, stats_of
 
 MAX_LABELS = 8000
 ACCEPT = 0.3
@@ -146,8 +146,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> RuleModel:
 def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> RuleModel:
     """Fit on about ``max_labels`` labelled rows outside the hold-out."""
     sample = labelled_sample(docs, labels, "quality", max_labels, only=~is_held_out(F.col("doc_id")))
-    stats = sample.select("y", counts_of(F.col("text")).alias("counts")).select("y", "counts.*")
-    rows = stats.select("y", *feature_columns()).collect()
+    stats = sample.select("y", stats_of(F.col("text")).alias("stats")).select("y", "stats.*")
+    rows = stats.select("y", *FEATURES).collect()
     rows.sort()
     data = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, 1 + len(FEATURES))
     return fit_rules(data[:, 1:], data[:, 0])
@@ -159,8 +159,7 @@ def score_documents(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -
     Null and empty texts are scored from their all-zero statistics.  One pass,
     no shuffle.
     """
-    x = document_stats(docs).select("doc_id", *COUNTS, *feature_columns())
-    scored = x.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    scored = document_stats(docs).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
@@ -168,9 +167,8 @@ def accepted(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataF
     """``docs`` without the rejected texts; kept rows are unchanged. One pass, no shuffle."""
     text_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), counts_of(F.col("text")).alias("counts"))
-    x = rows.select("row", "counts.*").select("row", *COUNTS, *feature_columns())
-    return x.where(model.column() >= accept).select("row.*")
+    rows = docs.select(whole.alias("row"), stats_of(F.col("text")).alias("stats"))
+    return rows.select("row", "stats.*").where(model.column() >= accept).select("row.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table, text_batches
-from tideline.llm.stats import FEATURES, counts_of, document_stats, feature_columns, labelled_sample, sample_share_of
+from tideline.llm.common import table
+from tideline.llm.stats import FEATURES, document_stats, labelled_sample, sample_share_of, stats_of
 
 FIT_ROWS = 4096
 MAX_LABELS = 8000
@@ -122,13 +122,12 @@ def _forest_udf(forest: Forest | None):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_labels: int = MAX_LABELS) -> QualityRules:
     names = list(FOREST_FEATURES)
-    chosen = [c for c, n in zip(feature_columns(), FEATURES, strict=True) if n in names]
     share = sample_share_of(docs, fit_rows)
-    rows = document_stats(docs.where(share(F.col("doc_id").cast("long")))).where("n_words > 0").select(*chosen).collect()
+    rows = document_stats(docs.where(share(F.col("doc_id").cast("long")))).where("n_words > 0").select(*names).collect()
     forest = grow_forest(np.array(sorted(map(tuple, rows)), dtype=np.float64).reshape(-1, len(names)))
     lab = labelled_sample(docs, labels, "quality", max_labels)
-    got = lab.select("y", counts_of(F.col("text")).alias("c")).select("y", "c.*").where(~base_failed())
-    data = np.array([tuple(r) for r in got.select("y", *chosen).collect()], dtype=np.float64).reshape(-1, 1 + len(names))
+    got = lab.select("y", stats_of(F.col("text")).alias("s")).select("y", "s.*").where(~base_failed())
+    data = np.array([tuple(r) for r in got.select("y", *names).collect()], dtype=np.float64).reshape(-1, 1 + len(names))
     if forest is None or len(data) == 0:
         return QualityRules(forest, 1.0)
     return QualityRules(forest, calibrate(forest.score(data[:, 1:]), data[:, 0] == 1))
@@ -144,10 +143,8 @@ def judge(docs: DataFrame, rules: QualityRules) -> DataFrame:
     Null and empty texts have no words and fail the base rules; ids may be
     null or repeated.  One pass over the texts, no shuffle.
     """
-    text_batches(docs.sparkSession)
     stats = document_stats(docs)
-    feats = [c for c, n in zip(feature_columns(), FEATURES, strict=True) if n in FOREST_FEATURES]
-    scored = stats.withColumn("base_failed", base_failed()).withColumn("anomaly", _forest_udf(rules.forest)(*feats))
+    scored = stats.withColumn("base_failed", base_failed()).withColumn("anomaly", _forest_udf(rules.forest)(*FOREST_FEATURES))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(rules.threshold)))
 
 

@@ -84,52 +84,47 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             len(set(words)), letters, upper, digits, bang, stops)
 
 
-def counts_of(text: Column) -> Column:
-    """The :data:`COUNTS` of a text column as one struct, computed once per row."""
+FEATURES = ("symbol_rate", "upper_rate", "digit_rate", "bang_rate", "stop_rate", "word_length",
+            "dup_line_rate", "repeat_rate", "distinct_rate", "log_words", "line_words")
+_RATIOS = (("n_symbols", "word_chars"), ("n_upper", "n_letters"), ("n_digits", "word_chars"), ("n_bang", "word_chars"),
+           ("n_stops", "word_chars"), ("word_chars", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"),
+           ("n_distinct", "n_words"), None, ("n_words", "n_lines"))
+
+
+def text_features(counts: np.ndarray) -> np.ndarray:
+    """The :data:`FEATURES`, length-free ratios but for ``log_words``; zero where undefined."""
+    by = dict(zip(COUNTS, counts.T.astype(np.float64), strict=True))
+    out = np.zeros((len(counts), len(FEATURES)))
+    for j, pair in enumerate(_RATIOS):
+        if pair is None:
+            out[:, j] = np.log1p(by["n_words"])
+        else:
+            np.divide(by[pair[0]], by[pair[1]], out=out[:, j], where=by[pair[1]] > 0)
+    return out
+
+
+def stats_of(text: Column) -> Column:
+    """The :data:`COUNTS` and :data:`FEATURES` of a text column as one struct, computed once per row."""
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in FEATURES]))
+    def stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            rows = np.array([text_counts(x) for x in t], dtype=np.int64).reshape(len(t), len(COUNTS))
-            yield pd.DataFrame(rows, columns=list(COUNTS))
+            counts = np.array([text_counts(x) for x in t], dtype=np.int64).reshape(len(t), len(COUNTS))
+            yield pd.concat([pd.DataFrame(counts, columns=list(COUNTS)),
+                             pd.DataFrame(text_features(counts), columns=list(FEATURES))], axis=1)
 
-    return counts.asNondeterministic()(text.cast("string"))
+    return stats.asNondeterministic()(text.cast("string"))
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the :data:`COUNTS` of every whole text; no shuffle.
+    """``doc_id``, the :data:`COUNTS` and the :data:`FEATURES` of every whole text; no shuffle.
 
     Null ids stay null; repeated rows give repeated results; other columns of
     ``docs`` are ignored, whatever their names.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), counts_of(F.col(text_col)).alias("counts"))
-    return rows.select("doc_id", "counts.*")
-
-
-FEATURES = ("symbol_rate", "upper_rate", "digit_rate", "bang_rate", "stop_rate", "word_length",
-            "dup_line_rate", "repeat_rate", "distinct_rate", "log_words", "line_words")
-
-
-def feature_columns() -> list[Column]:
-    """Length-free ratios over the counts, each defined (zero) for empty texts."""
-
-    def ratio(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-
-    return [
-        ratio("n_symbols", "word_chars").alias("symbol_rate"),
-        ratio("n_upper", "n_letters").alias("upper_rate"),
-        ratio("n_digits", "word_chars").alias("digit_rate"),
-        ratio("n_bang", "word_chars").alias("bang_rate"),
-        ratio("n_stops", "word_chars").alias("stop_rate"),
-        ratio("word_chars", "n_words").alias("word_length"),
-        ratio("n_dup_lines", "n_lines").alias("dup_line_rate"),
-        ratio("n_repeat_words", "n_words").alias("repeat_rate"),
-        ratio("n_distinct", "n_words").alias("distinct_rate"),
-        F.log1p(F.col("n_words")).alias("log_words"),
-        ratio("n_words", "n_lines").alias("line_words"),
-    ]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), stats_of(F.col(text_col)).alias("stats"))
+    return rows.select("doc_id", "stats.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: int, only: Column | None = None,
