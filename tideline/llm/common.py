@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,10 +63,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     cleaned, since the returned frame is lazy and may be read at any later time.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _release(df.sparkSession)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def ids_are_unique(docs: DataFrame) -> bool:
+    """No null and no repeated doc_id."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return n == ids
+
+
 def delete(df: DataFrame) -> None:
     """Remove the files of a saved frame that nothing reads any more."""
     spark = df.sparkSession

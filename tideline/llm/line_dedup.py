@@ -11,16 +11,15 @@ DataFrame functions are used:
 * equal sets are joined by a signature, and only the first line of each set
   goes on;
 * two similar sets share a word in their prefixes (the rarest words); pairs
-  that meet at a prefix word must pass the length filter, the positional filter
-  and a parity bitmap (differing bits cannot outnumber differing words);
-* what passes is verified on the whole sets.
+  that meet at a prefix word must pass the length filter and a parity bitmap
+  (differing bits cannot outnumber differing words), and the positional filter
+  bounds their overlap by the shared prefix words and what lies behind them;
+* what passes is verified on the words themselves, for each line first with its
+  likeliest partner and then, if that fails, with all others.
 
 Words that very many sets have in their prefix (over ``BIG``) are first joined
 with the first set at that word only, as one match is enough for a line to go.
 Only lines still standing then meet all earlier sets there.
-
-A word counts by 63 bits of its hash; two words of one pair of lines that share
-all of them are taken for equal.
 """
 
 from __future__ import annotations
@@ -29,140 +28,209 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tideline.llm.common import save, table
+from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
+SMALL = 64           # words of a set up to which 64 parity bits tell enough
 BIG = 1000           # sets at one prefix word that are joined all with all
-_SPACE = r"[\x20\x09-\x0D]+"
 _NO_ID = -(1 << 63)
 _ORDER = ["doc", "version", "line"]
+_RARE_SPACES = ("\t", "\v", "\f", "\r")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc, version, line (from 0) and its text, for every line with a word.
+def _version(unique: bool) -> Column:
+    """Tells rows apart that share an id: the hash of their texts, or 0 when ids are unique."""
+    return F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    ``version`` tells rows apart that share an id: the hash of their texts, or
-    0 when ids are unique.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    version = F.lit(0).cast("long") if n == ids else F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), version.alias("version"), "text")
-    lines = rows.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    return lines.where(F.col("words").rlike(r"[^\x20\x09-\x0D]"))
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+
+
+def line_rows(docs: DataFrame, unique: bool) -> DataFrame:
+    """doc, version, line (from 0) and its text, for every line."""
+    return docs.select(_doc().alias("doc"), _version(unique).alias("version"),
+                       F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "words"))
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, _SPACE), "")
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text in order."""
+    return F.array_remove(_split(text), "")
+
+
+def _split(text: Column) -> Column:
+    """Words and empty strings; the regular expression only where plain spaces won't do."""
+    odd = F.lit(False)
+    for c in _RARE_SPACES:
+        odd = odd | F.contains(text, F.lit(c))
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
+    return F.when(odd, F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(plain)
+
+
+def _literal(values: list[int]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<int>")
 
 
-def rarity_classes(lines: DataFrame) -> Column:
-    """Array literal: rarity class (0: rarest) of each hash bucket of words, from counts over all lines."""
-    words = lines.select(F.explode(_words(F.col("words"))).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()
-    classes = [0] * BUCKETS
-    for bucket, count in counts:
-        classes[bucket] = 1 + min(126, round(3 * math.log2(count)))
-    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
+def _bucket(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _bucket_counts(keys: DataFrame) -> list[int]:
+    """Rows per hash bucket of the column ``key``: always ``BUCKETS`` numbers."""
+    out = [0] * BUCKETS
+    for bucket, count in keys.groupBy(_bucket(F.col("key"))).count().collect():
+        out[bucket] = count
+    return out
+
+
+def rarity_classes(docs: DataFrame) -> Column:
+    """Array literal: rarity class (0: rarest) of each hash bucket of words, from counts over all texts."""
+    words = docs.select(F.explode(_split(F.col("text").cast("string"))).alias("word")).where("word <> ''")
+    counts = _bucket_counts(words.select(F.xxhash64("word").alias("key")))
+    return _literal([1 + min(126, round(3 * math.log2(c))) if c else 0 for c in counts])
 
 
 def word_keys(text: Column, classes: Column) -> Column:
     """Sorted distinct keys of a line's words: rarity class on top, hash bits below."""
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        at = (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
-        return F.shiftleft(F.element_at(classes, at).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    hashes = F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
+        F.element_at(classes, _bucket(h) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(text), key)))
 
+def _before(y: str, x: str) -> Column:
+    a, b = ([F.col(f"{t}.{c}") for c in _ORDER] for t in (y, x))
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
 
-def _least_overlap(a: Column, b: Column) -> Column:
-    """Shared words that similarity needs: ceil(NUM (a + b) / (NUM + DEN))."""
-    return F.floor(((a + b) * NUM + (NUM + DEN - 1)) / (NUM + DEN))
 
+def _parity(half: int, mask: int) -> Column:
+    """Bit b: parity of the keys whose low bits (``mask``) are ``half`` and b."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
-def _may_match(x: str, y: str) -> Column:
-    """Length, positional and bitmap filters of two prefix rows that share a word."""
-    nx, ny, px, py = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (x, y))
-    need = _least_overlap(nx, ny)
-    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
-    return ((F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (F.least(nx - px, ny - py) >= need)
-            & (differ <= nx + ny - 2 * need))
+    def add(acc: Column, k: Column) -> Column:
+        bit = F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
+        return acc.bitwiseXOR(bit if mask == 63 else F.when(k.bitwiseAND(F.lit(mask - 63)) == half, bit).otherwise(zero))
 
+    return F.aggregate("keys", zero, add)
 
-def _place(t: str) -> Column:
-    return F.struct(*[F.col(f"{t}.{c}") for c in _ORDER])
 
+def _differ() -> Column:
+    """Bits in which the parity bitmaps of x and y differ: 128 bits when both sets are large, else 64.
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in _ORDER], *[F.col(f"y.{c}").alias(f"y_{c}") for c in _ORDER])
+    ``bits`` is the large bitmap folded to 64; ``more`` its lower half, so the
+    other half is their difference.
+    """
+    folded = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
+    lower = F.col("x.more").bitwiseXOR(F.col("y.more"))
+    wide = F.bit_count(lower) + F.bit_count(folded.bitwiseXOR(lower))
+    return F.when(F.least("x.n", "y.n") > SMALL, wide).otherwise(F.bit_count(folded))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Places of the x lines of ``pairs`` whose whole sets are similar."""
-    def side(t: str) -> DataFrame:
-        return sets.select(*[F.col(c).alias(f"{t}_{c}") for c in _ORDER], F.col("keys").alias(f"{t}_keys"))
+def _least_own(n: Column) -> Column:
+    """Words of a set of n that any similar set shares with it."""
+    return F.ceil(n * NUM / DEN)
 
-    both = pairs.join(side("x"), [f"x_{c}" for c in _ORDER]).join(side("y"), [f"y_{c}" for c in _ORDER])
-    shared = F.size(F.array_intersect("x_keys", "y_keys"))
-    union = F.size("x_keys") + F.size("y_keys") - shared
-    return both.where(shared * DEN >= union * NUM).select(*[F.col(f"x_{c}").alias(c) for c in _ORDER]).distinct()
 
+_X, _Y = [f"x_{c}" for c in _ORDER], [f"y_{c}" for c in _ORDER]
+
+
+def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of a later line x and an earlier line y that meet at a prefix word and pass the filters.
+
+    With s words in both sets together, similarity NUM / DEN means at least
+    NUM s / (NUM + DEN) shared and at most (DEN - NUM) s / (NUM + DEN) differing
+    words, and sizes whose ratio is NUM / DEN or more.
+    """
+    nx, ny = F.col("x.n"), F.col("y.n")
+    most = (nx + ny) * (DEN - NUM)
+    folded = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUM + DEN) <= most  # cheap and nearly always false
+    near = folded & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & _before("y", "x") & (_differ() * (NUM + DEN) <= most)
+    both = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & near)
+    return both.groupBy(*[F.col(f"x.{c}").alias(f"x_{c}") for c in _ORDER], *[F.col(f"y.{c}").alias(f"y_{c}") for c in _ORDER]).agg(
+        F.count("*").alias("met"), F.max(nx).alias("nx"), F.max(ny).alias("ny"), F.max(_differ()).alias("differ"))
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+
+def _enough_met(pairs: DataFrame) -> DataFrame:
+    """Positional filter: shared prefix words and what lies behind the prefixes must reach the overlap.
+
+    Words shared beyond the prefixes lie behind that of the set whose prefix
+    ends first.
+    """
+    behind = F.greatest(_least_own(F.col("nx")), _least_own(F.col("ny"))) - 1
+    return pairs.where((F.col("met") + behind) * (NUM + DEN) >= (F.col("nx") + F.col("ny")) * NUM)
+
+
+def _places(pairs: DataFrame, side: list[str]) -> DataFrame:
+    return pairs.select(*[F.col(c).alias(c[2:]) for c in side])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Places of the x lines of ``pairs`` whose word sets are similar."""
+    def side(cols: list[str]) -> DataFrame:
+        return texts.select(*[F.col(c[2:]).alias(c) for c in cols], F.col("words").alias(cols[0][0]))
+
+    both = pairs.join(side(_X), _X).join(side(_Y), _Y)
+    both = both.select(*_X, *[F.array_distinct(_words(F.col(t))).alias(t) for t in ("x", "y")])
+    both = both.select(*_X, F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return _places(both.where(F.col("shared") * (NUM + DEN) >= F.col("both") * NUM), _X).distinct()
+
+
+def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     """doc, version and line of every line that goes."""
-    lines = line_rows(docs)
-    classes = rarity_classes(lines)
-    keyed = lines.select(*_ORDER, word_keys(F.col("words"), classes).alias("keys"))
+    lines = line_rows(docs, unique)
+    classes = rarity_classes(docs)
     n = F.size("keys")
-    prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    bits = F.aggregate("keys", F.lit(0).cast("long"),
-                       lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = n - _least_own(n).cast("int") + 1
+    more = F.when(n > SMALL, _parity(0, 127)).otherwise(F.lit(0).cast("long"))
+    keyed = lines.select(*_ORDER, word_keys(F.col("words"), classes).alias("keys"))
     keyed = save(keyed.select(*_ORDER, n.alias("n"), F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"),
-                              bits.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
+                              _parity(0, 63).alias("bits"), more.alias("more"), F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
 
-    first = F.min(F.struct(*_ORDER)).alias("at")
-    sets = keyed.groupBy("sig", "sig2").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     # Sets of up to three words are similar to equal sets only.
-    at_words = sets.where(F.col("n") * DEN >= (F.col("n") + 1) * NUM).select("at.*", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    at_words = at_words.withColumn("sets", F.count("*").over(Window.partitionBy("word")))
-
-    few = at_words.where(F.col("sets").between(2, BIG))
-    x, y = few.alias("x"), few.alias("y")
-    some = _pairs(x.join(y, (F.col("x.word") == F.col("y.word")) & (_place("y") < _place("x")) & _may_match("x", "y"))).distinct()
-    some = save(some, "line-pairs")
-
-    big = save(at_words.where(F.col("sets") > BIG).drop("sets"), "line-words")
-    lead = big.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", "pos", "bits")).alias("lead")).select("word", "lead.*")
-    by_lead = big.alias("x").join(lead.alias("y"), (F.col("x.word") == F.col("y.word")) & (_place("y") < _place("x")) & _may_match("x", "y"))
-    some = some.union(_pairs(by_lead)).distinct()
-
-    ids = some.select(*[F.col(f"x_{c}").alias(c) for c in _ORDER]).union(some.select(*[F.col(f"y_{c}").alias(c) for c in _ORDER]))
-    ids = ids.union(big.select(*_ORDER)).distinct()
-    whole = lines.dropDuplicates(_ORDER) if "version" in _repeats(docs) else lines
-    full = save(whole.join(ids, _ORDER).select(*_ORDER, word_keys(F.col("words"), classes).alias("keys")), "line-sets")
-    gone = save(_verified(some, full), "lines-gone")
-
-    standing = big.join(gone, _ORDER, "left_anti")
-    rest = standing.alias("x").join(big.alias("y"), (F.col("x.word") == F.col("y.word")) & (_place("y") < _place("x")) & _may_match("x", "y"))
-    gone = gone.union(_verified(_pairs(rest).distinct(), full))
-
-    firsts = keyed.groupBy("sig", "sig2").agg(first).select("sig", "sig2", F.col("at.doc").alias("doc"),
-                                                          F.col("at.version").alias("version"), F.col("at.line").alias("line"))
-    firsts = firsts.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left")
+    first = F.min(F.struct(*_ORDER)).alias("at")
+    sets = keyed.where(F.col("n") * DEN >= (F.col("n") + 1) * NUM).groupBy("sig", "sig2").agg(
+        first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
+    sets = save(sets.select("at.*", "n", "bits", "more", "prefix"), "line-sets")
+    signed = save(keyed.where("n > 0").select(*_ORDER, "sig", "sig2"), "line-signatures")
+    delete(keyed)
+
+    words = sets.select(*_ORDER, "n", "bits", "more", F.explode("prefix").alias("word"))
+    crowded = _literal([int(c > BIG) for c in _bucket_counts(words.select(F.col("word").alias("key")))])
+    crowded = words.where(F.element_at(crowded, _bucket(F.col("word")) + 1) == 1)
+    many = save(crowded.groupBy("word").count().where(F.col("count") > BIG).select("word"), "line-words")
+    any_many = not many.isEmpty()
+
+    # A similar pair that shares a crowded word meets there; all others share uncrowded ones only.
+    few = words.join(many, "word", "left_anti") if any_many else words
+    pairs, members = _enough_met(_meet(few, few)).select(*_X, *_Y, "differ"), None
+    if any_many:
+        members = save(words.join(many, "word", "left_semi"), "line-members")
+        lead = members.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", "bits", "more")).alias("lead")).select("word", "lead.*")
+        pairs = pairs.union(_meet(members, lead).select(*pairs.columns)).distinct()
+    pairs = save(pairs, "line-pairs")
+
+    ids = _places(pairs, _X).union(_places(pairs, _Y))
+    if any_many:
+        ids = ids.union(members.select(*_ORDER))
+    once = lines if unique else lines.dropDuplicates(_ORDER)
+    texts = save(once.join(ids.distinct(), _ORDER), "line-texts")
+
+    likeliest = pairs.groupBy(*_X).agg(F.min(F.struct("differ", *_Y)).alias("y")).select(*_X, "y.*")
+    gone = save(_verified(likeliest, texts), "lines-gone")
+    standing = pairs.join(gone.select(*[F.col(c).alias(f"x_{c}") for c in _ORDER]), _X, "left_anti")
+    gone = save(gone.union(_verified(standing, texts)), "lines-gone")
+    if any_many:
+        rest = _meet(members.join(gone, _ORDER, "left_anti"), members)
+        gone = gone.union(_verified(rest, texts))
+
+    firsts = signed.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "at.*")
+    firsts = firsts.join(gone.distinct().withColumn("lost", F.lit(True)), _ORDER, "left")
     firsts = firsts.select("sig", "sig2", F.struct(*_ORDER).alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
-    judged = keyed.select(*_ORDER, "sig", "sig2").join(firsts, ["sig", "sig2"])
+    judged = signed.join(firsts, ["sig", "sig2"])
     return judged.where(F.col("lost") | (F.struct(*_ORDER) != F.col("first"))).select(*_ORDER).distinct()
 
 
-def _repeats(docs: DataFrame) -> tuple[str, ...]:
-    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return () if n == ids else ("version",)
-
-
 def line_decisions(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (sorted line numbers from 0, comma-joined) of every row of ``docs``.
 
@@ -171,26 +239,27 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     not the text are documents of their own, ordered by their texts' hashes;
     rows that share both are one document.  Other columns are ignored.
     """
-    gone = removed_lines(docs).groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) if _repeats(docs) else F.lit(0).cast("long")
+    unique = ids_are_unique(docs)
+    gone = removed_lines(docs, unique).groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col("text").cast("string"), "\n", -1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
-                       version.alias("version"), lines.alias("n_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), _version(unique).alias("version"),
+                       lines.alias("n_lines"))
     out = rows.join(gone, ["doc", "version"], "left")
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
-                      F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+                      F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+                      F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; null texts stay null, other columns unchanged."""
-    gone = removed_lines(docs).groupBy("doc", "version").agg(F.collect_set("line").alias("removed"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("removed").alias("_removed"))
-    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) if _repeats(docs) else F.lit(0).cast("long")
-    out = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_doc")) & (version == F.col("_version")), "left")
-    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1),
-                                 lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text").cast("string")).otherwise(kept)
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    unique = ids_are_unique(docs)
+    gone = removed_lines(docs, unique).groupBy("doc", "version").agg(F.collect_list("line").alias("removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _doc().alias("doc"), _version(unique).alias("version"))
+    out = rows.join(gone, ["doc", "version"], "left")
+    text = F.col("row.text").cast("string")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import save, table, text_batches
+from tideline.llm.common import ids_are_unique, save, table, text_batches
 
 LENGTH = 100
 KGRAM = 32
@@ -256,9 +256,9 @@ def document_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
     every id is there once.  Rows that share id and text are one document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, ids = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    version = F.lit(0).cast("long") if n == ids else F.xxhash64("text")
-    return rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), version.alias("version"), "doc_id", "text"), n == ids
+    unique = ids_are_unique(rows)
+    version = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), version.alias("version"), "doc_id", "text"), unique
 
 
 def repeated_runs(rows: DataFrame, unique: bool) -> DataFrame:
