@@ -115,16 +115,30 @@ def _parity(half: int, mask: int) -> Column:
     return F.aggregate("keys", zero, add)
 
 
-def _differ() -> Column:
-    """Bits in which the parity bitmaps of x and y differ: 128 bits when both sets are large, else 64.
+_BITS = ("bits", "half", "low", "high")
+
+
+def _bitmaps(n: Column) -> list[Column]:
+    """Parity bitmaps of 64, 128 (sets over SMALL) and 256 bits (over 2 SMALL), each the fold of the next.
 
-    ``bits`` is the large bitmap folded to 64; ``more`` its lower half, so the
-    other half is their difference.
+    ``half`` is the lower half of the 128 bits; ``low`` and ``high`` are the
+    quarters of the 256 that fold into its two halves.  What is left out is a
+    difference of what is there, and zero for smaller sets.
     """
-    folded = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
-    lower = F.col("x.more").bitwiseXOR(F.col("y.more"))
-    wide = F.bit_count(lower) + F.bit_count(folded.bitwiseXOR(lower))
-    return F.when(F.least("x.n", "y.n") > SMALL, wide).otherwise(F.bit_count(folded))
+    zero = F.lit(0).cast("long")
+    return [_parity(0, 63).alias("bits"), F.when(n > SMALL, _parity(0, 127)).otherwise(zero).alias("half"),
+            F.when(n > 2 * SMALL, _parity(0, 255)).otherwise(zero).alias("low"),
+            F.when(n > 2 * SMALL, _parity(64, 255)).otherwise(zero).alias("high")]
+
+
+def _differ() -> Column:
+    """Differing bits of x and y in the widest bitmap that both sets have."""
+    bits, half, low, high = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in _BITS)
+    other = bits.bitwiseXOR(half)
+    wide = F.bit_count(half) + F.bit_count(other)
+    widest = F.bit_count(low) + F.bit_count(half.bitwiseXOR(low)) + F.bit_count(high) + F.bit_count(other.bitwiseXOR(high))
+    n = F.least("x.n", "y.n")
+    return F.when(n > 2 * SMALL, widest).when(n > SMALL, wide).otherwise(F.bit_count(bits))
 
 
 def _least_own(n: Column) -> Column:
@@ -182,20 +196,19 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     classes = rarity_classes(docs)
     n = F.size("keys")
     prefix = n - _least_own(n).cast("int") + 1
-    more = F.when(n > SMALL, _parity(0, 127)).otherwise(F.lit(0).cast("long"))
     keyed = lines.select(*_ORDER, word_keys(F.col("words"), classes).alias("keys"))
     keyed = save(keyed.select(*_ORDER, n.alias("n"), F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"),
-                              _parity(0, 63).alias("bits"), more.alias("more"), F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
+                              *_bitmaps(n), F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
 
     # Sets of up to three words are similar to equal sets only.
     first = F.min(F.struct(*_ORDER)).alias("at")
     sets = keyed.where(F.col("n") * DEN >= (F.col("n") + 1) * NUM).groupBy("sig", "sig2").agg(
-        first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
-    sets = save(sets.select("at.*", "n", "bits", "more", "prefix"), "line-sets")
+        first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in (*_BITS, "prefix")])
+    sets = save(sets.select("at.*", "n", *_BITS, "prefix"), "line-sets")
     signed = save(keyed.where("n > 0").select(*_ORDER, "sig", "sig2"), "line-signatures")
     delete(keyed)
 
-    words = sets.select(*_ORDER, "n", "bits", "more", F.explode("prefix").alias("word"))
+    words = sets.select(*_ORDER, "n", *_BITS, F.explode("prefix").alias("word"))
     crowded = _literal([int(c > BIG) for c in _bucket_counts(words.select(F.col("word").alias("key")))])
     crowded = words.where(F.element_at(crowded, _bucket(F.col("word")) + 1) == 1)
     many = save(crowded.groupBy("word").count().where(F.col("count") > BIG).select("word"), "line-words")
@@ -206,7 +219,7 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     pairs, members = _enough_met(_meet(few, few)).select(*_X, *_Y, "differ"), None
     if any_many:
         members = save(words.join(many, "word", "left_semi"), "line-members")
-        lead = members.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", "bits", "more")).alias("lead")).select("word", "lead.*")
+        lead = members.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
         pairs = pairs.union(_meet(members, lead).select(*pairs.columns)).distinct()
     pairs = save(pairs, "line-pairs")
 
