@@ -39,7 +39,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     import __spark_entry__ as E
 
-    spark = build_session()
+    spark = build_session(master="local[8]", shuffle_partitions=8)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     print(f"# Final physical plans of the registered queries ({os.path.basename(sf_dir)})\n")
     print("Generated by `scripts/plan_report.py` after running each query (AQE final plans, "

@@ -42,10 +42,16 @@ def day_diff(start: ColumnOrName, end: ColumnOrName, inclusive: bool = False) ->
     ``datediff`` (calendar days) and ``timestampdiff(DAY)`` (toward zero) give
     other answers for sub-day and negative spans.
     """
-    days = F.floor(micros_between(start, end) / F.lit(float(MICROS_PER_DAY)))
+    days = _whole_days(micros_between(start, end))
     return days + F.lit(1) if inclusive else days
 
 
+def _whole_days(micros: Column) -> Column:
+    """Floor of microseconds to days in integers: exact for any span."""
+    day = F.lit(MICROS_PER_DAY).cast("long")
+    return F.call_function("div", micros - F.pmod(micros, day), day)
+
+
 def elapsed_days(start: ColumnOrName, end: ColumnOrName) -> Column:
     """Fractional days from ``start`` to ``end`` (double)."""
     return micros_between(start, end) / F.lit(float(MICROS_PER_DAY))
@@ -92,7 +98,7 @@ def interval_days(c: ColumnOrName) -> Column:
     # total microseconds: the interval added to a fixed instant, measured back
     anchor = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     micros = micros_between(anchor, anchor + iv)
-    return F.floor(micros / F.lit(float(MICROS_PER_DAY)))
+    return _whole_days(micros)
 
 
 def days_from(reference: ColumnOrName, c: ColumnOrName, inclusive: bool = False) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 # Preview sizes used by the reference's explorer and report.
 DISTINCT_PREVIEW = 30
 SAMPLE_VALUES = 3
-SAMPLE_COLUMNS = 8
 REPORT_ROWS = 5
 
 
@@ -99,9 +98,9 @@ def _sort_key(dt: T.DataType, c: Column) -> tuple[Column, Column]:
 
 
 def sample_values(
-    df: DataFrame, k: int = SAMPLE_VALUES, max_cols: int = SAMPLE_COLUMNS
+    df: DataFrame, k: int = SAMPLE_VALUES, max_cols: int | None = None
 ) -> DataFrame:
-    """The ``k`` smallest distinct non-NULL values of the first ``max_cols`` columns.
+    """The ``k`` smallest distinct non-NULL values of every column, or of the first ``max_cols``.
 
     Rows ``(column, rank, value)``, values as text.  One scan: the columns are
     unpivoted into (column, value) pairs, de-duplicated, and ranked per

@@ -10,79 +10,41 @@ subject owning a third of all records would be joined in one task.
 :func:`join_one_per_key` splits such subjects explicitly:
 
 1. count rows per key on the many side (partial aggregation: each task sends
-   one row per key) and keep keys with at least ``hot_rows`` rows, each with
-   ``ceil(rows / hot_rows)`` salts;
-2. give every row of a hot key a salt from a hash of its own values
-   (see below for which columns; deterministic, so a recomputed task after an executor loss produces the
-   same rows), and every other row salt 0;
+   one row per key) and keep keys with at least ``hot_rows`` rows and at least
+   a thousandth of all rows, each with ``ceil(rows / hot_rows)`` salts;
+2. number the rows of a hot key and deal them to its salts in turn, so that
+   equal rows are spread too; every other row has salt 0;
 3. repeat the one-row side's row once per salt of its key, and join on
    ``(key, salt)``.
 
 Step 1 runs as its own small job when the join is built (it reads only the
 key column, and is skipped when a parallel count finds fewer rows than the
-threshold); the hot keys it finds, at most ``rows / hot_rows`` of them, are
-fetched once and broadcast as a local table.  When no key reaches the
-threshold, the
-plain join is planned, with full column pruning and Spark's own
-broadcast/sort-merge choice.  The salted route hashes ``salt_cols`` when given,
-else the many side's fixed-width columns (numbers, dates, timestamps, flags),
-else every column; so by default a scan of the many side still skips its text
-columns unless a later step reads them.  It is taken only when hot keys exist.
-
-A hot key with ``n`` rows is spread over ``ceil(n / hot_rows)`` tasks of at
-most about ``hot_rows`` rows each.  The hot-key table has at most
-``rows / hot_rows`` entries and the added one-side rows sum to at most the
-same number, so the broadcast of the hot keys has a size bound that the
-threshold sets, not the data.  Rows with a NULL key never match in a
-NULL-rejecting join, so they are spread over all salts without replication.
+threshold).  At most 1,000 hot keys exist whatever the table's size, so
+fetching and broadcasting them is bounded.  When no key is hot, the plain join
+is planned, with full column pruning and Spark's own choice of join.  Numbers
+come from the partition and the row's place in it, or from a hash of
+``salt_cols`` when given.  Rows with a NULL key never match in a
+NULL-rejecting join; they are dealt like any hot key, without replication.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HOT_ROWS_CONF = "tideline.skew.hotKeyRows"
 # A key with this many rows or more is split; at ~100 bytes a row this is a
 # few hundred MB per task, the usual target partition size on a cluster.
 DEFAULT_HOT_ROWS = 2_000_000
-NULL_SALTS = 64
+# A key is hot only with at least this share of all rows, so at most as many
+# keys as its inverse are ever fetched and broadcast.
+LEAST_SHARE = 1 / 1000
 
 
 def hot_key_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-_FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-
-
-def _hashable(df: DataFrame) -> list[Column]:
-    def ok(dt: T.DataType) -> bool:
-        if isinstance(dt, T.MapType):
-            return False
-        if isinstance(dt, T.StructType):
-            return all(ok(f.dataType) for f in dt.fields)
-        if isinstance(dt, T.ArrayType):
-            return ok(dt.elementType)
-        return True
-
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if ok(f.dataType)]
-
-
-def _salt_columns(df: DataFrame) -> list[Column]:
-    """Columns hashed to spread a hot key when the caller names none.
-
-    The fixed-width columns (numbers, dates, timestamps, flags) when there are
-    any: they tell rows apart as well as a whole row usually does, and a
-    columnar scan then skips the wide text columns unless a later step reads
-    them.  Otherwise every hashable column.
-    """
-    fixed = [F.col(f"`{f.name}`") for f in df.schema.fields
-             if isinstance(f.dataType, _FIXED_WIDTH)]
-    return fixed or _hashable(df)
-
-
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """Keys with at least ``hot_rows`` rows and their salt count ``_ns``.
 
@@ -122,11 +84,12 @@ def join_one_per_key(
     # fewer rows than the threshold: no key can be hot.  A plain count is
     # fully parallel and, on a Parquet scan, reads footers only (a limit
     # before the count would funnel rows into a single partition).
-    if many.count() < hot_rows:
+    rows = many.count()
+    hot_rows = max(hot_rows, int(rows * LEAST_SHARE))
+    if rows < hot_rows:
         return many.join(one, plain_cond, how)
     hot_table = hot_keys(many, many_key, hot_rows)
-    # at most rows / hot_rows keys: the same rows a broadcast of the table
-    # would move through the driver, fetched once instead of recomputed
+    # at most 1 / LEAST_SHARE keys, whatever the table's size
     hot_list = hot_table.collect()
     if not hot_list:
         return many.join(one, plain_cond, how)
@@ -135,11 +98,12 @@ def join_one_per_key(
     hot = F.broadcast(spark.createDataFrame(hot_list, hot_table.schema))
     hk = hot.select(F.col("_hk").alias("_hk_m"), F.col("_ns").alias("_ns_m"))
     tag_m = many[many_key].eqNullSafe(hk["_hk_m"]) if null_safe else many[many_key] == hk["_hk_m"]
-    hashed = [F.col(f"`{c}`") for c in salt_cols] if salt_cols else _salt_columns(many)
-    row_hash = F.xxhash64(*(hashed or [F.lit(0)]))
-    salt = F.when(F.col("_ns_m").isNotNull(), F.pmod(row_hash, F.col("_ns_m")))
+    # A running number deals rows evenly, also rows that are equal in every column.
+    number = F.xxhash64(*[F.col(f"`{c}`") for c in salt_cols]) if salt_cols else F.monotonically_increasing_id()
+    salt = F.when(F.col("_ns_m").isNotNull(), F.pmod(number, F.col("_ns_m")))
     if not null_safe:
-        salt = salt.when(F.col(f"`{many_key}`").isNull(), F.pmod(row_hash, F.lit(NULL_SALTS)))
+        null_salts = next((r["_ns"] for r in hot_list if r["_hk"] is None), 1)
+        salt = salt.when(F.col(f"`{many_key}`").isNull(), F.pmod(number, F.lit(null_salts)))
     salted_many = (
         many.join(hk, tag_m, "left")
         .withColumn("_salt_m", salt.otherwise(F.lit(0)).cast("long"))

@@ -332,7 +332,8 @@ def q_apply_steps(spark, d):
     steps = [
         {"kind": "merge", "key": ITEM_KEY},
         {"kind": "derive", "name": "ship_day",
-         "expr": "floor(timestampdiff(MICROSECOND, o_orderdate, l_shipdate) / 86400000000D) + 1"},
+         "expr": "(timestampdiff(MICROSECOND, o_orderdate, l_shipdate)"
+                 " - pmod(timestampdiff(MICROSECOND, o_orderdate, l_shipdate), 86400000000L)) div 86400000000L + 1"},
         {"kind": "filter", "predicate": "ship_day > 0"},
         {"kind": "drop_missing", "cols": ["o_orderpriority"]},
     ]

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 
 def _days(start: str, end: str) -> str:
-    return (
-        f"CAST(floor(CAST(epoch_us({end}) - epoch_us({start}) AS DOUBLE) "
-        f"/ CAST(86400000000 AS DOUBLE)) AS BIGINT)"
-    )
+    micros = f"CAST(epoch_us({end}) - epoch_us({start}) AS BIGINT)"
+    return f"(({micros} - (({micros} % 86400000000) + 86400000000) % 86400000000) // 86400000000)"
 
 
 def _elapsed(start: str, end: str) -> str:

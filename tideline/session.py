@@ -41,22 +41,22 @@ def build_session(
 ) -> SparkSession:
     """Create (or reuse) a session with :data:`ENGINE_CONF` applied.
 
-    ``master`` defaults to ``local[N]`` with N from ``$BENCH_CPUS`` or 8; on a
-    cluster pass ``master=None`` through ``spark-submit`` and leave it unset.
+    Master, shuffle partitions and driver memory are set only when asked for;
+    otherwise they are what the submit command or the cluster says.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.appName(app_name)
-    if master is not None or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
     conf = dict(ENGINE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf.setdefault("spark.driver.memory", os.environ.get("TIDELINE_DRIVER_MEMORY", "16g"))
+    if master is not None:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            conf["spark.driver.memory"] = os.environ.get("TIDELINE_DRIVER_MEMORY", "16g")
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 

@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tideline.functions.dates import day_diff
 from tideline.operators.merge import OrderItem, merge_subjects
 from tideline.operators.timeline import category_markers
-from tideline.session import ensure_checkpoint_dir
 
 
 def stream_markers(
@@ -48,13 +47,15 @@ def start_marker_sink(
 ) -> StreamingQuery:
     """Append markers to Parquet at ``path``.
 
-    ``checkpoint`` defaults to a folder under the session's shared checkpoint
-    directory, never a machine-local one on a cluster.
+    The checkpoint must be the same folder after a restart, or the source's
+    position is lost.  So it is either given, or named by ``query_name`` under
+    the shared folder set as ``spark.checkpoint.dir``.
     """
-    spark = markers.sparkSession
     if checkpoint is None:
-        base = ensure_checkpoint_dir(spark)
-        checkpoint = f"{base.rstrip('/')}/stream-{query_name or 'markers'}"
+        base = markers.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base or not query_name:
+            raise ValueError("give a checkpoint, or a query_name and spark.checkpoint.dir")
+        checkpoint = f"{base.rstrip('/')}/stream-{query_name}"
     writer = (
         markers.writeStream.format("parquet")
         .option("path", path)
