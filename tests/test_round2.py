@@ -114,3 +114,13 @@ def test_hot_key_of_equal_rows_is_split(spark):
 def test_sample_values_takes_every_column(spark):
     df = spark.range(5).select(*[F.col("id").alias(f"c{i}") for i in range(11)])
     assert sample_values(df).select("column_name").distinct().count() == 11
+
+
+def test_intent_runs_each_pattern_once(spark):
+    from tideline.operators.textjobs import classify_intent
+
+    df = spark.createDataFrame([("remove the line",), ("add a marker",), ("add and remove",), (None,)], "text string")
+    out = classify_intent(df, "text")
+    assert [r["intent"] for r in out.collect()] == ["remove", "add", "both", "none"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2

@@ -96,9 +96,14 @@ def intent_expr(
     text: ColumnOrName, remove_pattern: str = REMOVE_INTENT, add_pattern: str = ADD_INTENT
 ) -> Column:
     """``remove`` / ``add`` when only one verb family occurs, ``both``, or ``none``."""
-    t = F.coalesce(col_of(text), F.lit(""))
-    has_remove = t.rlike("(?i)" + remove_pattern)
-    has_add = t.rlike("(?i)" + add_pattern)
+    return _intent(_has_verb(text, remove_pattern), _has_verb(text, add_pattern))
+
+
+def _has_verb(text: ColumnOrName, pattern: str) -> Column:
+    return F.coalesce(col_of(text), F.lit("")).rlike("(?i)" + pattern)
+
+
+def _intent(has_remove: Column, has_add: Column) -> Column:
     return (
         F.when(has_remove & has_add, "both")
         .when(has_remove, "remove")
@@ -118,7 +123,9 @@ def classify_intent(
     request with only adding verbs, gets ``wrong_category``; requests with both
     families are deferred (no message).
     """
-    out = df.withColumn(name, intent_expr(text, remove_pattern, add_pattern))
+    # The flags get a projection of their own, so each pattern runs once a row.
+    flags = df.withColumns({"_ci_remove": _has_verb(text, remove_pattern), "_ci_add": _has_verb(text, add_pattern)})
+    out = flags.withColumn(name, _intent(F.col("_ci_remove"), F.col("_ci_add"))).drop("_ci_remove", "_ci_add")
     if category is None:
         return out
     cat, intent = F.col(category), F.col(name)
