@@ -23,12 +23,12 @@ def _rec(spark, data):
 
 
 @SETTINGS
-@given(records=RECORDS, subjects=SUBJECTS, match=st.booleans(), hot=st.sampled_from([0, 3]))
-def test_merge_keeps_every_record(spark, records, subjects, match, hot):
+@given(records=RECORDS, subjects=SUBJECTS, match=st.booleans(), split=st.booleans())
+def test_merge_keeps_every_record(spark, records, subjects, match, split):
     rec = _rec(spark, records)
     sub = spark.createDataFrame(subjects, "k int, arm string")
     merged = merge_subjects(rec, sub, "k", order=["arm"],
-                            null_keys="match" if match else "no_match", hot_rows=hot)
+                            null_keys="match" if match else "no_match", split_hot=split)
     assert merged.count() == len(records)
     assert sorted(merged.select("k", "v").collect(), key=repr) == sorted(rec.collect(), key=repr)
 

@@ -1,4 +1,4 @@
-"""Exact days, failing transforms, restart of the sink, plain sessions, hot keys of equal rows."""
+"""Exact days, failing transforms, restart of the sink and plain sessions; audits, edits and blocks."""
 
 import datetime as dt
 import subprocess
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tideline.functions.dates import day_diff
 from tideline.operators.profile import sample_values
-from tideline.operators.skew import join_one_per_key
 from tideline.plans.steps import guarded_transform
 from tideline.session import build_session
 from tideline.streaming import start_marker_sink
@@ -92,25 +91,6 @@ def test_session_sets_only_what_is_asked(monkeypatch):
     assert not {"master", "spark.sql.shuffle.partitions", "spark.driver.memory"} & set(seen)
 
 
-def tasks_of(df, condition):
-    return df.withColumn("p", F.spark_partition_id()).where(condition).groupBy("p").count().agg(F.max("count")).first()[0]
-
-
-def test_hot_key_of_equal_rows_is_split(spark):
-    one = spark.createDataFrame([("hot", "a"), ("1", "b")], "k1 string, arm string")
-    rec = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit(None)).alias("k"), F.lit("same").alias("text"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        out = join_one_per_key(rec, one, "k", "k1", hot_rows=200)
-        assert out.count() == 4000
-        assert tasks_of(out, "k = 'hot'") < 2666 * 0.7
-        assert tasks_of(out, "k is null") < 1334
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_sample_values_takes_every_column(spark):
     df = spark.range(5).select(*[F.col("id").alias(f"c{i}") for i in range(11)])
     assert sample_values(df).select("column_name").distinct().count() == 11
@@ -124,3 +104,48 @@ def test_intent_runs_each_pattern_once(spark):
     assert [r["intent"] for r in out.collect()] == ["remove", "add", "both", "none"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 2
+
+
+def test_sample_values_are_the_smallest(spark):
+    df = spark.createDataFrame([(10, "b", None), (9, "a", None), (9, "a", None), (None, "c", None)], "n int, s string, e string")
+    got = [tuple(r) for r in sample_values(df, k=3).orderBy("column_name", "rank").collect()]
+    assert got == [("n", 1, "9"), ("n", 2, "10"), ("s", 1, "a"), ("s", 2, "b"), ("s", 3, "c")]
+    assert sample_values(df.limit(0)).count() == 0
+
+
+def test_an_edit_must_keep_protected_layers(spark):
+    from tideline.operators.layers import check_edit_contract, layer_changes
+
+    schema = "plot_id string, layer string"
+    before = spark.createDataFrame([("a", "bar"), ("a", "x"), ("b", "bar"), ("b", "x"), ("c", "bar")], schema)
+    after = spark.createDataFrame([("a", "x"), ("b", "bar"), ("c", "bar"), ("c", "y"), ("c", "z")], schema)
+    cats = spark.createDataFrame([(p, "remove_overlay") for p in "ab"] + [("c", "add_overlay")], "plot_id string, category string")
+    out = check_edit_contract(layer_changes(before, after), requests=cats, protected=["bar"])
+    got = {r["plot_id"]: (r["added"], r["removed"], r["lost_protected"], r["ok"]) for r in out.collect()}
+    assert got == {"a": ([], ["bar"], True, False), "b": ([], ["x"], False, True), "c": (["y", "z"], [], False, False)}
+
+
+def test_audit_of_categories_and_empty_catalogues(spark):
+    from tideline.operators.textjobs import audit_references, audit_verdicts
+
+    df = spark.createDataFrame([(1, 'df["zz"]', "add_overlay"), (2, 'df["zz"]', "title"), (3, 'df["AGE"]', "add_overlay")],
+                               "id int, text string, category string")
+    names = spark.createDataFrame([("AGE",), (None,)], "name string")
+    out = audit_verdicts(df, ["id"], "text", names, category="category")
+    assert {r["id"]: (r["unknown"], r["ok"]) for r in out.collect()} == {1: (["zz"], False), 2: ([], True), 3: ([], True)}
+    assert audit_references(df, ["id"], "text", names.limit(0)).count() == 0
+
+
+def test_text_without_a_block_is_stripped(spark):
+    from tideline.operators.textjobs import extract_block
+
+    df = spark.createDataFrame([("  x = 1 \n",), (" ```python y",)], "text string")
+    assert [r["block"] for r in extract_block(df, "text").collect()] == ["x = 1", "```python y"]
+
+
+def test_slashed_dates_with_short_parts(spark):
+    from tideline.functions import to_timestamp_lenient
+
+    df = spark.createDataFrame([("1/5/2020",), ("01/05/2020",), ("2020/01/05",), ("2020/1/5",), ("1/2",)], "s string")
+    got = [r[0] for r in df.select(to_timestamp_lenient("s").cast("date")).collect()]
+    assert got == [dt.date(2020, 1, 5)] * 4 + [None]

@@ -1,21 +1,42 @@
-"""Hot subjects: the salted one-row-per-key join equals a plain join and
-spreads a subject holding a third of all rows over several tasks."""
+"""Hot subjects: one lazy plan that equals a plain join, and that adaptive
+execution splits where a key holds a third of all rows."""
+
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SMOKE_DIR, rows
 from tideline.operators.derive import exclude_subjects, keep_subjects, per_subject
-from tideline.operators.merge import merge_subjects, orphan_markers
-from tideline.operators.skew import HOT_ROWS_CONF, hot_keys, join_one_per_key
+from tideline.operators.merge import check_row_count, merge_subjects, merge_with_counts, orphan_markers
+from tideline.operators.skew import join_one_per_key
 from tideline.operators.textjobs import conversation_log
+from tideline.plans.catalog import QUERIES
+
+SPLIT_SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+}
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Sizes at which the split shows on test tables."""
+    old = {k: spark.conf.get(k, None) for k in SPLIT_SMALL}
+    for k, v in SPLIT_SMALL.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.fixture
 def skewed(spark):
     # key 7 holds a third of all rows; some keys are NULL
-    n = 3000
-    rec = spark.range(n).select(
+    rec = spark.range(0, 3000, 1, 6).select(
         F.when(F.col("id") % 3 == 0, F.lit(7))
         .when(F.col("id") % 101 == 0, F.lit(None))
         .otherwise(F.col("id") % 50).alias("k"),
@@ -26,99 +47,91 @@ def skewed(spark):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_salted_join_equals_plain_join(skewed, how, null_safe):
+def test_split_join_equals_plain_join(skewed, how, null_safe):
     rec, sub = skewed
     one = sub.withColumnRenamed("k", "sk")
-    salted = join_one_per_key(rec, one, "k", "sk", how, null_safe=null_safe, hot_rows=50)
-    plain = join_one_per_key(rec, one, "k", "sk", how, null_safe=null_safe, hot_rows=0)
-    assert salted.columns == plain.columns
-    assert rows(salted) == rows(plain)
-
-
-def test_hot_key_table_is_bounded(skewed):
-    rec, _ = skewed
-    n7 = rec.filter("k = 7").count()
-    hot = rows(hot_keys(rec, "k", 500))
-    assert hot == [(7, -(-n7 // 500))]
-    assert len(rows(hot_keys(rec, "k", 50))) <= 3000 // 50
-
-
-def test_hot_subject_spread_over_tasks(spark, skewed):
+    split = join_one_per_key(rec, one, "k", "sk", how, null_safe=null_safe)
+    plain = join_one_per_key(rec, one, "k", "sk", how, null_safe=null_safe, split_hot=False)
+    assert split.columns == plain.columns
+    assert rows(split) == rows(plain)
+
+
+@pytest.mark.parametrize("kinds", ["int long", "long double", "decimal(12,2) int", "string int", "date timestamp_ntz"])
+def test_keys_of_two_types_meet_as_in_a_plain_join(spark, kinds):
+    a, b = kinds.split()
+    text = ["2020-01-01", "2020-01-02"] if a == "date" else ["1", "2"]
+    left = spark.createDataFrame([(t,) for t in text], "k string").select(F.col("k").cast(a))
+    right = spark.createDataFrame([(text[1],)], "sk string").select(F.col("sk").cast(b))
+    got = join_one_per_key(left, right, "k", "sk", "inner")
+    assert got.count() == left.join(right, left.k == right.sk).count() == 1
+
+
+def records(spark, kind):
+    n, hot = 60_000, F.col("id") % 3 == 0
+    key = F.when(hot, F.lit(None) if kind == "null third" else F.lit(7)).otherwise(F.col("id") % 3000)
+    text = F.lit("same") if kind == "equal rows" else F.sha2(F.col("id").cast("string"), 256)
+    return n, spark.range(0, n, 1, 12).select(key.alias("k"), text.alias("text"))
+
+
+@pytest.mark.parametrize("kind", ["key and text", "equal rows", "null third"])
+def test_no_task_holds_a_third_of_all_rows(spark, small_splits, kind):
+    n, rec = records(spark, kind)
+    # an aggregated side: already partitioned on the key, so a plain join cannot be split
+    sub = spark.range(9000).groupBy((F.col("id") % 3000).alias("k")).agg(F.max("id").cast("string").alias("arm"))
+    largest = {}
+    for split in (False, True):
+        out = merge_subjects(rec, sub, "k", split_hot=split).withColumn("p", F.spark_partition_id())
+        largest[split] = Counter(r["p"] for r in out.collect()).most_common(1)[0][1]
+    assert largest[False] >= n / 3
+    assert largest[True] < n / 5  # the 20,000 rows of the hot key lie in several tasks
+
+
+def test_building_runs_no_job(spark, skewed):
     rec, sub = skewed
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "no job while a plan is built")
     try:
-        merged = merge_subjects(rec, sub, "k", hot_rows=100)
-        tasks = merged.withColumn("p", F.spark_partition_id()).filter("k = 7 AND arm IS NOT NULL") \
-            .select("p").distinct().count()
-        plain = merge_subjects(rec, sub, "k", hot_rows=0)
-        plain_tasks = plain.withColumn("p", F.spark_partition_id()).filter("k = 7 AND arm IS NOT NULL") \
-            .select("p").distinct().count()
+        merge_subjects(rec, sub, "k")
+        per_subject(rec, "k", {"mx": F.max("v")})
+        keep_subjects(rec, sub, "k")
+        orphan_markers(rec, sub, "k")
+        assert not tracker.getJobIdsForGroup("build-only")
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plain_tasks == 1
-    assert tasks > 1
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_operators_use_threshold_from_conf(spark, skewed):
+def test_counts_are_filled_by_the_merge_itself(spark, skewed):
     rec, sub = skewed
-    expected = {
-        "merge": rows(merge_subjects(rec, sub, "k", hot_rows=0)),
-        "per": rows(per_subject(rec, "k", {"mx": F.max("v")}, method="window")),
-        "keep": rows(keep_subjects(rec, sub, "k")),
-        "drop": rows(exclude_subjects(rec, sub, "k")),
-        "orphan": rows(orphan_markers(rec, sub, "k")),
-    }
-    spark.conf.set(HOT_ROWS_CONF, "60")
-    try:
-        got = {
-            "merge": rows(merge_subjects(rec, sub, "k")),
-            "per": rows(per_subject(rec, "k", {"mx": F.max("v")})),
-            "keep": rows(keep_subjects(rec, sub, "k")),
-            "drop": rows(exclude_subjects(rec, sub, "k")),
-            "orphan": rows(orphan_markers(rec, sub, "k")),
-        }
-        conv = rec.select(F.col("k").alias("conv_id"), F.col("v").alias("turn"),
-                          F.lit("user").alias("role"), F.col("v").cast("string").alias("text"))
-        log_salted = rows(conversation_log(conv))
-    finally:
-        spark.conf.unset(HOT_ROWS_CONF)
-    assert got == expected
-    assert log_salted == rows(conversation_log(conv))
+    merged, before, after = merge_with_counts(rec, sub, "k")
+    merged.write.format("noop").mode("overwrite").save()
+    assert before.get["rows"] == 3000
+    assert check_row_count(before, after) == 3000
 
 
-def test_salt_columns_limit_the_scan(spark, skewed):
+def test_operators_on_skewed_tables(spark, skewed):
+    rec, sub = skewed
+    plain = rows(merge_subjects(rec, sub, "k", split_hot=False))
+    assert rows(merge_subjects(rec, sub, "k")) == plain
+    known = {r["k"] for r in sub.collect()}
+    data = [tuple(r) for r in rec.collect()]
+    assert rows(keep_subjects(rec, sub, "k")) == sorted([r for r in data if r[0] in known], key=repr)
+    gone = sorted([r for r in data if r[0] not in known], key=repr)
+    assert rows(exclude_subjects(rec, sub, "k")) == rows(orphan_markers(rec, sub, "k")) == gone
+    conv = rec.select(F.col("k").alias("conv_id"), F.col("v").alias("turn"), F.lit("user").alias("role"),
+                      F.col("v").cast("string").alias("text"))
+    sizes = Counter(r[0] for r in data)
+    assert all(r["n_messages"] == sizes[r["conv_id"]] for r in conversation_log(conv).collect())
+
+
+def test_merge_reads_only_what_is_used(skewed):
     rec, sub = skewed
     rec = rec.withColumn("wide", F.repeat(F.lit("x"), 10))
-    merged = merge_subjects(rec, sub, "k", hot_rows=100, salt_cols=["v"]).select("k", "arm")
-    plain = merge_subjects(rec, sub, "k", hot_rows=0).select("k", "arm")
-    assert rows(merged) == rows(plain)
-    plan = merged._jdf.queryExecution().optimizedPlan().toString()
-    assert "wide" not in plan
+    merged = merge_subjects(rec, sub, "k").select("k", "arm")
+    assert "wide" not in merged._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_default_salt_skips_text_columns(spark, skewed):
-    """Without salt_cols rows are dealt by number: a text column that nothing
-    downstream reads stays out of the plan."""
-    rec, sub = skewed
-    rec = rec.withColumn("wide", F.repeat(F.lit("x"), 10))
-    merged = merge_subjects(rec, sub, "k", hot_rows=100).select("k", "arm")
-    plain = merge_subjects(rec, sub, "k", hot_rows=0).select("k", "arm")
-    assert rows(merged) == rows(plain)
-    plan = merged._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt_m" in plan and "wide" not in plan
-
-
-def test_salt_of_text_records_is_a_running_number(spark):
-    """Records with text columns only still spread a hot key (rows are dealt
-    by number) and join exactly like the plain join."""
-    rec = spark.range(600).select(
-        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
-        F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
-    one = spark.createDataFrame([("hot", "a"), ("1", "b"), ("3", "c")], "k string, arm string")
-    salted = join_one_per_key(rec, one.withColumnRenamed("k", "k1"), "k", "k1", hot_rows=50)
-    plain = join_one_per_key(rec, one.withColumnRenamed("k", "k1"), "k", "k1", hot_rows=0)
-    assert rows(salted) == rows(plain)
-    salts = salted._jdf.queryExecution().optimizedPlan().toString()
-    assert "monotonically_increasing_id" in salts
+def test_hot_query_takes_the_split_route(spark, small_splits):
+    df = QUERIES["hot_merge"](spark, SMOKE_DIR)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan

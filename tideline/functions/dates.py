@@ -16,13 +16,14 @@ from tideline.functions.common import ColumnOrName, col_of
 MICROS_PER_DAY = 86_400_000_000
 
 # String date layouts tried after Spark's own ISO parsing, in order.
-DEFAULT_DATE_FORMATS: tuple[str, ...] = ("yyyyMMdd", "ddMMMyyyy", "MM/dd/yyyy")
+DEFAULT_DATE_FORMATS: tuple[str, ...] = ("yyyyMMdd", "ddMMMyyyy", "M/d/yyyy", "yyyy/M/d")
 # The text shape each layout can parse.  A parse attempt that fails costs an
 # exception inside Spark, so text of another shape is not tried at all.
 FORMAT_SHAPES: dict[str, str] = {
     "yyyyMMdd": r"^[0-9]{8}$",
     "ddMMMyyyy": r"^[0-9]{2}[A-Za-z]{3}[0-9]{4}$",
-    "MM/dd/yyyy": r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$",
+    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "yyyy/M/d": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
 }
 # ISO text must open with a four-digit year; Spark alone would also read
 # "12345" as the year 12345.

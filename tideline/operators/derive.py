@@ -123,8 +123,8 @@ def keep_subjects(
     """rows whose subject is in ``subjects`` (a table or a list): semi join.
 
     The subject list is de-duplicated first (partial aggregation), so a
-    subject listed many times is one build row; hot subjects on ``df`` are
-    salted (:mod:`tideline.operators.skew`).
+    subject listed many times is one build row; hot subjects on ``df`` can be
+    split (:mod:`tideline.operators.skew`).
     """
     s = _subject_keys(subjects, key, df)
     keys = s.select(F.col(subjects_key or key).alias("_keep_key")).distinct()
@@ -156,19 +156,13 @@ def require_subject_id(roles: Roles, allowed: Sequence[str] = SUBJECT_ID_COLUMNS
 
 
 def per_subject(
-    df: DataFrame, key: str, aggs: Mapping[str, Column], method: str = "join"
+    df: DataFrame, key: str, aggs: Mapping[str, Column]
 ) -> DataFrame:
     """Per-subject aggregates spread back onto every row.
 
-    ``method='join'`` (default) aggregates first (partial aggregation, so a hot
-    subject is folded before the exchange) and joins the one-row-per-subject
-    result back null-safely, salting hot subjects over several tasks.
-    ``method='window'`` uses ``agg OVER (PARTITION BY key)``, which sends all
-    rows of one subject to one task.
+    Aggregates first (partial aggregation, so a hot subject is folded before
+    the exchange) and joins the one-row-per-subject result back null-safely.
     """
-    if method == "window":
-        w = Window.partitionBy(key)
-        return df.withColumns({n: a.over(w) for n, a in aggs.items()})
     per_key = df.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
     per_key = per_key.withColumnRenamed(key, "_ps_key")
     out = join_one_per_key(df, per_key, key, "_ps_key", "left", null_safe=True)
@@ -177,7 +171,7 @@ def per_subject(
 
 def days_since_min(
     df: DataFrame, col: str, by: str | None = None, inclusive: bool = False,
-    name: str = "days_since_min", method: str = "join",
+    name: str = "days_since_min",
 ) -> DataFrame:
     """P5: whole days from the smallest ``col`` (overall, or per ``by``) to each row.
 
@@ -189,7 +183,7 @@ def days_since_min(
         first = df.agg(F.min(col)).scalar()
         return df.withColumn(name, day_diff(first, F.col(col), inclusive=inclusive))
     tmp = f"_min_{col}"
-    out = per_subject(df, by, {tmp: F.min(col)}, method=method)
+    out = per_subject(df, by, {tmp: F.min(col)})
     return out.withColumn(name, day_diff(F.col(tmp), F.col(col), inclusive=inclusive)).drop(tmp)
 
 

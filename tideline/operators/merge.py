@@ -6,9 +6,8 @@ carries strings, spilling like any sort): every map task folds its
 rows to one per key before the exchange, and a key that owns a third of the
 table costs one row per task, not a third of the table in one task.  The merge
 is a left equi-join of the records onto that one-row-per-key table, through
-:func:`tideline.operators.skew.join_one_per_key`: subjects with very many
-records are salted over several tasks (AQE's own skew split cannot reach a
-join input that comes out of an aggregate).  The join strategy is otherwise
+:func:`tideline.operators.skew.join_one_per_key`, whose plan lets adaptive
+execution split a subject with very many records over several tasks.  The join strategy is otherwise
 left to Spark: the subject side is broadcast only when its size is known to be
 under ``spark.sql.autoBroadcastJoinThreshold`` (from statistics, or at run
 time from AQE's measured shuffle size); above it a sort-merge join runs.
@@ -137,8 +136,7 @@ def merge_subjects(
     null_keys: str = "no_match",
     suffix: str = "_subj",
     dedup: bool = True,
-    hot_rows: int | None = None,
-    salt_cols: Sequence[str] | None = None,
+    split_hot: bool = True,
 ) -> DataFrame:
     """J1 (+J4): left-join one row per subject onto every record.
 
@@ -151,11 +149,8 @@ def merge_subjects(
     so the merge never multiplies records.  Subject columns whose names clash
     with record columns get ``suffix``.  ``null_keys='match'`` pairs NULL keys
     with each other, as pandas does; the default leaves them unmatched.
-    ``hot_rows`` overrides the hot-subject threshold (``0`` disables
-    splitting, for records that already hold one row per subject);
-    ``salt_cols`` names the record columns hashed to spread a hot subject
-    (default: the fixed-width record columns, so a skewed merge still skips
-    the record text columns nothing downstream reads).
+    ``split_hot=False`` is for records that already hold one row per subject
+    (:func:`tideline.operators.skew.join_one_per_key`).
     """
     rkey, skey = _keys(key)
     wanted = list(cols) if cols is not None else [c for c in subjects.columns if c != skey]
@@ -166,8 +161,7 @@ def merge_subjects(
     renames[skey] = "_merge_key"
     subj = subj.withColumnsRenamed(renames)
     out = join_one_per_key(records, subj, rkey, "_merge_key", "left",
-                           null_safe=null_keys == "match", hot_rows=hot_rows,
-                           salt_cols=list(salt_cols) if salt_cols else None)
+                           null_safe=null_keys == "match", split_hot=split_hot)
     return out.drop("_merge_key")
 
 

@@ -2,58 +2,33 @@
 
 Several operators join a records table (many rows per subject) to a table with
 at most one row per subject: the merge (J1), per-subject values spread back to
-rows (W3, P5), conversation summaries (X6), marker/bar checks (J5).  With the
-one-row side produced by an aggregate, Spark's adaptive skew-join split
-cannot apply (it needs a shuffle directly under both join inputs), so a
-subject owning a third of all records would be joined in one task.
-
-:func:`join_one_per_key` splits such subjects explicitly:
-
-1. count rows per key on the many side (partial aggregation: each task sends
-   one row per key) and keep keys with at least ``hot_rows`` rows and at least
-   a thousandth of all rows, each with ``ceil(rows / hot_rows)`` salts;
-2. number the rows of a hot key and deal them to its salts in turn, so that
-   equal rows are spread too; every other row has salt 0;
-3. repeat the one-row side's row once per salt of its key, and join on
-   ``(key, salt)``.
-
-Step 1 runs as its own small job when the join is built (it reads only the
-key column, and is skipped when a parallel count finds fewer rows than the
-threshold).  At most 1,000 hot keys exist whatever the table's size, so
-fetching and broadcasting them is bounded.  When no key is hot, the plain join
-is planned, with full column pruning and Spark's own choice of join.  Numbers
-come from the partition and the row's place in it, or from a hash of
-``salt_cols`` when given.  Rows with a NULL key never match in a
-NULL-rejecting join; they are dealt like any hot key, without replication.
+rows (W3, P5), conversation summaries (X6), marker/bar checks (J5), reference
+audits (X5).  A subject owning a third of all records must not be joined in
+one task.
+
+Spark's adaptive execution splits such a partition by map outputs at run time,
+from measured sizes, but only where a shuffle lies directly under both join
+inputs.  A one-row side that comes out of an aggregate is already partitioned
+on the key and has none.  :func:`join_one_per_key` therefore joins on the key
+and its hash: the aggregate's partitioning on the key alone does not serve
+that pair (``spark.sql.requireAllClusterKeysForCoPartition``, on by default),
+so Spark shuffles the one-row side once more, by (key, hash), and can split.
+
+The plan is the same at every size and lazy: no job runs while it is built,
+nothing is counted, collected, hinted or salted.  Rows with a NULL key all
+have one hash and are split like any hot key.  The extra cost is one shuffle
+of a table with one row per key; below the broadcast threshold there is no
+join shuffle at all.  It needs ``spark.sql.adaptive.enabled`` and, where a
+later aggregate would reuse the join's partitioning,
+``spark.sql.adaptive.forceOptimizeSkewedJoin`` (both in
+:data:`tideline.session.ENGINE_CONF`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-HOT_ROWS_CONF = "tideline.skew.hotKeyRows"
-# A key with this many rows or more is split; at ~100 bytes a row this is a
-# few hundred MB per task, the usual target partition size on a cluster.
-DEFAULT_HOT_ROWS = 2_000_000
-# A key is hot only with at least this share of all rows, so at most as many
-# keys as its inverse are ever fetched and broadcast.
-LEAST_SHARE = 1 / 1000
-
-
-def hot_key_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows and their salt count ``_ns``.
-
-    At most ``rows(df) / hot_rows`` keys qualify.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") >= hot_rows).select(
-        F.col(key).alias("_hk"), F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_ns")
-    )
+from pyspark.sql import types as T
 
 
 def join_one_per_key(
@@ -63,69 +38,36 @@ def join_one_per_key(
     one_key: str,
     how: str = "left",
     null_safe: bool = False,
-    hot_rows: int | None = None,
-    salt_cols: list[str] | None = None,
+    split_hot: bool = True,
 ) -> DataFrame:
-    """``many JOIN one ON many_key = one_key`` with hot keys split across tasks.
+    """``many JOIN one ON many_key = one_key`` that Spark can split at hot keys.
 
     ``one`` must hold at most one row per key (the caller de-duplicates).
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; with
     ``null_safe`` NULL keys match each other.  Output columns: those of
     ``many`` then those of ``one`` (for inner/left), exactly as a plain join.
-    Set ``hot_rows <= 0`` to join without splitting.  A streaming ``many``
-    side is joined plainly (stream-static join): counting keys over an
-    unbounded input would be a stateful aggregation, and each micro-batch is
-    bounded by the trigger.
+    ``split_hot=False`` joins on the key alone, for a ``many`` side that holds
+    one row per key too, so that both keep their partitioning.  A streaming
+    ``many`` side is joined plainly: each micro-batch is bounded by the trigger.
     """
-    hot_rows = hot_key_rows(many) if hot_rows is None else hot_rows
-    plain_cond = many[many_key].eqNullSafe(one[one_key]) if null_safe else many[many_key] == one[one_key]
-    if hot_rows <= 0 or many.isStreaming:
-        return many.join(one, plain_cond, how)
-    # fewer rows than the threshold: no key can be hot.  A plain count is
-    # fully parallel and, on a Parquet scan, reads footers only (a limit
-    # before the count would funnel rows into a single partition).
-    rows = many.count()
-    hot_rows = max(hot_rows, int(rows * LEAST_SHARE))
-    if rows < hot_rows:
-        return many.join(one, plain_cond, how)
-    hot_table = hot_keys(many, many_key, hot_rows)
-    # at most 1 / LEAST_SHARE keys, whatever the table's size
-    hot_list = hot_table.collect()
-    if not hot_list:
-        return many.join(one, plain_cond, how)
+    left, right = many[many_key], one[one_key]
+    same = left.eqNullSafe(right) if null_safe else left == right
+    if split_hot and not many.isStreaming:
+        hashes = _hashes(many, many_key, one, one_key)
+        same = same & (hashes[0] == hashes[1]) if hashes else same
+    return many.join(one, same, how)
 
-    spark = many.sparkSession
-    hot = F.broadcast(spark.createDataFrame(hot_list, hot_table.schema))
-    hk = hot.select(F.col("_hk").alias("_hk_m"), F.col("_ns").alias("_ns_m"))
-    tag_m = many[many_key].eqNullSafe(hk["_hk_m"]) if null_safe else many[many_key] == hk["_hk_m"]
-    # A running number deals rows evenly, also rows that are equal in every column.
-    number = F.xxhash64(*[F.col(f"`{c}`") for c in salt_cols]) if salt_cols else F.monotonically_increasing_id()
-    salt = F.when(F.col("_ns_m").isNotNull(), F.pmod(number, F.col("_ns_m")))
-    if not null_safe:
-        null_salts = next((r["_ns"] for r in hot_list if r["_hk"] is None), 1)
-        salt = salt.when(F.col(f"`{many_key}`").isNull(), F.pmod(number, F.lit(null_salts)))
-    salted_many = (
-        many.join(hk, tag_m, "left")
-        .withColumn("_salt_m", salt.otherwise(F.lit(0)).cast("long"))
-        .drop("_hk_m", "_ns_m")
-    )
 
-    ho = hot.select(F.col("_hk").alias("_hk_o"), F.col("_ns").alias("_ns_o"))
-    tag_o = one[one_key].eqNullSafe(ho["_hk_o"]) if null_safe else one[one_key] == ho["_hk_o"]
-    salts = F.when(
-        F.col("_ns_o").isNotNull(), F.sequence(F.lit(0), F.col("_ns_o").cast("long") - 1)
-    ).otherwise(F.array(F.lit(0).cast("long")))
-    salted_one = (
-        one.join(ho, tag_o, "left")
-        .withColumn("_salt_o", F.explode(salts))
-        .drop("_hk_o", "_ns_o")
-    )
+def _hashes(many: DataFrame, many_key: str, one: DataFrame, one_key: str) -> tuple[Column, Column] | None:
+    """Hashes that are equal wherever the keys are; None for keys of unlike types.
 
-    key_eq = (
-        salted_many[many_key].eqNullSafe(salted_one[one_key]) if null_safe
-        else salted_many[many_key] == salted_one[one_key]
-    )
-    cond = key_eq & (salted_many["_salt_m"] == salted_one["_salt_o"])
-    out = salted_many.join(salted_one, cond, how)
-    drop = ["_salt_m"] if how in ("left_semi", "left_anti", "semi", "anti") else ["_salt_m", "_salt_o"]
-    return out.drop(*drop)
+    Numbers of two types are hashed as doubles, since equal ones are equal as
+    doubles.
+    """
+    keys = many[many_key], one[one_key]
+    types = many.schema[many_key].dataType, one.schema[one_key].dataType
+    if types[0] != types[1]:
+        if not all(isinstance(t, T.NumericType) for t in types):
+            return None
+        keys = tuple(k.cast("double") for k in keys)
+    return F.xxhash64(keys[0]), F.xxhash64(keys[1])

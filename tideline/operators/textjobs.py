@@ -177,8 +177,8 @@ def block_expr(
 ) -> Column:
     """Text inside the first block opened by ``open_tag`` (else ``fallback_open``).
 
-    The block ends at the next ``close_tag``; an empty or unclosed block leaves
-    the text unchanged, and so does text without an opening tag.  The inside is
+    The block ends at the next ``close_tag``; an empty or unclosed block gives
+    the whole text, and so does text without an opening tag.  The result is
     stripped of surrounding whitespace.
     """
     t = col_of(text)
@@ -186,12 +186,12 @@ def block_expr(
     def inside(tag: str) -> Column:
         start = F.instr(t, tag) + F.lit(len(tag))
         end = F.call_function("locate", F.lit(close_tag), t, start)
-        return F.when(end > start, _strip(t.substr(start, end - start))).otherwise(t)
+        return F.when(end > start, t.substr(start, end - start)).otherwise(t)
 
     out = F.when(F.instr(t, open_tag) > 0, inside(open_tag))
     if fallback_open:
         out = out.when(F.instr(t, fallback_open) > 0, inside(fallback_open))
-    return out.otherwise(t)
+    return _strip(out.otherwise(t))
 
 
 def extract_block(
@@ -228,16 +228,38 @@ def references(
 def audit_references(
     df: DataFrame, id_cols: Sequence[str], text: str, catalog: DataFrame,
     catalog_col: str = "name", pattern: str = BRACKET_REF,
-    ignore: str | None = NON_COLUMN_WORDS,
+    ignore: str | None = NON_COLUMN_WORDS, category: str | None = None,
 ) -> DataFrame:
     """References that are not in the catalogue of known names.
 
-    The catalogue is de-duplicated first (partial aggregation), so a name
-    repeated across a large table is one build row of the anti join.
+    With ``category`` (a column of ``df``) only ``add_overlay`` rows are
+    audited, as no other edit may bring in a column.  An empty catalogue
+    reports nothing.  The catalogue is de-duplicated first (partial
+    aggregation), so a name repeated across a large table is one build row of
+    the anti join; a reference that very many rows make can be split.
     """
+    if category is not None:
+        df = df.filter(F.col(category) == "add_overlay")
     refs = references(df, id_cols, text, pattern, ignore)
-    known = catalog.select(F.col(catalog_col).alias("_known")).distinct()
-    return refs.join(known, refs["ref"] == known["_known"], "left_anti")
+    known = catalog.select(F.col(catalog_col).alias("_known")).filter("_known IS NOT NULL").distinct()
+    any_known = catalog.limit(1).agg(F.count(F.lit(1))).scalar() > 0
+    return join_one_per_key(refs.filter(any_known), known, "ref", "_known", "left_anti")
+
+
+def audit_verdicts(
+    df: DataFrame, id_cols: Sequence[str], text: str, catalog: DataFrame, **kw
+) -> DataFrame:
+    """X5 per row of ``df``: ``(ids..., unknown, ok)``.
+
+    ``unknown`` lists a row's own unknown references sorted (bounded by the
+    length of its text); ``ok`` is true when there are none.  ``id_cols`` must
+    identify a row.
+    """
+    bad = audit_references(df, id_cols, text, catalog, **kw)
+    bad = bad.groupBy(*id_cols).agg(F.array_sort(F.collect_set("ref")).alias("unknown"))
+    out = df.select(*id_cols).join(bad, list(id_cols), "left")
+    unknown = F.coalesce("unknown", F.array().cast("array<string>"))
+    return out.select(*id_cols, unknown.alias("unknown"), (F.size(unknown) == 0).alias("ok"))
 
 
 # ------------------------------------------------------------------- X6 log
@@ -250,10 +272,12 @@ def snippet(c: ColumnOrName, n: int = SNIPPET_CHARS) -> Column:
 
 def conversation_log(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-    text: str = "text",
+    text: str = "text", keep_text: bool = False,
 ) -> DataFrame:
     """Each message with its snippet and its conversation's message count.
 
+    ``keep_text`` carries the whole text beside the snippet.
+
     The count is a per-conversation aggregate joined back (partial
     aggregation first), so a conversation of any length is never gathered
     into one array or one task; the order of messages is the ``turn`` column.
@@ -263,7 +287,8 @@ def conversation_log(
         F.min(turn).alias("first_turn"),
         F.max(turn).alias("last_turn"),
     )
-    msgs = df.select(conv, turn, role, snippet(text).alias("snippet"))
+    kept = [text] if keep_text else []
+    msgs = df.select(conv, turn, role, snippet(text).alias("snippet"), *kept)
     counts = counts.withColumnRenamed(conv, "_conv_key")
     out = join_one_per_key(msgs, counts, conv, "_conv_key", "left", null_safe=True)
     return out.drop("_conv_key")

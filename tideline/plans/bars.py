@@ -49,7 +49,7 @@ def record_bars(
         F.min(time).alias("_first_time"), F.count(F.lit(1)).alias("n_records")
     )
     subj = first_per_key(subjects.select(skey, reference, *attrs), skey, order)
-    merged = merge_subjects(per_subject, subj, (rkey, skey), dedup=False, hot_rows=0)
+    merged = merge_subjects(per_subject, subj, (rkey, skey), dedup=False, split_hot=False)
     return merged.select(
         F.col(rkey),
         day_diff(F.col(reference), F.col("_first_time"), inclusive=inclusive).alias(bar),

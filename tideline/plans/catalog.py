@@ -184,13 +184,16 @@ def q_subject_counts(spark, d):
 
 
 def q_group_agg(spark, d):
-    m = merged_items(spark, d)
-    return P.group_agg(m, "o_orderpriority", {
-        "n_rows": F.count(F.lit(1)),
-        "n_subjects": F.count_distinct("l_orderkey"),
-        "min_day": F.min("ship_day"),
-        "max_day": F.max("ship_day"),
-        "sum_day": F.sum("ship_day"),
+    """Per arm, from one row per subject: the distinct subjects need no expansion of the rows."""
+    per = P.group_agg(merged_items(spark, d), ["l_orderkey", "o_orderpriority"], {
+        "n": F.count(F.lit(1)), "lo": F.min("ship_day"), "hi": F.max("ship_day"), "total": F.sum("ship_day"),
+    })
+    return P.group_agg(per, "o_orderpriority", {
+        "n_rows": F.sum("n"),
+        "n_subjects": F.count("l_orderkey"),
+        "min_day": F.min("lo"),
+        "max_day": F.max("hi"),
+        "sum_day": F.sum("total"),
     })
 
 
@@ -325,7 +328,110 @@ def q_layer_changes(spark, d):
 
 
 def q_edit_contract(spark, d):
-    return U.check_edit_contract(layer_diff(spark, d))
+    out = U.check_edit_contract(layer_diff(spark, d))
+    return out.select("plot_id", "n_added", "n_removed", "add_ok", "remove_ok")
+
+
+def q_edit_requests(spark, d):
+    """Every user's edit judged by its own category; the ``purchase`` layer is protected."""
+    users = _t(spark, d, "events").select(F.col("user_id").alias("plot_id")).distinct()
+    third = F.pmod("plot_id", F.lit(3))
+    requests = users.withColumn("category", F.when(third == 0, "add_overlay").when(third == 1, "remove_overlay")
+                                .otherwise("axes"))
+    return U.check_edit_contract(layer_diff(spark, d), requests=requests, protected=["purchase"])
+
+
+def q_hot_merge(spark, d):
+    """J1 with one order that the query itself gives a third of all items, and NULL keys beside it."""
+    part = F.pmod(F.col("l_partkey"), F.lit(9))
+    key = F.when(part < 3, F.lit(0).cast("long")).when(part > 3, F.col("l_orderkey"))
+    items = _t(spark, d, "lineitem").withColumn("l_orderkey", key)
+    m = M.merge_subjects(items, _t(spark, d, "orders"), ITEM_KEY, cols=ITEM_SUBJECT_COLS)
+    return m.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "o_orderdate", "o_orderpriority")
+
+
+def q_merge_matches(spark, d):
+    """Records before and after the merge and those that found a subject, per order status.
+
+    Only customers in credit are subjects, so some orders find none.
+    """
+    credit = D.filter_rows(_t(spark, d, "customer"), "c_acctbal > 0")
+    merged = M.merge_subjects(_t(spark, d, "orders"), credit, CUST_KEY, cols=["c_mktsegment"])
+    return P.group_agg(merged, "o_orderstatus", {
+        "n_records": F.count(F.lit(1)),
+        "n_matched": F.count("c_mktsegment"),
+        "n_unmatched": F.count_if(F.col("c_mktsegment").isNull()),
+    })
+
+
+def q_merge_clash(spark, d):
+    """A customer column that bears the name of an orders column."""
+    cust = _t(spark, d, "customer").withColumnRenamed("c_mktsegment", "o_orderstatus")
+    return M.merge_subjects(_t(spark, d, "orders"), cust, CUST_KEY, cols=["o_orderstatus"])
+
+
+def q_check_timeline_defects(spark, d):
+    """G6 on an unsound timeline: a bar per order and return flag, a marker per order."""
+    bars = G.subject_bars(merged_items(spark, d).filter("l_returnflag <> 'N'").withColumn(
+        "item", F.struct("l_orderkey", "l_returnflag")), "item", "ship_day")
+    bars = bars.select("item.l_orderkey", "ship_day")
+    orders = _t(spark, d, "orders")
+    markers = G.category_markers(orders.withColumn("day", F.lit(1)), "o_orderkey", "day", "o_orderstatus")
+    return G.check_timeline(bars, markers, "l_orderkey", marker_subject="o_orderkey")
+
+
+def q_sort_by_bar(spark, d):
+    return G.sort_by_bar(item_bars(spark, d), "bar_days", "l_orderkey")
+
+
+def q_column_min(spark, d):
+    return P.column_min(_t(spark, d, "orders"), "o_orderdate")
+
+
+def q_check_list(spark, d):
+    """V6 over the whole-column checks of V5."""
+    return V.check_list(q_validate_timeline(spark, d))
+
+
+def q_validation_report(spark, d):
+    """V9: shapes, first rows and roles of the merged items after a filter."""
+    before = merged_items(spark, d)
+    after = before.filter("ship_day > 0").select("l_orderkey", "l_linenumber", "ship_day")
+    out = V.validation_report(after, Roles(subject="l_orderkey", x="ship_day", bar="ship_day"), original=before,
+                              order=["ship_day", "l_orderkey", "l_linenumber"])
+    return out.select(F.col("original_shape.rows").alias("rows_before"), F.col("processed_shape.rows").alias("rows_after"),
+                      F.array_join("first_rows", ";").alias("first_rows"), F.array_join("columns", ",").alias("columns"))
+
+
+def q_parse_status(spark, d):
+    """X3 on a reply built from every event."""
+    key = (F.when(F.col("event_type") == "click", "Already_Overlaid").when(F.col("event_type") == "error", "WRONG_CATEGORY")
+           .otherwise(F.upper("event_type")))
+    reply = F.concat(F.lit("\n # "), key, F.lit(": user "), F.col("user_id").cast("string"), F.lit(" \nmore"))
+    ev = _t(spark, d, "events").withColumn("reply", reply)
+    return X.parse_status(ev, "reply").select("event_id", "status", "detail")
+
+
+def q_extract_formulas(spark, d):
+    """X7 on captured output built from every event."""
+    out = F.concat(F.lit("start\nDERIVED: "), F.col("event_type"), F.lit("_day = floor(x) = "),
+                   F.col("user_id").cast("string"), F.lit("\nDERIVED: nothing\n derived: a = b"))
+    return X.extract_formulas(_t(spark, d, "events").withColumn("out", out), ["event_id"], "out")
+
+
+def q_intent_category(spark, d):
+    """X2 with a request category per document."""
+    docs = _t(spark, d, "documents").withColumn(
+        "category", F.when(F.col("doc_id") % 2 == 0, "add_overlay").otherwise("remove_overlay"))
+    return X.classify_intent(docs, "text", category="category").select("doc_id", "intent", "wrong_category")
+
+
+def q_audit_verdicts(spark, d):
+    """X5 as a verdict per page; only add requests are audited."""
+    pages = _t(spark, d, "pages").withColumn(
+        "category", F.when(F.col("page_id") % 2 == 0, "add_overlay").otherwise("axes"))
+    langs = _t(spark, d, "documents").select(F.col("lang").alias("name"))
+    return X.audit_verdicts(pages, ["page_id"], "url", langs, pattern=URL_TOKEN, category="category")
 
 
 def q_apply_steps(spark, d):
@@ -350,14 +456,12 @@ def q_last_event(spark, d):
 
 def q_customer_bars(spark, d):
     """Second pairing: orders onto customers; bar = days from a customer's first
-    to last order (+1, W3 spread back), arm = market segment (G5)."""
-    merged = M.merge_subjects(_t(spark, d, "orders"), _t(spark, d, "customer"), CUST_KEY,
-                              cols=["c_mktsegment"])
-    spans = D.per_subject(merged, "o_custkey", {
-        "_first": F.min("o_orderdate"), "_last": F.max("o_orderdate")})
+    to last order (+1), arm = market segment (G5)."""
+    spans = P.group_agg(_t(spark, d, "orders"), "o_custkey", {
+        "_first": F.min("o_orderdate"), "_last": F.max("o_orderdate"), "n_records": F.count(F.lit(1))})
+    spans = M.merge_subjects(spans, _t(spark, d, "customer"), CUST_KEY, cols=["c_mktsegment"], split_hot=False)
     spans = spans.withColumn("span_days", day_diff("_first", "_last", inclusive=True))
-    return G.subject_bars(spans, "o_custkey", "span_days", carry=["c_mktsegment"],
-                          count_records=True)
+    return G.subject_bars(spans, "o_custkey", "span_days", carry=["c_mktsegment", "n_records"])
 
 
 def q_top_orders(spark, d):
@@ -444,4 +548,17 @@ QUERIES: dict[str, Query] = {
     "parse_dates": q_parse_dates,
     "bar_to_days": q_bar_to_days,
     "interval_days": q_interval_days,
+    "edit_requests": q_edit_requests,
+    "hot_merge": q_hot_merge,
+    "merge_matches": q_merge_matches,
+    "merge_clash": q_merge_clash,
+    "check_timeline_defects": q_check_timeline_defects,
+    "sort_by_bar": q_sort_by_bar,
+    "column_min": q_column_min,
+    "check_list": q_check_list,
+    "validation_report": q_validation_report,
+    "parse_status": q_parse_status,
+    "extract_formulas": q_extract_formulas,
+    "intent_category": q_intent_category,
+    "audit_verdicts": q_audit_verdicts,
 }

@@ -1,12 +1,21 @@
 """DuckDB SQL for each registered query (same column names and types).
 
 Day arithmetic is spelled out the same way as in Spark: whole microseconds
-between the two times, divided by the microseconds of a day as a double, then
-floored.  Sums of integers are cast back to BIGINT (DuckDB widens them).
+between the two times, floored to days in integers.  Sums of integers are cast back to BIGINT (DuckDB widens them).
 """
 
 from __future__ import annotations
 
+from tideline.operators.checks import CHECK_LABELS
+from tideline.operators.textjobs import (
+    ADD_INTENT,
+    NON_COLUMN_WORDS,
+    PLOT_TERMS,
+    REMOVE_INTENT,
+    USE_ADD_MSG,
+    USE_REMOVE_MSG,
+)
+
 
 def _days(start: str, end: str) -> str:
     micros = f"CAST(epoch_us({end}) - epoch_us({start}) AS BIGINT)"
@@ -61,7 +70,8 @@ def _to_timestamp(expr: str) -> str:
         f"coalesce(CASE WHEN regexp_matches({t}, '{ISO_PREFIX}') THEN try_cast({t} AS TIMESTAMP) END, "
         f"CASE WHEN regexp_matches({t}, '^[0-9]{{8}}$') THEN try_strptime({t}, '%Y%m%d') END, "
         f"CASE WHEN regexp_matches({t}, '^[0-9]{{2}}[A-Za-z]{{3}}[0-9]{{4}}$') THEN try_strptime({t}, '%d%b%Y') END, "
-        f"CASE WHEN regexp_matches({t}, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN try_strptime({t}, '%m/%d/%Y') END)"
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$') THEN try_strptime({t}, '%m/%d/%Y') END, "
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}$') THEN try_strptime({t}, '%Y/%m/%d') END)"
     )
 
 
@@ -136,24 +146,7 @@ def _validate_sql() -> str:
 
 
 DOCUMENT_TERMS = ("license", "token", "without", "password", "secret")
-PLOT_TERMS = (
-    "plotly title", "chart title", "plot title", "figure title",
-    "axis label font", "legend font", "text font",
-    "plot background", "chart background", "figure background",
-    "plot layout", "chart layout", "figure layout",
-    "hover tooltip", "plot annotation",
-)
-REMOVE_INTENT = (
-    r"\b(remov\w*|delet\w*|dropp?\w*|get\s+rid\s+of|took?\s+off|hidd?\w*|exclud\w*|without)\b"
-)
-ADD_INTENT = r"\b(add\w*|overlay\w*|includ\w*|show\w*|plott?\w*|putt?\w*|introduc\w*|display\w*)\b"
 URL_TOKEN = r"[/.?&=]([A-Za-z][A-Za-z_-]*)"
-NON_COLUMN_WORDS = (
-    r"^(markers?|lines?|rgba?|rgb|#[0-9a-fA-F]+|circle|square|diamond|"
-    r"triangle.*|star|cross|outside|inside|auto|top|bottom|left|right|"
-    r"linear|category|date|log|h|v|overlay|group|stack|text|none|"
-    r"solid|dash|dot|longdash|dashdot|longdashdot)$"
-)
 
 
 def _screen(text: str, terms) -> str:
@@ -346,11 +339,11 @@ ORACLE_SQL: dict[str, str] = {
         f"regexp_matches(coalesce(text, ''), '(?i){ADD_INTENT}') AS a FROM documents)"
     ),
     "extract_block": (
-        "SELECT page_id, CASE WHEN instr(html, '<title>') > 0 THEN "
+        "SELECT page_id, regexp_replace(CASE WHEN instr(html, '<title>') > 0 THEN "
         "CASE WHEN instr(substring(html, instr(html, '<title>') + 7), '</title>') > 1 THEN "
-        "regexp_replace(substring(html, instr(html, '<title>') + 7, "
-        "instr(substring(html, instr(html, '<title>') + 7), '</title>') - 1), '^\\s+|\\s+$', '', 'g') "
-        "ELSE html END ELSE html END AS title FROM pages"
+        "substring(html, instr(html, '<title>') + 7, "
+        "instr(substring(html, instr(html, '<title>') + 7), '</title>') - 1) "
+        "ELSE html END ELSE html END, '^\\s+|\\s+$', '', 'g') AS title FROM pages"
     ),
     "audit_references": (
         "WITH r AS (SELECT DISTINCT page_id, ref FROM (SELECT page_id, "
@@ -403,4 +396,84 @@ ORACLE_SQL: dict[str, str] = {
         f"{_days('o.o_orderdate', 'l.l_shipdate')} AS interval_days "
         "FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey"
     ),
+    "edit_requests": (
+        "SELECT *, coalesce(CASE category WHEN 'add_overlay' THEN add_ok WHEN 'remove_overlay' THEN remove_ok "
+        "ELSE true END, true) AND NOT lost_protected AS ok FROM (SELECT plot_id, n_added, n_removed, added, removed, "
+        "lost_protected, n_added = 1 AND n_removed = 0 AS add_ok, "
+        "n_removed = 1 AND n_added = 0 AND NOT lost_protected AS remove_ok, "
+        "CASE plot_id % 3 WHEN 0 THEN 'add_overlay' WHEN 1 THEN 'remove_overlay' ELSE 'axes' END AS category "
+        "FROM (SELECT plot_id, count(*) FILTER (WHERE status = 'added') AS n_added, "
+        "count(*) FILTER (WHERE status = 'removed') AS n_removed, "
+        "coalesce(list(layer ORDER BY layer) FILTER (WHERE status = 'added'), []) AS added, "
+        "coalesce(list(layer ORDER BY layer) FILTER (WHERE status = 'removed'), []) AS removed, "
+        "bool_or(status = 'removed' AND layer = 'purchase') AS lost_protected "
+        f"FROM {LAYER_CHANGES} GROUP BY plot_id))"
+    ),
+    "hot_merge": (
+        "SELECT l.k AS l_orderkey, l_partkey, l_suppkey, l_linenumber, o_orderdate, o_orderpriority FROM "
+        "(SELECT *, CASE WHEN l_partkey % 9 < 3 THEN 0 WHEN l_partkey % 9 > 3 THEN l_orderkey END AS k FROM lineitem) l "
+        "LEFT JOIN orders o ON l.k = o.o_orderkey"
+    ),
+    "merge_matches": (
+        "SELECT o_orderstatus, count(*) AS n_records, count(c_mktsegment) AS n_matched, "
+        "count(*) - count(c_mktsegment) AS n_unmatched FROM orders o LEFT JOIN "
+        "(SELECT * FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey GROUP BY o_orderstatus"
+    ),
+    "merge_clash": (
+        "SELECT o.*, c.c_mktsegment AS o_orderstatus_subj "
+        f"FROM orders o LEFT JOIN {CUSTOMER_DEDUP} c ON o.o_custkey = c.c_custkey"
+    ),
+    "check_timeline_defects": (
+        f"WITH b AS (SELECT l_orderkey, l_returnflag FROM {MERGED_ITEMS} WHERE l_returnflag <> 'N' "
+        "GROUP BY l_orderkey, l_returnflag), c AS (SELECT (SELECT count(*) FROM (SELECT l_orderkey FROM b "
+        "GROUP BY l_orderkey HAVING count(*) > 1)) AS dup, (SELECT count(*) FROM b) AS n_bars, "
+        "(SELECT count(*) FROM orders o WHERE o_orderstatus IS NOT NULL "
+        "AND NOT EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = o.o_orderkey)) AS orphans) "
+        "SELECT 'one bar per subject' AS \"check\", dup = 0 AS passed, "
+        "CAST(dup AS VARCHAR) || ' subjects with several bars' AS detail FROM c "
+        "UNION ALL SELECT 'bars present', n_bars > 0, CAST(n_bars AS VARCHAR) || ' bars' FROM c "
+        "UNION ALL SELECT 'markers reference bar subjects', orphans = 0, "
+        "CAST(orphans AS VARCHAR) || ' orphan markers' FROM c"
+    ),
+    "sort_by_bar": f"SELECT * FROM {ITEM_BARS} ORDER BY bar_days, l_orderkey",
+    "column_min": "SELECT min(o_orderdate) AS min_o_orderdate FROM orders",
+    "check_list": (
+        "SELECT CASE \"check\" "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHECK_LABELS.items())
+        + " END AS label, passed, CASE WHEN passed AND \"check\" IN ('x_axis_linear', 'bar_numeric') "
+        f"THEN 'Type: ' || detail END AS detail FROM ({_validate_sql()}) WHERE \"check\" IN ("
+        + ", ".join(f"'{k}'" for k in CHECK_LABELS) + ")"
+    ),
+    "validation_report": (
+        f"WITH m AS {MERGED_ITEMS}, p AS (SELECT l_orderkey, l_linenumber, ship_day FROM m WHERE ship_day > 0) "
+        "SELECT (SELECT count(*) FROM m) AS rows_before, (SELECT count(*) FROM p) AS rows_after, "
+        "(SELECT string_agg('{\"l_orderkey\":' || l_orderkey || ',\"l_linenumber\":' || l_linenumber || "
+        "',\"ship_day\":' || ship_day || '}', ';' ORDER BY ship_day, l_orderkey, l_linenumber) "
+        "FROM (SELECT * FROM p ORDER BY ship_day, l_orderkey, l_linenumber LIMIT 5)) AS first_rows, "
+        "'l_orderkey,l_linenumber,ship_day' AS columns"
+    ),
+    "parse_status": (
+        "SELECT event_id, CASE event_type WHEN 'click' THEN 'already_overlaid' WHEN 'error' THEN 'wrong_category' END "
+        "AS status, CASE WHEN event_type IN ('click', 'error') THEN 'user ' || user_id END AS detail FROM events"
+    ),
+    "extract_formulas": (
+        "SELECT event_id, CAST(2 AS BIGINT) AS line_no, event_type || '_day' AS name, "
+        "'floor(x) = ' || user_id AS formula FROM events"
+    ),
+    "intent_category": (
+        "SELECT doc_id, intent, CASE WHEN doc_id % 2 = 0 AND intent = 'remove' THEN "
+        f"'{USE_REMOVE_MSG}' WHEN doc_id % 2 <> 0 AND intent = 'add' THEN '{USE_ADD_MSG}' END AS wrong_category "
+        "FROM (SELECT doc_id, CASE WHEN r AND a THEN 'both' WHEN r THEN 'remove' WHEN a THEN 'add' "
+        "ELSE 'none' END AS intent FROM (SELECT doc_id, "
+        f"regexp_matches(coalesce(text, ''), '(?i){REMOVE_INTENT}') AS r, "
+        f"regexp_matches(coalesce(text, ''), '(?i){ADD_INTENT}') AS a FROM documents))"
+    ),
+    "audit_verdicts": (
+        "SELECT page_id, coalesce(unknown, []) AS unknown, unknown IS NULL AS ok FROM pages LEFT JOIN "
+        "(SELECT page_id, list(DISTINCT ref ORDER BY ref) AS unknown FROM (SELECT page_id, "
+        f"unnest(regexp_extract_all(url, '{URL_TOKEN}', 1)) AS ref FROM pages WHERE page_id % 2 = 0) r "
+        "WHERE length(ref) >= 2 AND regexp_matches(ref, '^\\p{L}') "
+        f"AND NOT contains(ref, ' ') AND NOT regexp_matches(ref, '(?i){NON_COLUMN_WORDS}') "
+        "AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = r.ref) GROUP BY page_id) USING (page_id)"
+    ),
 }
