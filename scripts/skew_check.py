@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -34,20 +35,28 @@ def main() -> None:
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        # the split's sizes, scaled down with the data
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k",
     })
     li = load_table(spark, sf_dir, "lineitem")
     orders = load_table(spark, sf_dir, "orders")
     hot_key = li.agg(F.min("l_orderkey")).first()[0]
     records = li.withColumn(
         "l_orderkey", F.when(F.col("l_returnflag") == "R", F.lit(hot_key)).otherwise(F.col("l_orderkey")))
+    # many files, as a large table has: a hot key is split by map tasks
+    files = tempfile.mkdtemp(prefix="tideline-skew-") + "/items"
+    records.repartition(32).write.parquet(files)
+    records = spark.read.parquet(files)
     n = records.count()
     n_hot = records.filter(F.col("l_orderkey") == hot_key).count()
     print(f"# Hot-subject merge ({os.path.basename(sf_dir)})\n")
     print(f"Records: {n:,} rows; the hot subject owns {n_hot:,} ({n_hot / n:.0%}). "
-          "Generic merge onto `orders` (subject columns `o_orderdate`, `o_orderpriority`), "
+          "They lie in 32 files. Generic merge onto `orders` (subject columns `o_orderdate`, `o_orderpriority`), "
           "broadcast joins off, `local[8]`, `spark.sql.shuffle.partitions=64`, AQE on but "
           "partition coalescing off (at 100 TB no partition is small enough to be coalesced; "
-          "at sf0.1 AQE would fold the 64 partitions into a few tasks and hide the split).\n")
+          "at sf0.1 AQE would fold the 64 partitions into a few tasks and hide the split). "
+          "Advisory partition size 256 KB, skew threshold 512 KB.\n")
     print("| route | wall time (s, median of 3) | largest task share of joined rows | tasks holding the hot subject |")
     print("|---|---|---|---|")
     for label, split in (("plain join", False), ("split join", True)):
@@ -61,6 +70,7 @@ def main() -> None:
         tagged = m.withColumn("_p", F.spark_partition_id())
         per_task = tagged.groupBy("_p").agg(
             F.count(F.lit(1)).alias("rows"),
+            F.bit_xor(F.xxhash64(*records.columns)).alias("all_columns"),  # whole rows move, as in the timed run
             F.count_if((F.col("l_orderkey") == hot_key) & F.col("o_orderdate").isNotNull()).alias("hot"),
         ).collect()
         largest = max(r["rows"] for r in per_task) / n

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,28 +102,27 @@ def sample_values(
 ) -> DataFrame:
     """The ``k`` smallest distinct non-NULL values of every column, or of the first ``max_cols``.
 
-    Rows ``(column, rank, value)``, values as text.  ``k`` passes, each one
-    aggregate over all columns: the smallest value above the previous pass's.
-    A task sends one row a pass; no rows are shuffled.
+    Rows ``(column, rank, value)``, values as text.  One scan: the columns are
+    unpivoted into (column, value) pairs, de-duplicated (every distinct
+    value moves once), and ranked per column; Spark inserts a partial group
+    limit before the ranking exchange, so each task sends at most ``k`` values
+    per column there.
     """
     cols = df.columns[:max_cols]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, rank long, value string")
-    keys = []
+    rows = []
     for c in cols:
-        num, txt = _sort_key(df.schema[c].dataType, F.col(f"`{c}`"))
-        keys.append(F.when(txt.isNotNull(), F.struct(num.isNull().alias("no_num"), num.alias("num"), txt.alias("value"))))
-    found: list[Column] = []
-    for _ in range(k):
-        above = [F.when(key > found[-1][f"v{i}"], key) if found else key for i, key in enumerate(keys)]
-        least = F.struct(*[F.min(a).alias(f"v{i}") for i, a in enumerate(above)])
-        found.append(df.agg(least.alias("least")).scalar())
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(r + 1).cast("long").alias("rank"),
-                 least[f"v{i}"]["value"].alias("value"))
-        for r, least in enumerate(found) for i, c in enumerate(cols)
-    ])
-    return df.sparkSession.range(1).select(F.inline(entries)).filter("value IS NOT NULL")
+        num, txt = _sort_key(df.schema[c].dataType, F.col(c))
+        rows.append(F.struct(F.lit(c).alias("column_name"), num.alias("num"), txt.alias("value")))
+    long = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    long = long.filter(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("column_name").orderBy(
+        F.col("num").asc_nulls_last(), F.col("value")
+    )
+    return (
+        long.withColumn("rank", F.row_number().over(w))
+        .filter(F.col("rank") <= k)
+        .select("column_name", F.col("rank").cast("long").alias("rank"), "value")
+    )
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
