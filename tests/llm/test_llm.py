@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tideline.llm import (language_id, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
                           simhash_dedup, stats, suffix_dedup, url_filters, vector_search)
+from tideline.llm.common import is_held_out
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, n_chars long, words string, line int, doc string"
@@ -197,6 +198,24 @@ def test_quality_rules(spark):
     assert none.forest is None and quality_rules.judge(docs.limit(3), none).count() == 3
 
 
+def test_quality_rules_remove_held_out_bad_texts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = is_held_out(F.col("doc_id"))
+    got = quality_rules.judge(docs, quality_rules.fit(docs, labels.where(~held))).join(labels.where(held), "doc_id").collect()
+    bad, good = ([r["kept"] for r in got if r["quality"] == q and not r["base_failed"]] for q in (0, 1))
+    assert len(bad) >= 30 and sum(bad) <= 0.05 * len(bad)
+    assert sum(good) >= 0.98 * len(good)
+
+
+def test_calibration_looks_at_both_classes():
+    good, bad = np.linspace(0.3, 0.5, 1000), np.linspace(0.495, 0.6, 50)
+    score, is_good = np.concatenate([good, bad]), np.arange(1050) < 1000
+    cut = quality_rules.calibrate(score, is_good, max_loss=0.01)
+    assert (good > cut).mean() <= 0.01 and (bad > cut).mean() >= 0.9
+    assert quality_rules.calibrate(np.concatenate([good, bad + 0.1]), is_good) >= 0.5  # no good text is lost for nothing
+    assert quality_rules.calibrate(np.concatenate([good, bad - 0.4]), is_good) == 1.0
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.learn(docs, labels)

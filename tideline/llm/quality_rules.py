@@ -3,8 +3,9 @@
 Two fixed rules decide first (too few words, too many repeated ones).  For all
 other texts an isolation forest, grown on a bounded sample of the corpus
 (``fit_rows``), gives an anomaly score from path lengths over random splits.
-The score above which a text goes is calibrated on a bounded sample of
-labelled rows (``max_labels``).
+Splits fall more often on features that tell the labelled classes apart.  The
+score above which a text goes is calibrated on both classes of a bounded
+sample of labelled rows (``max_labels``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ FIT_ROWS = 4096
 MAX_LABELS = 8000
 TREES, TREE_ROWS = 200, 256
 MAX_LOSS = 0.004  # share of labelled good texts that calibration may give up
+LEAST_WEIGHT = 0.05  # of a feature that does not tell the labelled classes apart
 #: Length is not a fault by itself, so the forest sees the length-free ratios.
 FOREST_FEATURES = tuple(f for f in FEATURES if f not in ("log_words", "line_words"))
 
@@ -35,6 +37,16 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 1, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m, 0.0)
 
 
+def draw_weights(means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """How often a split falls on each feature, from the (bad, good) class means and variances.
+
+    d / (1 + d) for a class difference of d standard deviations, over a floor:
+    no feature is left out, as a new kind of fault may show in any of them.
+    """
+    apart = np.abs(means[0] - means[1]) / np.sqrt((variances[0] + variances[1]) / 2 + 1e-12)
+    return np.round(LEAST_WEIGHT + apart / (1 + apart), 2)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Per tree, node arrays: split feature (-1: leaf), cut, children, path length at a leaf."""
@@ -64,11 +76,13 @@ class Forest:
         return np.exp2(-total / max(len(self.feature), 1) / self.norm)
 
 
-def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 5) -> Forest | None:
-    """None without rows: then nothing is an anomaly."""
+def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 5,
+                weights: np.ndarray | None = None) -> Forest | None:
+    """None without rows: then nothing is an anomaly.  ``weights`` of the features' draw; equal ones by default."""
     if len(x) == 0:
         return None
     rng = np.random.default_rng(seed)
+    weights = np.ones(x.shape[1]) if weights is None else weights
     take = min(rows, len(x))
     depth = max(1, int(np.ceil(np.log2(max(take, 2)))))
     size = 2 ** (depth + 1)
@@ -83,7 +97,7 @@ def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed:
             if not len(spread):
                 length[t, node] = d + _average_path(len(own))
                 continue
-            f = int(rng.choice(spread))
+            f = int(rng.choice(spread, p=weights[spread] / weights[spread].sum()))
             lo, hi = x[own, f].min(), x[own, f].max()
             c = min(rng.uniform(lo, hi), np.nextafter(hi, lo))
             above = x[own, f] > c
@@ -94,14 +108,21 @@ def grow_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed:
 
 
 def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """Threshold that removes most bad rows while at most ``max_loss`` of the good ones go.
+    """The cut with the best F1 of the bad class among those that give up at most ``max_loss`` of the good rows.
 
+    Rows above the cut go.  Of equally good cuts the middle one is taken.
     Without labels of either kind nothing is removed (threshold 1).
     """
     if good.all() or not good.any():
         return 1.0
-    least = float(np.quantile(score[good], 1 - max_loss, method="higher"))
-    return least
+    cuts = np.unique(score)
+    lost = good.sum() - np.searchsorted(np.sort(score[good]), cuts, "right")
+    gone = (~good).sum() - np.searchsorted(np.sort(score[~good]), cuts, "right")
+    f1 = np.where(lost <= max_loss * good.sum(), 2 * gone / (gone + lost + (~good).sum()), 0.0)
+    if f1.max() <= 0:
+        return 1.0
+    best = np.flatnonzero(f1 == f1.max())
+    return float(cuts[best[len(best) // 2]])
 
 
 @dataclass(frozen=True)
@@ -122,15 +143,20 @@ def _forest_udf(forest: Forest | None):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_labels: int = MAX_LABELS) -> QualityRules:
     names = list(FOREST_FEATURES)
-    share = sample_share_of(docs, fit_rows)
-    rows = document_stats(docs.where(share(F.col("doc_id").cast("long")))).where("n_words > 0").select(*names).collect()
-    forest = grow_forest(np.array(sorted(map(tuple, rows)), dtype=np.float64).reshape(-1, len(names)))
     lab = labelled_sample(docs, labels, "quality", max_labels)
     got = lab.select("y", stats_of(F.col("text")).alias("s")).select("y", "s.*").where(~base_failed())
     data = np.array([tuple(r) for r in got.select("y", *names).collect()], dtype=np.float64).reshape(-1, 1 + len(names))
+    x, good = data[:, 1:], data[:, 0] == 1
+    weights = None
+    if good.any() and not good.all():
+        weights = draw_weights(np.stack([x[~good].mean(axis=0), x[good].mean(axis=0)]),
+                               np.stack([x[~good].var(axis=0), x[good].var(axis=0)]))
+    share = sample_share_of(docs, fit_rows)
+    rows = document_stats(docs.where(share(F.col("doc_id").cast("long")))).where("n_words > 0").select(*names).collect()
+    forest = grow_forest(np.array(sorted(map(tuple, rows)), dtype=np.float64).reshape(-1, len(names)), weights=weights)
     if forest is None or len(data) == 0:
         return QualityRules(forest, 1.0)
-    return QualityRules(forest, calibrate(forest.score(data[:, 1:]), data[:, 0] == 1))
+    return QualityRules(forest, calibrate(forest.score(x), good))
 
 
 def base_failed() -> Column:
