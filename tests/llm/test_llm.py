@@ -216,6 +216,26 @@ def test_calibration_looks_at_both_classes():
     assert quality_rules.calibrate(np.concatenate([good, bad - 0.4]), is_good) == 1.0
 
 
+def test_quality_rules_fit_on_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 12000
+    x = rng.normal(0.5, 0.05, (n, len(quality_rules.FOREST_FEATURES)))
+    x[:, 0] = np.where(np.arange(n) % 10 == 0, 0.9, x[:, 0])
+    rows = [(i, i, 100, 0, *map(float, r)) for i, r in enumerate(x)]
+    columns = "doc_id long, row_hash long, n_words long, n_repeat_words long, " + ", ".join(
+        f"{f} double" for f in quality_rules.FOREST_FEATURES)
+    df = spark.createDataFrame(rows, columns)
+    samples = quality_rules.tree_samples(df)
+    assert {s.shape for s in samples} == {(256, x.shape[1])}
+    assert len({r.tobytes() for s in samples for r in s}) > 0.95 * n  # the trees see the whole corpus, not one pool
+    seen = []
+    monkeypatch.setattr(quality_rules, "calibrate", lambda score, good, count: seen.append(count.sum()) or 1.0)
+    quality_rules.fit_stats(df, spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(n)], "doc_id long, quality int"))
+    assert seen == [n]
+    twins = spark.createDataFrame([(None, 7, *rows[0][2:])] * 600 + rows[:600], columns)
+    assert max(len(s) for s in quality_rules.tree_samples(twins)) == 256
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.learn(docs, labels)
