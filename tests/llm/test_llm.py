@@ -303,6 +303,15 @@ def test_simhash_documents(spark):
     assert simhash_dedup.simhash_components(df.limit(0)).collect() == []
 
 
+def test_one_per_group_decides_per_row(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, c.upper()), (4, None), (None, None), (5, "x y z"), (5, "x y z")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash_dedup.one_per_group(documents(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c.upper()), (4, None), (5, "x y z")], key=str)
+    assert [r["text"] for r in simhash_dedup.one_per_group(documents(spark, [(None, c)] * 5)).collect()] == [c]
+
+
 # operator 7 ---------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("split", [4000, 1])

@@ -122,21 +122,41 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """
     text_batches(docs.sparkSession)
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    out = _with_least(rows, F.col("doc_id"), radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _with_least(rows: DataFrame, value: Column, radius: int) -> DataFrame:
+    """``rows`` (with ``fp``) and the smallest ``value`` of each row's component as ``least``."""
+    nodes = rows.groupBy("fp").agg(F.min(value).alias("first"))
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = grouped.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    out = rows.join(by_print, F.col("fp") == F.col("of"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    by_print = grouped.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "least")
+    return rows.join(by_print, F.col("fp") == F.col("of")).drop("of")
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id (null ids stay)."""
-    found = simhash_components(docs.select("doc_id", "text"), shingle, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """``docs`` with exactly the first row of each group: by id, null ids last, then by the text's hash.
+
+    Rows are told apart by id and text, so that a repeated id never takes a
+    clean text along.  Of rows equal in both, the smallest by all columns stays.
+    """
+    text_batches(docs.sparkSession)
+    key = [F.col("doc_id").cast("long").alias("key_id"), F.xxhash64(F.col("text").cast("string")).alias("version")]
+    rows = save(docs.select(*key, fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
+    order = F.struct(F.isnull("key_id").alias("last"), F.col("key_id"), F.col("version"))
+    placed = _with_least(rows, order, radius)
+    stays = F.col("key_id").eqNullSafe(F.col("least.key_id")) & (F.col("version") == F.col("least.version"))
+    keys = placed.groupBy("key_id", "version").agg(F.max(stays).alias("stays"), F.count("*").alias("times"))
+    marked = save(keys.where("not stays or times > 1").select(
+        F.col("key_id").alias("m_id"), F.col("version").alias("m_version"), "stays"), "simhash-marked")
+    same = F.col("key_id").eqNullSafe(F.col("m_id")) & (F.col("version") == F.col("m_version"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    single = keyed.join(marked, same, "left_anti").select("row.*")
+    repeated = keyed.join(marked.where("stays"), same, "left_semi")
+    return single.union(repeated.groupBy("key_id", "version").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
