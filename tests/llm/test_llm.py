@@ -173,6 +173,19 @@ def test_packing_keeps_every_word_once(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_packing_ranks_counted_rows(spark):
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 4)) for i in range(600)]
+    out = packing.pack(documents(spark, rows), buckets=2, budget=12, slice_rows=50)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window [") < plan.index("Aggregate [")
+    got = [(r["bucket"], r["slice"], r["doc_id"] is not None, r["doc_id"] or 0, r["piece"], r["n_words"], r["batch"]) for r in out.collect()]
+    assert len(got) == 600
+    groups: dict = {}
+    for r in sorted(got):
+        place = groups[r[:2]] = groups.get(r[:2], -1) + 1
+        assert r[6] == place // max(1, 12 // r[0])
+
+
 # operators 5 and 9 --------------------------------------------------------------------------------
 
 def test_repeated_words_matches_brute_force():

@@ -7,8 +7,10 @@ bucket, token-budget batches hold as many pieces as fit when all are padded to
 the bucket's boundary.
 
 Batches are formed inside slices of a bucket.  A slice is a hash range of
-document ids holding about ``slice_rows`` pieces, so that no task ever ranks a
-whole bucket; every slice ends with at most one batch that is not full.
+document ids holding about ``slice_rows`` pieces; every slice ends with at most
+one batch that is not full.  Equal rows (id, piece and length) are ranked as one
+counted row.  So a null or repeated id, all of whose pieces share a slice, gives
+the ranking at most ``max_len`` rows a piece number, however many pieces it has.
 """
 
 from __future__ import annotations
@@ -100,12 +102,16 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
         slices = F.when(F.col("n_words") <= b, F.lit(max(1, -(-per[b] // slice_rows)))).otherwise(slices)
     spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     rows = pieces.withColumn("bucket", bucket.cast("long")).withColumn("slice", (spread % slices).cast("long"))
-    # A repeated id never breaks the order: equal keys are equal rows but for n_words.
+    # Equal rows are counted first, so a repeated id gives the window its distinct rows only.
+    kinds = rows.groupBy("bucket", "slice", "doc_id", "piece", "n_words").agg(F.count("*").alias("times"))
     w = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "n_words")
+    last = F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = kinds.withColumn("last", last)
+    placed = placed.withColumn("place", F.explode(F.sequence(F.col("last") - F.col("times"), F.col("last") - 1)))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
-    batch = F.floor((F.row_number().over(w) - 1) / fits).cast("long")
-    return rows.select("doc_id", "piece", "n_words", "bucket", "slice", batch.alias("batch"),
-                       (F.col("bucket") - F.col("n_words")).alias("padding"))
+    batch = F.floor(F.col("place") / fits).cast("long")
+    return placed.select("doc_id", "piece", "n_words", "bucket", "slice", batch.alias("batch"),
+                         (F.col("bucket") - F.col("n_words")).alias("padding"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
