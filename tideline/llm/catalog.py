@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import packing, suffix_dedup
+from tideline.llm import lexical_search, packing, suffix_dedup
 from tideline.llm.language_id import op3_language_id
+from tideline.llm.lexical_search import op13_lexical_search
 from tideline.llm.line_dedup import op2_line_dedup
 from tideline.llm.packing import op4_packing
 from tideline.llm.quality_classifier import op9_quality_classifier
@@ -25,7 +26,7 @@ from tideline.llm.vector_search import op10_vector_search
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_line_dedup, op3_language_id, op4_packing, op5_quality_rules, op6_simhash,
-        op7_suffix_dedup, op8_url_filters, op9_quality_classifier, op10_vector_search)
+        op7_suffix_dedup, op8_url_filters, op9_quality_classifier, op10_vector_search, op13_lexical_search)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -114,6 +115,27 @@ fit as (select page_id, arg_max(rule, len(rule)) as rule, arg_max(verdict, len(r
 select hp.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from hp left join fit using (page_id)
 """
 
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+_OP13 = f"""
+with t as (select doc_id, unnest({_TERMS}) as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+s as (select count(*) as docs, sum(n)::bigint as len from n),
+df as (select term, count(*) as df from tf group by term),
+q as (select item_id, unnest({_TERMS}) as term from benchmark),
+qt as (select item_id, term, count(*) as times from q group by all),
+w as (select item_id, term, times, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w from qt join df using (term), s),
+m as (select doc_id, 100 - 25 + ((25 * n * docs) // len) as m from n, s),
+sc as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+       from w join tf using (term) join m using (doc_id) group by item_id, doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+      from sc where score > 0)
+select item_id, rank, doc_id, score from r where rank <= {lexical_search.TOP}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": _OP2, "op4_packing": _OP4, "op7_suffix_dedup": _OP7, "op8_url_filters": _OP8,
+    "op13_lexical_search": _OP13,
 }
