@@ -1,0 +1,251 @@
+"""Operators 11 to 13 against numpy or a plain count, with edge cases."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import lexical_search, mixing, whitening
+
+VECTORS = "vec_id long, embedding array<float>, label int, n long, whitened string, at string"
+DOCS = "doc_id long, text string, source string, n long, size string, copies string, digest string, term string, place int"
+ITEMS = "item_id long, text string, query int, rank string"
+
+
+def table_of(spark, rows):
+    return spark.createDataFrame([(i, v, 0, 1, "w", "a") for i, v in rows], VECTORS)
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, s, 1, "z", "c", "d", "t", 3) for i, t, s in rows], DOCS)
+
+
+# operator 11 --------------------------------------------------------------------------------------
+
+def matrices():
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.normal(size=(30, 30)))[0]
+    yield "plain", np.triu(rng.normal(size=(40, 40)))
+    yield "one", np.array([[3.0]])
+    yield "identity", np.eye(12)
+    yield "split", np.diag([5.0, 5, 5, 1, 0, 0])
+    yield "graded", np.diag(10.0 ** -np.arange(12)) @ np.triu(rng.normal(size=(12, 12)))
+    yield "near multiple", np.diag(np.ones(41)) + np.diag(np.full(40, 1e-9), 1)
+    yield "multiple", np.linalg.qr(q @ np.diag([9.0] * 5 + [4.0] * 5 + [1.0] * 20) @ q.T, mode="r")
+    yield "rank 3", np.linalg.qr(rng.normal(size=(40, 3)) @ rng.normal(size=(3, 12)), mode="r")
+    pairs = np.diag(np.abs(np.arange(-10, 11.0)) + 3) + np.diag(np.ones(20), 1) + np.diag(np.ones(20), -1)
+    yield "pairs of close values", np.linalg.cholesky(pairs).T
+
+
+@pytest.mark.parametrize("name,r", list(matrices()), ids=lambda x: x if isinstance(x, str) else "")
+def test_the_solver_finds_orthonormal_singular_vectors(name, r):
+    values, axes = whitening.components(r, 8)
+    want = np.linalg.svd(r)[1] ** 2
+    assert len(values) == min(8, int((want > want[0] * 1e-24).sum()))
+    np.testing.assert_allclose(values, want[:len(values)], rtol=1e-10)
+    np.testing.assert_allclose(axes.T @ axes, np.eye(len(values)), atol=1e-13)
+    np.testing.assert_allclose(r.T @ (r @ axes), axes * values, atol=1e-13 * want[0])
+
+
+def test_singular_values_of_a_graded_bidiagonal_are_accurate_relatively():
+    a, b = 10.0 ** -np.arange(0, 24, 2), 10.0 ** -np.arange(1, 23, 2)
+    got = whitening.singular_squares(a, b)
+    assert math.isclose(np.prod(got), np.prod(a * a), rel_tol=1e-12)  # the determinant is the diagonal's
+
+
+def test_whitening_matches_the_covariance_of_exact_numbers(spark):
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(400, 10)) * np.arange(1, 11)).astype(np.float32)
+    v[:130] = v[0]  # a third of the rows are one vector
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    odd = [(900, None), (901, [None] * 10), (902, [float("nan")] * 10), (903, [float("inf")] * 10), (904, [1.0]), (905, []), (906, [4e9] * 10)]
+    again = [(None, rows[5][1]), (7, rows[7][1])]
+    df = table_of(spark, rows + odd + again).repartition(7)
+    wide = whitening.whiten(whitening.vectors(df)).collect()
+    x = np.floor(np.array([r[1] for r in rows + again], dtype=np.float64) * 1024).astype(np.int64) + 100000
+    n, y = len(x), len(x) * x - x.sum(axis=0)
+    cov = (y / n).T @ (y / n) / n
+    e, axes = np.linalg.eigh(cov)
+    e, axes = e[::-1][:8], axes[:, ::-1][:, :8]
+    assert len(wide) == n and {r["n"] for r in wide} == {n}
+    assert sorted(r["deviation"] for r in wide) == sorted((y * y).sum(axis=1).tolist())
+    got = np.array(sorted(((r["deviation"], *np.abs(r["whitened"])) for r in wide)))[:, 1:]
+    want = np.abs((y / n) @ axes / np.sqrt(e))
+    np.testing.assert_allclose(got, want[np.argsort((y * y).sum(axis=1), kind="stable")], atol=1e-9)
+    np.testing.assert_allclose(wide[0]["explained"], e / np.trace(cov), rtol=1e-10)
+    assert {r["identity_error"] for r in wide} == {wide[0]["identity_error"]} and wide[0]["identity_error"] < 1e-12
+
+
+def test_triangles_merge_in_a_tree(spark):
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(300, 4)) * 1000).astype(np.int64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, x array<long>").repartition(13)
+    n, s = whitening.sums(df)
+    r = whitening.triangle(df, n, s, fan=2)
+    y = x - x.mean(axis=0)
+    assert (n, s) == (300, x.sum(axis=0).tolist())
+    np.testing.assert_allclose(r.T @ r, y.T @ y, rtol=1e-10, atol=1e-6)
+
+
+def test_exact_squares_beyond_a_long():
+    x = np.array([[1 << 33, 0], [0, 1]], dtype=np.int64)
+    y = whitening.spread_out(x, 1 << 31, np.array([0, 0]))
+    assert whitening.squares(y) == [None, 1 << 62]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, None)], [(1, [])]])
+def test_whitening_without_variance_is_empty(spark, rows):
+    assert whitening.whiten(whitening.vectors(table_of(spark, rows))).collect() == []
+
+
+# operator 12 --------------------------------------------------------------------------------------
+
+def plain_targets(sizes, weights, share, cap):
+    """Reshare by weight until none is above its cap."""
+    total, capped = share * sum(sizes.values()), {}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    while True:
+        free = [s for s in sizes if s not in capped]
+        level = (total - sum(capped.values())) / max(1, sum(weight[s] for s in free))
+        above = [s for s in free if level * weight[s] > cap * sizes[s]]
+        if not above:
+            return {**capped, **{s: level * weight[s] for s in free}}
+        capped |= {s: cap * sizes[s] for s in above}
+
+
+def odd_documents():
+    rng = random.Random(4)
+    rows = [(None if i % 5 == 0 else i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))), rng.choice(["a", "b", "ä", None]))
+            for i in range(600)]
+    rows += [(7, "equal row of words", "b")] * 300 + [(1000, None, "a"), (1001, "", "a"), (1002, "\t\n one\vtwo\f three\r\n", "a"),
+                                                     (1003, "x " * 5000, "ä"), (1004, "", "empty source"), (1005, "one", "z")]
+    return rows
+
+
+def test_mixing_meets_its_targets(spark):
+    rows = odd_documents()
+    got = mixing.mix_counts(documents(spark, rows), slice_rows=16).collect()
+    sizes, want = {}, Counter()
+    for i, t, s in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        sizes[s] = sizes.get(s, 0) + n
+        want[(i, n, s)] += 1
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == want
+    targets = plain_targets(sizes, mixing.WEIGHTS, 1.5, mixing.CAP)
+    taken, longest = Counter(), Counter()
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], targets[r["source"]], rel_tol=1e-12)
+        assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+        assert abs(r["copies"] - r["target"] / max(1, r["source_size"])) < 1 or not r["source_size"]
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 1.1 * longest[s]
+
+
+def test_mixing_agrees_on_any_partitioning(spark):
+    df = documents(spark, odd_documents())
+    runs = [Counter(map(tuple, mixing.mix_counts(df.repartition(p)).collect())) for p in (1, 9)]
+    assert runs[0] == runs[1]
+
+
+def test_the_mix_holds_each_text_as_often_as_planned(spark):
+    df = documents(spark, odd_documents())
+    plan = mixing.mix_plan(df).agg(F.sum("copies"), F.sum(F.col("copies") * F.col("size"))).first()
+    mix = mixing.mixed_documents(df)
+    assert mix.columns == ["doc_id", "source", "text"]
+    assert tuple(mix.agg(F.count("*"), F.sum(mixing.word_count(F.col("text")))).first()) == tuple(plan)
+
+
+def test_equal_rows_are_written_out_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    got = mixing.mix_counts(documents(spark, [(None, "same words here", "a")] * 100 + [(1, "other", "b")])).groupBy("doc_id", "copies").count().collect()
+    assert sum(r["count"] for r in got if r["doc_id"] is None) == 100
+    assert sum(r["count"] * r["copies"] for r in got if r["doc_id"] is None) in (149, 150, 151)
+
+
+def test_mixing_runs_no_python_and_handles_an_empty_table(spark):
+    assert mixing.mix_counts(documents(spark, [])).collect() == []
+    assert [tuple(r)[1:6] for r in mixing.mix_counts(documents(spark, [(1, None, None)])).collect()] == [(0, 0, 0.0, 0, mixing.SEED * 0)]
+
+
+def test_the_size_class_grows_with_the_size(spark):
+    got = [r[0] for r in spark.range(70000).select(mixing.size_class(F.col("id")).alias("c"), "id").orderBy("id").select("c").collect()]
+    assert got == sorted(got) and got[:64] == list(range(64))
+
+
+# operator 13 --------------------------------------------------------------------------------------
+
+def plain_ranking(docs, items, k):
+    """Every document scored for every item."""
+    def terms(t):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    counts = [(i, Counter(terms(t))) for i, t, _ in docs]
+    n_docs, length = sum(1 for _, c in counts if c), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in counts:
+            m = 75 + 25 * sum(c.values()) * n_docs // max(1, length)
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if t in c)
+            scored.append((-s, i is None, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:k])]
+    return out
+
+
+def corpus():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(400)], k=rng.randint(1, 80))), "s") for i in range(700)]
+    rows += [(1000 + i, "copy of w3 W399 text", "s") for i in range(300)]
+    return rows + [(None, "w3 w399 w7", "s"), (None, "w3 w399 w7", "s"), (5, "w5 w6 again", "s"), (2000, None, "s"), (2001, "", "s"), (2002, " .,;\t\n", "s"),
+                   (2003, "w9 " * 4000, "s"), (2004, "Ä　x é-É W9", "s")]
+
+
+def test_ranked_search_finds_exactly_the_best(spark):
+    docs = corpus()
+    items = [(1, "w1 w2 w3 w3 w3"), (2, "W399"), (3, "copy of text"), (4, "nothing known"), (5, ""), (6, None), (7, "é É Ä　x"), (None, "w5 w6"),
+             (8, "w300 w301 w302 w0"), (8, "w9"), (1, "w1 w2 w3 w3 w3")]
+    asked = spark.createDataFrame([(i, t, 0, "r") for i, t in items], ITEMS)
+    df = documents(spark, docs).repartition(5)
+    want = sorted(plain_ranking(docs, items[:-1], 20), key=repr)
+    for how in ({}, {"first": 3, "query_block": 2}):
+        got = lexical_search.search(df, lexical_search.build_index(df), asked, **how)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_bounds_are_never_below_scores():
+    rng = random.Random(9)
+    for size in (1, 5, 60, 900):
+        text = " ".join(f"w{rng.randint(0, size)}" for _ in range(2 * size)).encode() + b" w0" * 200
+        counts = Counter(lexical_search.terms_of(text))
+        terms = sorted({f"w{i}".encode() for i in range(0, 2 * size, 3)} | {b"w0", b"absent"})
+        b = lexical_search.Batch(terms, np.arange(len(terms)), np.full(len(terms), 5), np.array([0]), 10, 1000)
+        n = sum(counts.values())
+        bound = b.bounds([lexical_search.fold(counts)], np.array([n]))[0, 0]
+        exact = b.scores(text, np.array([0]))[0]
+        assert exact <= bound <= 5 * 10**6 * len(terms)
+
+
+def test_search_over_empty_tables(spark):
+    none, some = documents(spark, []), documents(spark, corpus()[:3])
+    items = spark.createDataFrame([(1, "w1", 0, "r")], ITEMS)
+    assert lexical_search.search(none, lexical_search.build_index(none), items).collect() == []
+    assert lexical_search.search(some, lexical_search.build_index(some), items.where("false")).collect() == []
+
+
+def test_term_counts_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "DF_TERMS", 10)
+    df = documents(spark, corpus()).repartition(3)
+    index = lexical_search.build_index(df)
+    got = index.frequencies(spark.createDataFrame([(b"w3",), (b"w399",), (b"no",)], "term binary")).collect()
+    want = Counter(t for _, text, _ in corpus() for t in set(lexical_search.terms_of((text or "").encode())))
+    assert {bytes(r["term"]): r["df"] for r in got} == {t: want[t] for t in (b"w3", b"w399")}

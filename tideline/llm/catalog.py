@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import lexical_search, packing, suffix_dedup
+from tideline.llm import lexical_search, mixing, packing, suffix_dedup
 from tideline.llm.language_id import op3_language_id
 from tideline.llm.lexical_search import op13_lexical_search
 from tideline.llm.line_dedup import op2_line_dedup
+from tideline.llm.mixing import op12_mixing
 from tideline.llm.packing import op4_packing
 from tideline.llm.quality_classifier import op9_quality_classifier
 from tideline.llm.quality_rules import op5_quality_rules
@@ -22,11 +23,13 @@ from tideline.llm.simhash_dedup import op6_simhash
 from tideline.llm.suffix_dedup import op7_suffix_dedup
 from tideline.llm.url_filters import op8_url_filters
 from tideline.llm.vector_search import op10_vector_search
+from tideline.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_line_dedup, op3_language_id, op4_packing, op5_quality_rules, op6_simhash,
-        op7_suffix_dedup, op8_url_filters, op9_quality_classifier, op10_vector_search, op13_lexical_search)
+        op7_suffix_dedup, op8_url_filters, op9_quality_classifier, op10_vector_search, op11_whitening,
+        op12_mixing, op13_lexical_search)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -115,6 +118,30 @@ fit as (select page_id, arg_max(rule, len(rule)) as rule, arg_max(verdict, len(r
 select hp.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from hp left join fit using (page_id)
 """
 
+_OP12 = f"""
+with d as (select doc_id, source, cast(len({_WORDS.format(text="coalesce(text, '')")}) as bigint) as size, md5(coalesce(text, '')) as digest
+           from documents),
+src as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from d group by source),
+w as (select *, {list(mixing.WEIGHTS)}[(place - 1) % {len(mixing.WEIGHTS)} + 1] as weight, source_size * {mixing.CAP} as most from src),
+p as (select *, (sum(source_size) over () * {mixing.SHARE[0]}
+                 - coalesce(sum(most) over (o rows between unbounded preceding and 1 preceding), 0) * {mixing.SHARE[1]})::double
+             / (sum(weight) over (o rows between current row and unbounded following) * {mixing.SHARE[1]})::double as part,
+      row_number() over o as turn from w window o as (order by most::double / weight, place)),
+lv as (select arg_min(part, turn) as level from p where part * weight <= most),
+t as (select source, source_size, place, least(most::double, level * weight) as target from p, lv),
+r as (select *, case when source_size > 0 then cast(floor(target / source_size * {float(mixing.UNIT)}) as hugeint) else 0 end as rate,
+             cast('0x' || substr(md5('{mixing.SEED}/' || place), 1, 8) as bigint) as shift from t),
+c as (select d.*, r.* exclude (source), case when size < {mixing.CLASSES} then size
+        else length(bin(size)) * {mixing.CLASSES} + ((size >> (length(bin(size)) - {mixing.CLASSES.bit_length()})) & {mixing.CLASSES - 1}) end as class,
+        cast('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/' || digest), 1, 8) as bigint) as spread
+      from d join r on d.source is not distinct from r.source),
+k as (select place, class, greatest(1, ceil(count(*) / {mixing.SLICE_ROWS}))::bigint as slices from c group by place, class),
+n as (select c.*, row_number() over (partition by place order by class, spread % slices, size, doc_id nulls last, digest) as nr
+      from c join k using (place, class)),
+f as (select *, cast((nr * rate + shift) // {mixing.UNIT} - ((nr - 1) * rate + shift) // {mixing.UNIT} as bigint) as copies from n)
+select doc_id, size, source_size, target, size * copies as taken, copies, source from f
+"""
+
 _TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 
@@ -137,5 +164,5 @@ select item_id, rank, doc_id, score from r where rank <= {lexical_search.TOP}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": _OP2, "op4_packing": _OP4, "op7_suffix_dedup": _OP7, "op8_url_filters": _OP8,
-    "op13_lexical_search": _OP13,
+    "op12_mixing": _OP12, "op13_lexical_search": _OP13,
 }
