@@ -173,7 +173,7 @@ def merge_with_counts(
     Both counts are collected by the same job that computes the merge, the
     first time an action runs on the returned DataFrame; no second pass.
     """
-    before, after = Observation("rows_before"), Observation("rows_after")
+    before, after = Observation(), Observation()  # unnamed: two merges may meet in one plan
     observed = records.observe(before, F.count(F.lit(1)).alias("rows"))
     merged = merge_subjects(observed, subjects, key, **kw).observe(
         after, F.count(F.lit(1)).alias("rows")
@@ -181,6 +181,43 @@ def merge_with_counts(
     return merged, before, after
 
 
+def merge_contract(
+    records: DataFrame, subjects: DataFrame, key: str | tuple[str, str] = "USUBJID",
+    by: str | None = None, cols: Sequence[str] = (), **kw,
+) -> DataFrame:
+    """J2 inside the plan: the records, the merge's own output, and where they differ, per group.
+
+    One row per value of ``by`` (a records column, e.g. the arm; one row in all
+    without it): ``rows_before``, ``rows_after``, ``n_matched`` (merged rows that
+    found a subject), ``n_subjects``, and ``n_changed``, the subjects whose
+    records the merge multiplied or lost, with ``kept`` true where there are none.  Both sides are counted per subject with
+    partial aggregation, so a hot subject sends one row a task, and compared in
+    the job that computes the merge.  NULL keys are one subject; a NULL group is
+    a group.  No records give no rows (without ``by``: one row of zeros).
+    """
+    rkey, _ = _keys(key)
+    # The mark makes the merge itself part of the plan: without a subject column in use, Catalyst drops the join.
+    marked = subjects.withColumn("_matched", F.lit(1).cast("long"))
+    merged, _, _ = merge_with_counts(records, marked, key, cols=[*cols, "_matched"], **kw)
+    group = F.col(by) if by else F.lit(None).cast("string")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def counted(df: DataFrame, before: Column, after: Column, matched: Column) -> DataFrame:
+        return df.select(F.col(rkey).alias("_key"), group.alias("_group"), before.alias("_before"), after.alias("_after"),
+                         matched.alias("_matched"))
+
+    both = counted(records, one, none, none).unionAll(counted(merged, none, one, F.coalesce("_matched", none)))
+    per_key = both.groupBy("_group", "_key").agg(*[F.sum(c).alias(c) for c in ("_before", "_after", "_matched")])
+    changed = F.count_if(F.col("_before") != F.col("_after"))
+    per_group = (per_key.groupBy("_group") if by else per_key).agg(
+        F.coalesce(F.sum("_before"), F.lit(0)).cast("long").alias("rows_before"),
+        F.coalesce(F.sum("_after"), F.lit(0)).cast("long").alias("rows_after"),
+        F.coalesce(F.sum("_matched"), F.lit(0)).cast("long").alias("n_matched"),
+        F.count(F.lit(1)).alias("n_subjects"), changed.alias("n_changed"))
+    named = [F.col("_group").alias(by)] if by else []
+    return per_group.select(*named, "rows_before", "rows_after", "n_matched", "n_subjects", "n_changed", (F.col("n_changed") == 0).alias("kept"))
+
+
 class RowCountChanged(AssertionError):
     pass
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,29 +72,54 @@ def distinct_values(df: DataFrame, col: str, n: int = DISTINCT_PREVIEW) -> DataF
     """A6 + L3: how many distinct non-NULL values, and the first ``n`` sorted.
 
     One row ``(column, n_values, preview)``; ``preview`` joins the first ``n``
-    values with ", " and ends in "..." when there are more.  The first ``n`` are
-    a bounded top-k, the count a distinct aggregate: nothing collects the
-    whole column.
+    values with ", " and ends in "..." when there are more.  The first ``n``
+    come from bounded aggregates (:func:`smallest_distinct`), so only the exact
+    count moves every distinct value, once.
     """
     spark = df.sparkSession
-    values = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    total = values.agg(F.count(F.lit(1))).scalar()
-    first = values.orderBy("v").limit(n)
-    shown = first.agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list("v")), lambda x: x.cast("string")), ", "
-        )
-    ).scalar()
-    preview = F.concat(shown, F.when(total > n, F.lit("...")).otherwise(F.lit("")))
+    total = df.agg(F.count_distinct(F.col(col))).scalar()
+    shown = smallest_distinct(df, [col], n).select(F.array_join(F.transform(F.col("values")[0]["v0"], lambda x: x.cast("string")), ", "))
+    first = shown.scalar()
+    preview = F.concat(first, F.when(total > n, F.lit("...")).otherwise(F.lit("")))
     return spark.range(1).select(
         F.lit(col).alias("column_name"), total.alias("n_values"), preview.alias("preview")
     )
 
 
-def _sort_key(dt: T.DataType, c: Column) -> tuple[Column, Column]:
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return c.cast("double"), c.cast("string")
-    return F.lit(None).cast("double"), c.cast("string")
+#: Hash buckets for each value wanted by smallest_distinct.
+BUCKETS_PER_VALUE = 4
+
+
+def smallest_distinct(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` smallest distinct non-NULL values of each column: one row, ``values`` an array of one struct ``v0, v1, ...``.
+
+    Exact, in two scans whose aggregates have no key and a small bounded state,
+    so that neither a sort nor a shuffle sees the distinct values.  The first
+    keeps, for each column, the smallest value in each of ``4 k`` hash buckets
+    of values; these are distinct, so the k-th of them is no smaller than the
+    k-th value sought.  The second collects the distinct values up to there:
+    the k sought and the few that shared a bucket with a smaller one.
+    Orderable atomic types keep their order, other types go by their text.
+    """
+    buckets = BUCKETS_PER_VALUE * k
+    typed = [_orderable(df.schema[c].dataType, F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)]
+    values = df.select(*typed)
+    marked = values.select("*", *[F.pmod(F.xxhash64(f"v{i}"), F.lit(buckets)).alias(f"b{i}") for i in range(len(cols))])
+    least = marked.agg(*[F.min(F.when(F.col(f"b{i}") == b, F.col(f"v{i}"))).alias(f"m{i}_{b}")
+                         for i in range(len(cols)) for b in range(buckets)])
+    limits = least.select(F.struct(*[
+        F.get(F.array_sort(F.array_compact(F.array(*[F.col(f"m{i}_{b}") for b in range(buckets)]))), F.lit(k - 1)).alias(f"v{i}")
+        for i in range(len(cols))])).scalar()
+    bounded = values.select("*", limits.alias("limit"))
+    sets = bounded.agg(*[
+        F.collect_set(F.when(F.col(f"limit.v{i}").isNull() | (F.col(f"v{i}") <= F.col(f"limit.v{i}")), F.col(f"v{i}"))).alias(f"v{i}")
+        for i in range(len(cols))])
+    return sets.select(F.array(F.struct(*[F.slice(F.array_sort(f"v{i}"), 1, k).alias(f"v{i}") for i in range(len(cols))])).alias("values"))
+
+
+def _orderable(dt: T.DataType, c: Column) -> Column:
+    atomic = (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return c if isinstance(dt, atomic) else c.cast("string")
 
 
 def sample_values(
@@ -102,27 +127,18 @@ def sample_values(
 ) -> DataFrame:
     """The ``k`` smallest distinct non-NULL values of every column, or of the first ``max_cols``.
 
-    Rows ``(column, rank, value)``, values as text.  One scan: the columns are
-    unpivoted into (column, value) pairs, de-duplicated (every distinct
-    value moves once), and ranked per column; Spark inserts a partial group
-    limit before the ranking exchange, so each task sends at most ``k`` values
-    per column there.
+    Rows ``(column, rank, value)``, values as text; a column without values has
+    no rows.  See :func:`smallest_distinct`: each task sends a bounded number of
+    values per column, whatever the columns hold.
     """
     cols = df.columns[:max_cols]
-    rows = []
-    for c in cols:
-        num, txt = _sort_key(df.schema[c].dataType, F.col(c))
-        rows.append(F.struct(F.lit(c).alias("column_name"), num.alias("num"), txt.alias("value")))
-    long = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    long = long.filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column_name").orderBy(
-        F.col("num").asc_nulls_last(), F.col("value")
-    )
-    return (
-        long.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("column_name", F.col("rank").cast("long").alias("rank"), "value")
-    )
+    found = smallest_distinct(df, cols, k).select(F.col("values")[0].alias("of"))
+
+    def named(c: str, values: Column) -> Column:
+        return F.transform(values, lambda v, r: F.struct(
+            F.lit(c).alias("column_name"), (r + 1).cast("long").alias("rank"), v.cast("string").alias("value")))
+
+    return found.select(F.inline(F.flatten(F.array(*[named(c, F.col(f"of.v{i}")) for i, c in enumerate(cols)]))))
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
@@ -152,6 +168,43 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return wide.select(F.inline(entries))
 
 
+#: log2 of the registers of a stored sketch, and three standard errors of a union's estimate.
+SKETCH_LG_K = 12
+SKETCH_BOUND = 3 * 1.04 / 2 ** (SKETCH_LG_K / 2)
+
+
+def column_sketches(df: DataFrame, by: str | None = None, cols: Sequence[str] | None = None) -> DataFrame:
+    """A8 in parts: per group and column its row count, non-NULL count and a distinct-value sketch.
+
+    Rows ``([by,] column_name, n_rows, non_null, sketch)``.  Sketches of parts
+    (files, days) are made once, stored, and merged by :func:`merged_profile`;
+    a grown table needs only its new parts read.  One aggregate: a task sends
+    one sketch (4 KB) per group and column.
+    """
+    cols = [c for c in cols or df.columns if c != by]
+    plain = (T.IntegerType, T.LongType, T.StringType, T.BinaryType)
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`")
+        aggs.append(F.count(v).alias(f"n{i}"))
+        aggs.append(F.hll_sketch_agg(v if isinstance(df.schema[c].dataType, plain) else v.cast("string"), F.lit(SKETCH_LG_K)).alias(f"s{i}"))
+    wide = (df.groupBy(by) if by else df).agg(*aggs)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), F.col(f"n{i}").alias("non_null"), F.col(f"s{i}").alias("sketch"))
+                        for i, c in enumerate(cols)])
+    return wide.select(*([by] if by else []), F.inline(entries))
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """A8 of the whole from its parts: ``column_name, n_rows, non_null, n_distinct``.
+
+    Counts are exact; ``n_distinct`` is an estimate that misses by less than
+    ``SKETCH_BOUND`` (4.9 %) in 99.7 % of cases, whatever the number of parts.
+    """
+    return sketches.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("non_null").alias("non_null"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def preview(df: DataFrame, n: int = REPORT_ROWS, order: Sequence[str | Column] = ()) -> DataFrame:
     """L2: the first ``n`` rows in an explicit order (top-k, not a full sort)."""
     return df.orderBy(*order).limit(n) if order else df.limit(n)

@@ -8,15 +8,16 @@ folded to one row per map task before anything is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.numbers import bar_label
 from tideline.operators.merge import orphan_markers
 from tideline.roles import Roles
-from tideline.session import ensure_checkpoint_dir
 
 BAR_LAYER = "bar"
 
@@ -62,46 +63,79 @@ def sort_by_bar(df: DataFrame, bar: str, subject: str) -> DataFrame:
     return df.orderBy(F.col(bar).asc_nulls_last(), F.col(subject).asc_nulls_last())
 
 
+#: Most ranges that lane_order cuts the bars (and the subjects of one bar length) into.
+LANE_RANGES = 1024
+
+
 def lane_order(
     bars: DataFrame, subject: str, bar: str, name: str = "lane",
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """1-based lane of each subject: ascending bar (NULLs last), then subject.
-
-    A global ``row_number()`` without partitioning would pull every subject into
-    one task.  Instead the bars are range-partitioned and sorted on the lane
-    order, materialised with ``checkpoint()`` (so both passes below see the same
-    partitions even after an executor loss), counted per partition, and each
-    row's lane is its partition's offset plus its position inside the
-    partition.  The offsets table has one row per partition, a bound that does
-    not grow with the data, so it is broadcast.  Costs one range exchange and
-    one small aggregate; the checkpoint is written to the shared
-    ``spark.checkpoint.dir``.
+    """1-based lane of each subject: ascending bar (NULLs last), then subject (NULLs last).
+
+    A global ``row_number()`` would pull every subject into one task.  Instead
+    split points of the bars, and of the subjects, come from quantile sketches
+    (one scalar subquery) and number each row's range in the lane order: the
+    bars between two split points, or one split point's own bar length, which
+    many subjects may share and which the subjects' split points therefore
+    divide again.  A lane is the rows in all earlier ranges plus the rank inside
+    the range.  Split points only balance the ranges; the order is exact
+    whatever they are.  The running count goes over one row per range, at most
+    about ``2 n + n ** 2`` whatever the table, with ``n`` split points:
+    ``num_partitions``, or the session's shuffle partitions.  The plan is lazy and leaves no
+    files; bars are computed once a branch unless Spark reuses their exchange.
     """
-    ensure_checkpoint_dir(bars.sparkSession)
-    keys = [F.col(bar).asc_nulls_last(), F.col(subject).asc_nulls_last()]
-    ranged = (
-        bars.repartitionByRange(num_partitions, *keys)
-        if num_partitions
-        else bars.repartitionByRange(*keys)
-    )
-    ordered = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ordered.select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # position inside the partition: monotonically_increasing_id is
-    # (partition index << 33) + row number within the partition
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, F.col("_off") + local + F.lit(1))
-        .drop("_pid", "_mid", "_off")
-    )
+    n = num_partitions or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / (n + 1) for i in range(1, min(n, LANE_RANGES) + 1)]
+    keyed = bars.select("*", F.col(bar).cast("double").alias("_bar"),
+                        _order_number(bars.schema[subject].dataType, F.col(subject)).alias("_subject"))
+    splits = keyed.agg(F.struct(
+        _split_points("_bar", shares).alias("bars"), _split_points("_subject", shares).alias("subjects"))).scalar()
+    keyed = keyed.select("*", splits.alias("_splits"))  # a column first: no subquery may stand inside a lambda function
+    # A range: how many split points lie below, and whether the value is one itself.
+    below, own = _position(F.col("_splits.bars"), F.col("_bar"))
+    last = F.lit(2 * len(shares) + 2)
+    ranged = keyed.withColumn("_range", F.when(F.col("_bar").isNull(), last).otherwise(2 * below + own.cast("int")))
+    part, _ = _position(F.col("_splits.subjects"), F.col("_subject"))
+    shared = F.col("_bar").isNull() | (F.col("_range") % 2 == 1)
+    ranged = ranged.withColumn("_part", F.when(shared, F.when(F.col("_subject").isNull(), F.lit(len(shares) + 1)).otherwise(part)).otherwise(F.lit(0)))
+
+    counts = ranged.groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_range").alias("_r"), F.col("_part").alias("_p"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range", "_part").orderBy(F.col(bar).asc_nulls_last(), F.col(subject).asc_nulls_last())
+    ranked = ranged.withColumn("_rank", F.row_number().over(inside))
+    placed = ranked.join(offsets, (F.col("_range") == F.col("_r")) & (F.col("_part") == F.col("_p")))
+    return placed.select(*[F.col(f"`{c}`") for c in bars.columns], (F.col("_before") + F.col("_rank")).alias(name))
+
+
+def _order_number(kind: T.DataType, c: Column) -> Column:
+    """A double that never falls as ``c`` rises; 0 for types without such a number."""
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return F.when(c.isNotNull(), F.lit(0.0))
+
+
+def _split_points(col: str, shares: list[float]) -> Column:
+    """Distinct split points of a column in chunks, each an array; empty without values."""
+    points = F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(col, shares, 20 * LANE_RANGES), F.array().cast("array<double>"))))
+    size = max(1, math.isqrt(len(shares)))
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(points) - 1, F.lit(0)), F.lit(size))
+    return F.transform(firsts, lambda i: F.slice(points, i + 1, F.lit(size)))
+
+
+def _position(chunks: Column, value: Column) -> tuple[Column, Column]:
+    """Split points below a value, and whether it is one; only one chunk is searched."""
+    whole = F.filter(chunks, lambda c: F.coalesce(F.array_max(c) < value, F.lit(False)))
+    chunk = F.coalesce(F.get(chunks, F.size(whole)), F.array().cast("array<double>"))
+    below = F.aggregate(whole, F.lit(0), lambda a, c: a + F.size(c)) + F.size(F.filter(chunk, lambda x: x < value))
+    return below, F.array_contains(chunk, value)
 
 
 def timepoint_markers(df: DataFrame, subject: str, var: str, layer: str | None = None) -> DataFrame:

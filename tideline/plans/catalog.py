@@ -14,6 +14,7 @@ limit is the feature (top-k previews).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,10 @@ from tideline.operators import profile as P
 from tideline.operators import textjobs as X
 from tideline.operators import timeline as G
 from tideline.plans.bars import record_bars
-from tideline.plans.steps import apply_steps
+from tideline.plans.steps import apply_steps, staged_transform
 from tideline.roles import Roles
-from tideline.sources import load_table
+from tideline.sources import load_table, read_runs, write_report
+from tideline.sources.staging import shared_dir, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -501,6 +503,58 @@ def q_interval_days(spark, d):
                     interval_days(F.col("l_shipdate") - F.col("o_orderdate")).alias("interval_days"))
 
 
+def q_merge_contract(spark, d):
+    """Items merged onto their orders (kept), and customers onto their orders without de-duplication (multiplied)."""
+    items = M.merge_contract(_t(spark, d, "lineitem"), _t(spark, d, "orders"), ITEM_KEY, by="l_returnflag", cols=ITEM_SUBJECT_COLS)
+    customers = M.merge_contract(_t(spark, d, "customer"), _t(spark, d, "orders"), ("c_custkey", "o_custkey"),
+                                 by="c_mktsegment", cols=["o_orderpriority"], dedup=False)
+    named = [items.withColumnRenamed("l_returnflag", "arm").withColumn("merge", F.lit("items")),
+             customers.withColumnRenamed("c_mktsegment", "arm").withColumn("merge", F.lit("customers"))]
+    return named[0].unionByName(named[1])
+
+
+def q_report_store(spark, d):
+    """A report per merge, one of them written twice under its id, read back from the store."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    runs = {"items": _t(spark, d, "lineitem"), "orders": _t(spark, d, "orders")}
+    for run in ("items", "orders", "items"):
+        report = runs[run].agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(runs[run].columns)).cast("long"))
+        write_report(report, path, run_id=run)
+    return read_runs(spark, path, report.schema, "json")
+
+
+def q_sketch_profile(spark, d):
+    """A profile of events from one stored sketch a day; exact counts of the keys beside it."""
+    ev = _t(spark, d, "events").withColumn("day", F.dayofmonth("ts"))
+    stored = stage_table(P.column_sketches(ev, by="day"), "sketches").df
+    keys = {"event_id", "user_id"}
+    exact = {c: ev.agg(F.count_distinct(c)).scalar() for c in sorted(keys)}
+    found = P.merged_profile(stored)
+    n = F.lit(None).cast("long")
+    for c, count in exact.items():
+        n = F.when(F.col("column_name") == c, count).otherwise(n)
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.col("n_exact") * P.SKETCH_BOUND
+    return found.withColumn("n_exact", n).select("column_name", "n_rows", "non_null", "n_exact", near.alias("within_bound"))
+
+
+def q_staged_transforms(spark, d):
+    """One transform that fails on a single row, one that loses rows against its contract, and one that is committed."""
+    items = _t(spark, d, "lineitem")
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    text = F.when(place == items.agg(F.max(place)).scalar(), F.lit("unknown")).otherwise(F.col("l_quantity").cast("string"))
+    transforms = {
+        "cast": lambda df: df.withColumn("l_quantity", text.cast("double")),
+        "filter": lambda df: df.filter("l_returnflag <> 'N'"),
+        "double": lambda df: df.withColumn("l_quantity", F.col("l_quantity") * 2),
+    }
+    parts = []
+    for name, fn in transforms.items():
+        result = staged_transform(items, fn, Roles(subject="l_orderkey", x="l_shipdate", bar="l_quantity"), rows="same", name=name)
+        parts.append(result.df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
+                     .withColumns({"transform": F.lit(name), "status": F.lit(result.status)}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 QUERIES: dict[str, Query] = {
     "subject_bars": q_subject_bars,
     "merge_subjects": q_merge_subjects,
@@ -561,4 +615,8 @@ QUERIES: dict[str, Query] = {
     "extract_formulas": q_extract_formulas,
     "intent_category": q_intent_category,
     "audit_verdicts": q_audit_verdicts,
+    "merge_contract": q_merge_contract,
+    "report_store": q_report_store,
+    "sketch_profile": q_sketch_profile,
+    "staged_transforms": q_staged_transforms,
 }

@@ -476,4 +476,27 @@ ORACLE_SQL: dict[str, str] = {
         f"AND NOT contains(ref, ' ') AND NOT regexp_matches(ref, '(?i){NON_COLUMN_WORDS}') "
         "AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = r.ref) GROUP BY page_id) USING (page_id)"
     ),
+    "merge_contract": (
+        "WITH m AS (SELECT 'items' AS merge, l_returnflag AS arm, l_orderkey AS k, count(*) AS b, count(*) AS a, count(o_orderkey) AS f "
+        "FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL UNION ALL "
+        "SELECT 'customers', c_mktsegment, c_custkey, 1, greatest(1, count(o_custkey)), count(o_custkey) FROM customer LEFT JOIN orders "
+        "ON c_custkey = o_custkey GROUP BY ALL) "
+        "SELECT merge, arm, CAST(sum(b) AS BIGINT) AS rows_before, CAST(sum(a) AS BIGINT) AS rows_after, CAST(sum(f) AS BIGINT) AS n_matched, "
+        "count(*) AS n_subjects, count(*) FILTER (a <> b) AS n_changed, count(*) FILTER (a <> b) = 0 AS kept FROM m GROUP BY merge, arm"
+    ),
+    "staged_transforms": (
+        "SELECT transform, status, l_returnflag, count(*) AS n_rows, sum(l_quantity) * times AS quantity FROM lineitem, "
+        "(VALUES ('cast', 'run_error', 1), ('filter', 'contract', 1), ('double', 'committed', 2)) t(transform, status, times) "
+        "GROUP BY transform, status, l_returnflag, times"
+    ),
+    "report_store": (
+        "SELECT 'items' AS run_id, count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns FROM lineitem "
+        "UNION ALL SELECT 'orders', count(*), 6 FROM orders"
+    ),
+    "sketch_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS non_null, "
+        + (f"count(DISTINCT {c}) AS n_exact, true AS within_bound" if c in ("event_id", "user_id")
+           else "CAST(NULL AS BIGINT) AS n_exact, CAST(NULL AS BOOLEAN) AS within_bound") + " FROM events"
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    ),
 }

@@ -2,11 +2,13 @@ from tideline.sources.datasets import (
     CLINICAL_DATASETS,
     DatasetError,
     DatasetSpec,
+    append_run,
     list_datasets,
     load_dataset,
     load_table,
     normalize_nan,
     observe_shape,
+    read_runs,
     read_table,
     register_datasets,
     require_nonempty,
@@ -22,8 +24,10 @@ __all__ = [
     "list_datasets",
     "load_dataset",
     "load_table",
+    "append_run",
     "normalize_nan",
     "observe_shape",
+    "read_runs",
     "read_table",
     "register_datasets",
     "require_nonempty",

@@ -185,6 +185,36 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite",
     writer.parquet(path)
 
 
-def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append a validation report (one row per run) to a report store."""
-    report.write.mode("append").format(fmt).save(path)
+RUN_COLUMN = "run_id"
+
+
+def append_run(df: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
+    """Append one run's rows to a store, as often as it is retried.
+
+    The store is partitioned by ``run_id``; writing a run replaces that run's
+    partition and leaves all others alone, so a retry after a lost driver never
+    doubles rows.  The partition appears when the write commits.  A run without
+    rows leaves the store as it was.
+    """
+    if not run_id:
+        raise ValueError("a run needs an id")
+    (df.withColumn(RUN_COLUMN, F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(RUN_COLUMN).format(fmt).save(path))
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A store written by :func:`append_run`: ``schema`` (the rows' own) and ``run_id`` as text."""
+    full = T.StructType([f for f in schema.fields if f.name != RUN_COLUMN] + [T.StructField(RUN_COLUMN, T.StringType())])
+    return spark.read.schema(full).format(fmt).load(path)
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "json", run_id: str | None = None) -> None:
+    """Append a validation report (one row per run) to a report store.
+
+    With ``run_id`` the append is idempotent (:func:`append_run`); without one
+    every call adds its rows.
+    """
+    if run_id is not None:
+        append_run(report, path, run_id, fmt)
+    else:
+        report.write.mode("append").format(fmt).save(path)
