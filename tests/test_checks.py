@@ -59,10 +59,10 @@ def test_validate_short_circuits(spark):
     # C13
     df = spark.createDataFrame([("a", 1, 2)], "s string, x int, b int")
     r = summarize(validate_all(df, Roles(subject="s", x="", bar="b")))
-    assert r == {"valid": False, "errors": ["Missing required variables: X-axis (linear)"],
+    assert r == {"valid": False, "errors": ["Roles without a column: X-axis (linear)"],
                  "warnings": []}
     r = summarize(validate_all(df, Roles(subject="s", x="nope", bar="b")))
-    assert r["errors"] == ["Variables not found in dataset: X-axis ('nope')"]
+    assert r["errors"] == ["Role columns that the table lacks: X-axis ('nope')"]
     empty = df.filter("false")
     r = summarize(validate_all(empty, Roles(subject="s", x="x", bar="b")))
     assert r["errors"] == ["No data"]
@@ -84,7 +84,7 @@ def test_validate_warnings_and_errors(spark):
         require_valid(bad)
     r = summarize(bad)
     assert len(r["errors"]) == 3
-    assert "Graph customization contains data elements: filter subjects" in r["errors"]
+    assert "The plot request asks for data work: filter subjects" in r["errors"]
 
 
 def test_require_columns_and_missing(spark):

@@ -5,12 +5,22 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
-from tideline.operators.merge import merge_contract
-from tideline.operators.timeline import lane_order
+from conftest import SMOKE_DIR, rows
+from tideline.functions import day_diff
+from tideline.operators.checks import transform_report, validation_report
+from tideline.operators.merge import merge_contract, merge_subjects
+from tideline.operators.profile import SKETCH_BOUND, column_sketches, distinct_values, merged_profile, sample_values, smallest_distinct
+from tideline.operators.skew import repeat_rows
+from tideline.operators.textjobs import parse_status, screen_term_table, screen_terms
+from tideline.operators.timeline import assemble_layers, bar_conflicts, category_markers, lane_order, record_layers, subject_bars
+from tideline.plans.bars import record_conflicts
+from tideline.plans.catalog import QUERIES
 from tideline.plans.steps import StepFailed, apply_steps, staged_transform
 from tideline.roles import Roles
+from tideline.sources import append_run, read_runs, write_report
+from tideline.sources.datasets import DatasetError
 from tideline.sources.staging import shared_dir, stage_table
+from tideline.sources.typed_csv import read_typed_csv
 
 
 def staged_folders(spark):
@@ -153,3 +163,210 @@ def test_staged_tables_are_copies(spark):
     staged = stage_table(src, "copy")
     assert rows(staged.df) == [(0,), (1,), (2,)] and staged.df.dtypes == src.dtypes
     staged.drop()
+
+
+def plan_of(df):
+    """The plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+# Bounded distinct samples (A6, A7) and stored sketches (A8) ---------------------------------------
+
+def test_smallest_distinct_of_many_kinds(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 977).alias("few"), F.col("id").alias("key"), F.lit(None).cast("int").alias("none"),
+        F.concat(F.lit("é"), F.col("id") % 313).alias("text"), (F.col("id") % 2 == 0).alias("flag"),
+        F.when(F.col("id") == 9, float("nan")).otherwise(-F.col("id").cast("double")).alias("number"),
+        F.array(F.col("id") % 3).alias("list"), F.lit("one").alias("a.b"))
+    got = smallest_distinct(df, df.columns, 4).select(F.col("values")[0].alias("v")).select("v.*").first()
+    want = [sorted({r[c] for r in df.select(f"`{c}`").collect() if r[c] is not None}, key=lambda v: (v != v, v))[:4]
+            for c in ("few", "key", "none", "text", "flag", "number")]
+    assert [list(x) for x in got[:6]] == want
+    assert list(got[6]) == ["[0]", "[1]", "[2]"] and list(got[7]) == ["one"]
+    assert [tuple(r) for r in sample_values(df.select("text"), k=2).collect()] == [("text", 1, "é0"), ("text", 2, "é1")]
+    assert sample_values(df.limit(0)).collect() == []
+
+
+def test_samples_shuffle_no_distinct_values(spark):
+    df = sample_values(spark.range(20000).select(F.col("id").cast("string").alias("a"), F.col("id").alias("b")), k=3)
+    plan = plan_of(df)
+    assert plan.count("Exchange SinglePartition") == 2 and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_distinct_preview_counts_once(spark):
+    df = distinct_values(spark.range(3000).select((F.col("id") % 100).alias("v")), "v")
+    assert rows(df) == [("v", 100, ", ".join(map(str, range(30))) + "...")]
+    assert rows(distinct_values(spark.createDataFrame([], "v string"), "v")) == [("v", 0, "")]
+
+
+def test_stored_sketches_merge_to_a_profile(spark):
+    df = spark.range(20000).select((F.col("id") % 4).cast("int").alias("part"), (F.col("id") % 6000).alias("k"),
+                                   F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("x"))
+    whole = stage_table(column_sketches(df.filter("part < 3"), by="part"), "sketches")
+    grown = whole.df.unionAll(column_sketches(df.filter("part = 3"), by="part"))  # only the new part is read again
+    got = {r["column_name"]: r for r in merged_profile(grown).collect()}
+    assert (got["k"]["n_rows"], got["k"]["non_null"], got["x"]["non_null"]) == (20000, 20000, 10000)
+    assert abs(got["k"]["n_distinct"] - 6000) <= SKETCH_BOUND * 6000 and abs(got["x"]["n_distinct"] - 10000) <= SKETCH_BOUND * 10000
+    whole.staged = whole.drop()
+    assert rows(merged_profile(column_sketches(df.filter("false"))), "column_name", "n_rows", "n_distinct") == [
+        ("k", 0, 0), ("part", 0, 0), ("x", 0, 0)]
+
+
+# Sinks (S5, S6) -----------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_a_retried_report_is_there_once(spark, tmp_path, fmt):
+    path = str(tmp_path / "store")
+    report = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    for run in ("2024-01-01", "007", "2024-01-01"):
+        write_report(report, path, fmt, run_id=run)
+    back = read_runs(spark, path, report.schema, fmt)
+    assert rows(back, "run_id", "n", "t") == sorted([(r, *x) for r in ("2024-01-01", "007") for x in ((1, "a"), (2, None))], key=repr)
+    append_run(report.limit(1), path, "007", fmt)  # a corrected run replaces its own rows only
+    assert read_runs(spark, path, report.schema, fmt).groupBy("run_id").count().orderBy("run_id").collect()[0][:] == ("007", 1)
+    append_run(report.limit(0), path, "empty", fmt)
+    assert read_runs(spark, path, report.schema, fmt).count() == 3
+    with pytest.raises(ValueError):
+        append_run(report, path, "")
+
+
+# One pass (U4, V9) and below the merge (G7) -------------------------------------------------------
+
+@pytest.fixture
+def merged(spark):
+    return spark.createDataFrame([("a", 3, "x"), ("a", 3, "x"), ("a", 1, None), ("b", None, "y"), ("c", 5, "z"), ("c", None, "z"), (None, 2, "x")],
+                                 "s string, d int, cat string")
+
+
+def test_record_layers_equal_assembled_layers(merged):
+    want = assemble_layers(subject_bars(merged, "s", "d"), "s", "d", category_markers(merged, "s", "d", "cat"))
+    got = record_layers(merged, "s", "d", "cat")
+    assert got.columns == want.columns and rows(got) == rows(want)
+    assert rows(record_layers(merged.limit(0), "s", "d", "cat")) == []
+
+
+def test_layers_scan_each_table_once(spark):
+    plan = plan_of(QUERIES["layers"](spark, SMOKE_DIR))
+    assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
+
+
+def test_copies_are_written_in_chunks(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 0), ("c", None), ("d", 1)], "k string, n int")
+    out = repeat_rows(df, "n", chunk=3)
+    assert {r["k"]: r["count"] for r in out.groupBy("k").count().collect()} == {"a": 10, "d": 1} and out.columns == ["k"]
+
+
+def test_a_report_runs_one_job(spark, merged):
+    roles = type("R", (), {"required": lambda self: ["s", "d"], "subject": "s", "x": "d", "bar": "d"})()
+    spark.sparkContext.setJobGroup("report", "report")
+    try:
+        got = transform_report(merged, lambda d: d.filter("d > 1"), roles, order=["d", "s"], lineage={"request": "r"})
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("report")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = validation_report(merged.filter("d > 1"), roles, original=merged, order=["d", "s"], lineage={"request": "r"})
+    assert got.columns == want.columns and rows(got) == rows(want)
+    empty = transform_report(merged, lambda d: d.filter("false"), roles, order=["d"]).first()
+    assert (empty["original_shape"]["rows"], empty["processed_shape"]["rows"], list(empty["first_rows"])) == (7, 0, [])
+
+
+def test_conflicts_below_the_merge_equal_conflicts_above(spark):
+    recs = spark.createDataFrame([("a", "2024-01-05"), ("a", "2024-01-05"), ("a", "2024-01-09"), ("b", "2024-01-02"), ("b", "2024-01-02"),
+                                  ("c", None), ("c", "2024-01-03"), ("z", "2024-01-01"), ("z", "2024-02-01"), (None, "2024-01-01")], "k string, t string")
+    recs = recs.withColumn("t", F.to_timestamp("t"))
+    subj = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-01"), ("c", "2024-01-01"), ("a", "2024-01-04")], "k string, r string")
+    subj = subj.withColumn("r", F.to_timestamp("r"))
+    got = record_conflicts(recs, subj, ("k", "k"), "r", "t")
+    above = merge_subjects(recs, subj, "k").withColumn("day", day_diff("r", "t", inclusive=True))
+    assert rows(got) == rows(bar_conflicts(above, "k", "day")) == [("a", 5, 9, 2)]
+
+
+# X1 with a table of terms, X3 ---------------------------------------------------------------------
+
+def test_a_term_table_finds_what_contains_finds(spark):
+    terms = ["aria", "riadne", "Ariadne's thread", "é", "thé", "thread", "readily available", "x", "", None, "aaaa", "ab", "abc", "straße", "no such term"]
+    texts = [(1, "Ariadne's threads"), (2, "thé vert, THÉ noir"), (3, None), (4, ""), (5, "a" * 50), (6, "readily availabl"), (7, "xabcx straSSE STRAßE"),
+             (8, "the " * 3000 + "readily available"), (None, "thread"), (None, "aria"), (1, "x")]
+    df = spark.createDataFrame([(i, t, "c", 0) for i, t in texts], "id int, text string, _term string, _at int")
+    table = spark.createDataFrame([(t,) for t in terms], "t string")
+    got = {r["id"]: list(r["issues"]) for r in screen_term_table(df, ["id"], "text", table, "t").collect()}
+    want: dict = {}
+    for i, t in texts:
+        want.setdefault(i, set()).update(x.lower() for x in terms if x and t and x.lower() in t.lower())
+    assert got == {i: sorted(v) for i, v in want.items()}
+    listed = screen_terms(df.filter("id = 8"), "text", ["thread", "readily available"]).first()["issues"]
+    assert set(listed) < set(got[8]) and all(r["valid"] == (not r["issues"]) for r in screen_term_table(df, ["id"], "text", table, "t").collect())
+
+
+def test_an_empty_term_table_and_no_texts(spark):
+    df = spark.createDataFrame([(1, "some text")], "id int, text string")
+    none = spark.createDataFrame([], "t string")
+    assert rows(screen_term_table(df, ["id"], "text", none, "t")) == [(1, [], True)]
+    assert rows(screen_term_table(df.limit(0), ["id"], "text", none.unionAll(spark.sql("select 'text'")), "t")) == []
+
+
+def test_many_random_terms(spark):
+    import random
+
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(600)}
+    texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90)))) for i in range(120)]
+    df, table = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(t,) for t in terms], "t string")
+    got = {r["id"]: list(r["issues"]) for r in screen_term_table(df, ["id"], "text", table, "t").collect()}
+    assert got == {i: sorted(t for t in terms if t in x) for i, x in texts}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("PROTECTED_TRACE: bar\nmore", ("protected_trace", "bar")),
+    ("\n \r\n ## already_overlaid\r\n\r\n # second line \nthird", ("already_overlaid", "second line")),
+    ("WRONG_CATEGORY", ("wrong_category", "")), ("WRONG_CATEGORY: \n\n  ", ("wrong_category", "")),
+    ("hello\nWRONG_CATEGORY: x", (None, None)), ("", (None, None)), (None, (None, None)), ("#", (None, None)),
+])
+def test_status_lines(spark, text, want):
+    df = parse_status(spark.createDataFrame([(text,)], "t string"), "t")
+    assert df.columns == ["t", "status", "detail"] and tuple(df.first())[1:] == want
+
+
+# S1 typed CSV -------------------------------------------------------------------------------------
+
+def test_typed_csv_keeps_identifiers_and_bad_rows(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id,n,x,day,note,void,mixed\n007,1,1.5,2024-01-31,"a, ""b""",,1\n008,-2,2,2024-02-01,c,,y\n'
+                    "009,3,4,2024-02-02,too,,many,fields\n010,4\n\n")
+    t = read_typed_csv(spark, str(path))
+    assert t.types == {"id": "string", "n": "bigint", "x": "double", "day": "timestamp", "note": "string", "void": "string", "mixed": "string"}
+    t = read_typed_csv(spark, str(path), types={"n": "int", "mixed": "int"})
+    assert rows(t.df, "id", "n", "x", "mixed")[:1] == [("007", 1, 1.5, 1)] and t.df.count() == 1
+    assert sorted((r["column_name"] or "", r["value"] or "", r["reason"]) for r in t.rejects.collect()) == [
+        ("", "", "fields"), ("", "", "fields"), ("mixed", "y", "int")]
+    assert t.rejects.filter("reason = 'fields'").count() == 2 and t.rejects.count() == 3
+    t.staged.drop()
+
+
+def test_typed_csv_with_line_breaks_in_values(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text('id,note\n01,"two\nlines"\n02,one\n')
+    t = read_typed_csv(spark, str(path), multi_line=True)
+    assert rows(t.df) == [("01", "two\nlines"), ("02", "one")] and t.rejects.count() == 0
+
+
+def test_typed_csv_rows_are_all_accounted_for(spark, tmp_path):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("id"),
+                                  F.when(F.col("id") % 10 == 0, "n/a").otherwise(F.col("id").cast("string")).alias("n"))
+    df.repartition(4).write.option("header", True).csv(str(tmp_path / "b"))
+    t = read_typed_csv(spark, str(tmp_path / "b"), types={"n": "bigint"}, text=["id"])
+    assert (t.df.count(), t.rejects.count()) == (900, 100)
+    assert t.df.agg(F.min("id"), F.sum("n")).first()[:] == ("00001", sum(i for i in range(1000) if i % 10))
+    t = read_typed_csv(spark, str(tmp_path / "b"), null_values="n/a")
+    assert t.types["n"] == "bigint" and t.df.filter("n is null").count() == 100
+
+
+def test_typed_csv_without_rows_and_unknown_columns(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("a,b\n")
+    t = read_typed_csv(spark, str(path))
+    assert (t.types, t.df.count(), t.rejects.count()) == ({"a": "string", "b": "string"}, 0, 0)
+    with pytest.raises(DatasetError):
+        read_typed_csv(spark, str(path), types={"c": "int"})

@@ -10,9 +10,10 @@ reference looked at five values; the result is a small DataFrame of
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,13 +147,13 @@ def validate_all(
     spark = spark or (df.sparkSession if df is not None else None)
     ok, missing = roles_specified(roles)
     if not ok:
-        msg = f"Missing required variables: {', '.join(missing)}"
+        msg = f"Roles without a column: {', '.join(missing)}"
         return _rows(spark, [("roles_specified", False, "error", ", ".join(missing), msg)])
     ok, missing = roles_in_data(df, roles)
     if not ok:
         msg = (
             "No data" if missing == ["No data"]
-            else f"Variables not found in dataset: {', '.join(missing)}"
+            else f"Role columns that the table lacks: {', '.join(missing)}"
         )
         return _rows(spark, [("roles_in_data", False, "error", ", ".join(missing), msg)])
 
@@ -165,12 +166,12 @@ def validate_all(
     x_sev = F.when(~x_ok, "error").when(x_type.isin(*CONVERTED_AXIS), "warning").otherwise("ok")
     b_sev = F.when(~b_ok, "error").when(b_type == "datetime", "warning").otherwise("ok")
     x_msg = (
-        F.when(~x_ok, F.lit(f"X-axis '{roles.x}' must be numeric or date (linear values)."))
+        F.when(~x_ok, F.lit(f"{roles.x}: the time axis holds values that are neither numbers nor dates"))
         .when(x_type.isin(*CONVERTED_AXIS),
-              F.concat(F.lit(f"X-axis '{roles.x}' will be converted ("), x_type, F.lit(")."))))
+              F.concat(F.lit(f"{roles.x}: the time axis is read from text as "), x_type)))
     b_msg = (
-        F.when(~b_ok, F.lit(f"HBAR '{roles.bar}' must be numeric for duration calculation."))
-        .when(b_type == "datetime", F.lit(f"HBAR '{roles.bar}' is datetime - will convert to days.")))
+        F.when(~b_ok, F.lit(f"{roles.bar}: bar lengths need numbers"))
+        .when(b_type == "datetime", F.lit(f"{roles.bar}: bar ends are times and become days")))
     entries = [
         F.struct(F.lit("roles_specified").alias("check"), F.lit(True).alias("passed"),
                  F.lit("ok").alias("severity"), F.lit(None).cast("string").alias("detail"),
@@ -190,7 +191,7 @@ def validate_all(
             F.lit("graph_request_screen").alias("check"), (~has).alias("passed"),
             F.when(has, "error").otherwise("ok").alias("severity"),
             F.array_join(issues, ", ").alias("detail"),
-            F.when(has, F.concat(F.lit("Graph customization contains data elements: "),
+            F.when(has, F.concat(F.lit("The plot request asks for data work: "),
                                  F.array_join(issues, ", "))).alias("message"),
         ))
     empty = F.struct(F.lit("roles_in_data").alias("check"), F.lit(False).alias("passed"),
@@ -256,17 +257,52 @@ def validation_report(
     and formulas, the first ``n_preview`` rows in an explicit order as JSON
     text, columns, Spark types and the roles.
     """
-    spark = df.sparkSession
-    lineage = dict(lineage or {})
-    order = list(order or [c for c in roles.required() if c in df.columns] or df.columns[:1])
     n_after = df.agg(F.count(F.lit(1))).scalar()
     base = original if original is not None else df
     n_before = base.agg(F.count(F.lit(1))).scalar()
-    first = (
-        df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n_preview)
-        .select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
-    )
-    first_rows = first.agg(F.collect_list("j")).scalar()
+    first_rows = _first_rows(df, roles, order, n_preview).agg(F.collect_list("j")).scalar()
+    return _report_row(df, base, roles, lineage, n_before, n_after, first_rows)
+
+
+def transform_report(
+    original: DataFrame,
+    fn: Callable[[DataFrame], DataFrame],
+    roles: Roles,
+    lineage: Mapping | None = None,
+    order: Sequence[str] | None = None,
+    n_preview: int = 5,
+) -> DataFrame:
+    """V9 in one job: the report of ``fn(original)``, whatever ``original`` costs to compute.
+
+    The first rows are a bounded top-k; the rows before and after the transform
+    are counted on the way by the same job, so merges and scans run once.
+    ``fn`` uses its input once.  The report, one row, is computed at once.
+    """
+    before, after = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("rows")
+    out = fn(original.observe(before, one))
+    first = [r["j"] for r in _first_rows(out.observe(after, one), roles, order, n_preview).collect()]
+    rows = F.array(*[F.lit(j) for j in first]).cast("array<string>")
+    return _report_row(out, original, roles, lineage, F.lit(_observed(before, original)), F.lit(_observed(after, out)), rows)
+
+
+def _observed(rows: Observation, df: DataFrame) -> int:
+    """The observed count; counted anew where Catalyst saw that no row can come out and dropped the observation."""
+    try:
+        return rows.get["rows"]
+    except (KeyError, Py4JError):
+        return df.count()
+
+
+def _first_rows(df: DataFrame, roles: Roles, order: Sequence[str] | None, n: int) -> DataFrame:
+    order = list(order or [c for c in roles.required() if c in df.columns] or df.columns[:1])
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n).select(
+        F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
+
+
+def _report_row(df: DataFrame, base: DataFrame, roles: Roles, lineage: Mapping | None, n_before: Column, n_after: Column,
+                first_rows: Column) -> DataFrame:
+    spark, lineage = df.sparkSession, dict(lineage or {})
     formulas = lineage.get("formulas", {}) or {}
     fmap = (
         F.create_map(*[F.lit(x) for kv in formulas.items() for x in kv])

@@ -71,3 +71,19 @@ def _hashes(many: DataFrame, many_key: str, one: DataFrame, one_key: str) -> tup
             return None
         keys = tuple(k.cast("double") for k in keys)
     return F.xxhash64(keys[0]), F.xxhash64(keys[1])
+
+
+#: Copies of one row that one step writes.
+REPEAT_CHUNK = 4096
+
+
+def repeat_rows(df: DataFrame, times: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
+    """Each row as often as its column ``times`` says (not at all for 0 or NULL); ``times`` is dropped.
+
+    A row with very many copies is first cut into chunks, which are dealt out by
+    size, so no array holds all of its copies and no task writes them alone.
+    """
+    last = F.floor((F.col(times) - 1) / chunk).cast("long")
+    chunks = df.filter(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).hint("rebalance")
+    own = F.least(F.lit(chunk).cast("long"), F.col(times).cast("long") - F.col("_chunk") * chunk)
+    return chunks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).drop("_chunk", "_copy", times)

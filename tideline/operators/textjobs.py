@@ -90,6 +90,88 @@ def screen_terms(
     return df.withColumn(issues, found).withColumn(valid, F.size(F.col(issues)) == 0)
 
 
+#: Byte lengths of the pieces by which listed terms are looked up, longest first.
+GRAM_BYTES = (8, 4, 2, 1)
+#: Longs in the bit table of anchor pieces: 4 M bits, whatever the list.
+_TABLE_LONGS = 1 << 16
+
+
+def screen_term_table(
+    df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame, term: str,
+    issues: str = "issues", valid: str = "valid",
+) -> DataFrame:
+    """X1 for a list of any length: the listed terms that occur in each text.
+
+    ``terms`` is a table, its column ``term`` the list.  One row per distinct
+    ``ids``: the terms found (lower case, sorted, each once) and whether there
+    are none.  As in :func:`screen_terms` a term occurs wherever its letters
+    do, also inside words and overlapping other terms; NULL and empty terms are
+    ignored, a NULL text has none.
+
+    Cost does not grow with texts times terms.  Every term is anchored on one of
+    its own 8-byte pieces (4, 2 or 1 bytes for short terms), the one fewest
+    listed terms contain.  A position of a text goes on only if a bit table of
+    fixed size knows the hash of the piece that starts there; what goes on meets
+    the anchors in an equi-join, with as much of the text around it as the
+    longest term needs, and is compared in full.  Matching is on UTF-8 bytes,
+    where a whole term can only match whole characters.  Building asks the list
+    for the piece lengths it needs (at most four rows); all else is lazy.
+    """
+    listed = terms.select(F.lower(F.col(term).cast("string")).alias("_term")).filter(F.col("_term") != "").distinct()
+    listed = listed.select("_term", F.col("_term").cast("binary").alias("_bytes"), F.octet_length("_term").alias("_len"))
+    size = F.lit(GRAM_BYTES[-1])
+    for g in reversed(GRAM_BYTES[:-1]):
+        size = F.when(F.col("_len") >= g, g).otherwise(size)
+    listed = listed.withColumn("_size", size)
+    anchors = _anchors(listed)
+    reach = anchors.agg(F.struct(F.max("_offset").alias("before"), F.max("_len").alias("after"))).scalar()
+    table = _bit_table(anchors)
+
+    # A plain name for each id: the union below lines them up by position.
+    keys = [F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)]
+    texts = df.select(*keys, F.lower(F.col(text).cast("string")).cast("binary").alias("_text"))
+    empty = texts.select(*[f"_id{i}" for i in range(len(ids))], F.lit(None).cast("string").alias("_term"))
+    found = empty
+    for g in sorted(r["_size"] for r in listed.select("_size").distinct().collect()):
+        at = F.explode(F.sequence(F.lit(1), F.octet_length("_text") - (g - 1)))
+        places = texts.filter(F.octet_length("_text") >= g).select("*", at.alias("_at"))
+        places = places.withColumn("_gram", F.substring("_text", F.col("_at"), F.lit(g)))
+        slot = F.xxhash64("_gram").bitwiseAND(F.lit(64 * _TABLE_LONGS - 1).cast("long"))
+        word = F.get(table, F.shiftright(slot, 6).cast("int"))
+        known = F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        start = F.greatest(F.col("_at") - reach["before"], F.lit(1))
+        places = places.filter(known).withColumn("_start", start)
+        places = places.select(*empty.columns[:-1], "_at", "_gram", "_start",
+                               F.substring("_text", F.col("_start"), reach["before"] + reach["after"]).alias("_around"))
+        met = places.join(anchors.filter(F.col("_size") == g), "_gram")
+        begin = F.col("_at") - F.col("_offset")
+        same = (begin >= 1) & (F.substring("_around", begin - F.col("_start") + 1, F.col("_len")) == F.col("_bytes"))
+        found = found.unionAll(met.filter(same).select(*empty.columns))
+    out = found.groupBy(*empty.columns[:-1]).agg(F.array_sort(F.collect_set("_term")).alias(issues))
+    return out.select(*[F.col(f"_id{i}").alias(c) for i, c in enumerate(ids)], issues, (F.size(issues) == 0).alias(valid))
+
+
+def _anchors(listed: DataFrame) -> DataFrame:
+    """One piece of each term, the one fewest terms contain (then the first): ``_gram`` and its ``_offset`` in the term."""
+    pieces = listed.select("*", F.explode(F.sequence(F.lit(0), F.col("_len") - F.col("_size"))).alias("_offset"))
+    pieces = pieces.withColumn("_gram", F.substring("_bytes", F.col("_offset") + 1, F.col("_size")))
+    uses = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses")).withColumnRenamed("_gram", "_piece")
+    rated = join_one_per_key(pieces, uses, "_gram", "_piece", "inner")
+    best = rated.groupBy("_term").agg(F.min(F.struct("_uses", "_offset", "_gram", "_bytes", "_len", "_size")).alias("_best"))
+    return best.select("_term", *[f"_best.{c}" for c in ("_gram", "_offset", "_bytes", "_len", "_size")])
+
+
+def _bit_table(anchors: DataFrame) -> Column:
+    """Scalar: array of ``_TABLE_LONGS`` longs with the bit of each anchor piece's hash set."""
+    slot = F.xxhash64("_gram").bitwiseAND(F.lit(64 * _TABLE_LONGS - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    own = anchors.select(F.shiftright(slot, 6).alias("_word"), bit.alias("_bits"))
+    every = anchors.sparkSession.range(_TABLE_LONGS).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = own.unionAll(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    dense = words.agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("_w"))
+    return dense.select(F.col("_w._bits")).scalar()
+
+
 # ------------------------------------------------------------------- X2 intent
 
 def intent_expr(
@@ -147,26 +229,22 @@ def parse_status(
     The first non-blank line, leading ``#`` removed, is matched
     case-insensitively against each key as a prefix; the status is the key in
     lower case and the detail the rest of that line after ``:``/blanks, or the
-    next non-blank line (``#`` removed) when that rest is empty.
+    next non-blank line (``#`` removed) when that rest is empty.  Two anchored
+    patterns read the two lines; the second runs only where it is needed, and
+    the rest of the reply is never split.
     """
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"),
-                     lambda s: _strip(s) != "")
-    first = _strip(F.regexp_replace(_strip(F.try_element_at(lines, F.lit(1))), r"^#+", ""))
-    second = _strip(F.regexp_replace(_strip(F.try_element_at(lines, F.lit(2))), r"^#+", ""))
+    def line(pattern: str) -> Column:
+        return _strip(F.regexp_replace(_strip(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), pattern, 1)), r"^#+", ""))
+
+    first = line(r"^\s*([^\n]*)")
     matched = F.lit(None).cast("string")
     for key in reversed(list(keys)):
-        matched = F.when(F.upper(first).startswith(key), F.lit(key)).otherwise(matched)
-    rest = _strip(F.regexp_replace(
-        F.expr("substring(_ps_first, length(_ps_key) + 1)"), r"^[: ]+", ""))
-    out = df.withColumn("_ps_first", F.when(F.size(lines) > 0, first)).withColumn(
-        "_ps_key", matched).withColumn("_ps_second", F.when(F.size(lines) > 1, second))
-    chosen = F.when(F.col("_ps_key").isNull(), F.lit(None).cast("string")).when(
-        rest != "", rest).otherwise(F.coalesce(F.col("_ps_second"), F.lit("")))
-    return (
-        out.withColumn(status, F.lower(F.col("_ps_key")))
-        .withColumn(detail, chosen)
-        .drop("_ps_first", "_ps_key", "_ps_second")
-    )
+        matched = F.when(F.upper(F.col("_ps_first")).startswith(key), F.lit(key)).otherwise(matched)
+    rest = _strip(F.regexp_replace(F.expr("substring(_ps_first, length(_ps_key) + 1)"), r"^[: ]+", ""))
+    out = df.withColumn("_ps_first", first).withColumn("_ps_key", matched)
+    out = out.withColumn("_ps_rest", F.when(F.col("_ps_key").isNotNull(), rest))
+    chosen = F.when(F.col("_ps_rest") == "", line(r"^\s*[^\n]*\n\s*([^\n]*)")).otherwise(F.col("_ps_rest"))
+    return out.withColumn(status, F.lower(F.col("_ps_key"))).withColumn(detail, chosen).drop("_ps_first", "_ps_key", "_ps_rest")
 
 
 # ------------------------------------------------------------------- X4 blocks
@@ -272,11 +350,11 @@ def snippet(c: ColumnOrName, n: int = SNIPPET_CHARS) -> Column:
 
 def conversation_log(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-    text: str = "text", keep_text: bool = False,
+    text: str = "text", keep_text: bool = True,
 ) -> DataFrame:
     """Each message with its snippet and its conversation's message count.
 
-    ``keep_text`` carries the whole text beside the snippet.
+    The whole text stands beside the snippet unless ``keep_text`` is false.
 
     The count is a per-conversation aggregate joined back (partial
     aggregation first), so a conversation of any length is never gathered

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tideline.functions.numbers import bar_label
 from tideline.operators.merge import orphan_markers
+from tideline.operators.skew import repeat_rows
 from tideline.roles import Roles
 
 BAR_LAYER = "bar"
@@ -217,6 +218,32 @@ def assemble_layers(
     return out
 
 
+def record_layers(
+    df: DataFrame, subject: str, x: str, category: str, layer: str | None = None,
+) -> DataFrame:
+    """U4 from one pass over the records: the bar layer and one category marker layer.
+
+    Equal to ``assemble_layers(subject_bars(df, subject, x), subject, x,
+    category_markers(df, subject, x, category, layer))``, but the records are
+    read, merged and shuffled once: equal markers fold to one counted row per
+    (subject, x, category) in each map task, the subject's first row in bar
+    order also carries its bar, and the counted rows are written out at the end
+    (:func:`tideline.operators.skew.repeat_rows`).  A hot subject holds one row
+    per distinct (x, category), not one per record.
+    """
+    folded = df.groupBy(F.col(subject).cast("string").alias("subject"), F.col(x).alias("_x"),
+                        F.col(category).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("subject").orderBy(F.col("_x").asc_nulls_last(), F.col("category").asc_nulls_last())
+    placed = folded.withColumn("_first", F.row_number().over(order) == 1)
+    none = F.lit(None).cast("string")
+    position = F.col("_x").cast("double").alias("x")
+    bar = F.struct(F.lit(BAR_LAYER).alias("layer"), "subject", position, none.alias("category"), bar_label(F.col("_x")).alias("label"),
+                   F.col("_first").cast("long").alias("_times"))
+    marker = F.struct(F.lit(layer or category).alias("layer"), "subject", position, "category", none.alias("label"),
+                      F.when(F.col("category").isNotNull(), F.col("_n")).otherwise(0).alias("_times"))
+    return repeat_rows(placed.select(F.inline(F.array(bar, marker))), "_times")
+
+
 def check_timeline(
     bars: DataFrame, markers: DataFrame | None, subject: str, x_type: str | None = None,
     marker_subject: str | None = None,

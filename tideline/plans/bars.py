@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.dates import day_diff
 from tideline.operators.merge import OrderItem, first_per_key, merge_subjects
+from tideline.operators.skew import join_one_per_key
 
 
 def record_bars(
@@ -56,3 +57,35 @@ def record_bars(
         *[F.col(a) for a in attrs],
         F.col("n_records"),
     )
+
+
+def record_conflicts(
+    records: DataFrame,
+    subjects: DataFrame,
+    key: tuple[str, str],
+    reference: str,
+    time: str,
+    inclusive: bool = True,
+    order: Sequence[OrderItem] | None = None,
+) -> DataFrame:
+    """G7 below the merge: subjects whose bar is not constant, with ``min_bar``, ``max_bar`` and ``n_values``.
+
+    Equal to ``bar_conflicts`` on the merged records.  The reference is constant
+    per subject, so the earliest and latest time give the smallest and largest
+    bar: both fold to one row per subject and task before the merge.  The exact
+    number of different bars needs the records again, but only those of
+    subjects whose two bars differ.
+    """
+    rkey, skey = key
+    spans = records.groupBy(rkey).agg(F.min(time).alias("_first_time"), F.max(time).alias("_last_time"))
+    subj = first_per_key(subjects.select(skey, reference), skey, order)
+    merged = merge_subjects(spans, subj, (rkey, skey), dedup=False, split_hot=False)
+    ends = merged.select(
+        F.col(rkey).alias("_subject"), F.col(reference).alias("_reference"),
+        day_diff(F.col(reference), F.col("_first_time"), inclusive=inclusive).alias("min_bar"),
+        day_diff(F.col(reference), F.col("_last_time"), inclusive=inclusive).alias("max_bar"))
+    differing = ends.filter(F.col("min_bar") != F.col("max_bar"))
+    own = join_one_per_key(records.select(rkey, time), differing, rkey, "_subject", "inner")
+    days = day_diff(F.col("_reference"), F.col(time), inclusive=inclusive).alias("_bar")
+    return own.select(rkey, "min_bar", "max_bar", days).groupBy(rkey, "min_bar", "max_bar").agg(
+        F.count_distinct("_bar").alias("n_values"))

@@ -36,10 +36,11 @@ from tideline.operators import merge as M
 from tideline.operators import profile as P
 from tideline.operators import textjobs as X
 from tideline.operators import timeline as G
-from tideline.plans.bars import record_bars
+from tideline.plans.bars import record_bars, record_conflicts
 from tideline.plans.steps import apply_steps, staged_transform
 from tideline.roles import Roles
 from tideline.sources import load_table, read_runs, write_report
+from tideline.sources.typed_csv import read_typed_csv
 from tideline.sources.staging import shared_dir, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,8 +221,7 @@ def q_marker_legend(spark, d):
 
 
 def q_layers(spark, d):
-    return G.assemble_layers(item_bars(spark, d), "l_orderkey", "bar_days",
-                             item_category_markers(spark, d))
+    return G.record_layers(merged_items(spark, d), "l_orderkey", "ship_day", "l_returnflag")
 
 
 def q_orphan_markers(spark, d):
@@ -232,7 +232,7 @@ def q_orphan_markers(spark, d):
 
 
 def q_bar_conflicts(spark, d):
-    return G.bar_conflicts(merged_items(spark, d), "l_orderkey", "ship_day")
+    return record_conflicts(_t(spark, d, "lineitem"), _t(spark, d, "orders"), ITEM_KEY, "o_orderdate", "l_shipdate")
 
 
 def q_distinct_values(spark, d):
@@ -397,10 +397,11 @@ def q_check_list(spark, d):
 
 def q_validation_report(spark, d):
     """V9: shapes, first rows and roles of the merged items after a filter."""
-    before = merged_items(spark, d)
-    after = before.filter("ship_day > 0").select("l_orderkey", "l_linenumber", "ship_day")
-    out = V.validation_report(after, Roles(subject="l_orderkey", x="ship_day", bar="ship_day"), original=before,
-                              order=["ship_day", "l_orderkey", "l_linenumber"])
+    def positive(items):
+        return items.filter("ship_day > 0").select("l_orderkey", "l_linenumber", "ship_day")
+
+    out = V.transform_report(merged_items(spark, d), positive, Roles(subject="l_orderkey", x="ship_day", bar="ship_day"),
+                             order=["ship_day", "l_orderkey", "l_linenumber"])
     return out.select(F.col("original_shape.rows").alias("rows_before"), F.col("processed_shape.rows").alias("rows_after"),
                       F.array_join("first_rows", ";").alias("first_rows"), F.array_join("columns", ",").alias("columns"))
 
@@ -537,6 +538,31 @@ def q_sketch_profile(spark, d):
     return found.withColumn("n_exact", n).select("column_name", "n_rows", "non_null", "n_exact", near.alias("within_bound"))
 
 
+def q_screen_names(spark, d):
+    """X1 with a long list: part names and the longer words of the benchmark items, in all documents."""
+    words = _t(spark, d, "benchmark").select(F.explode(F.split("text", r"[\x20\x09-\x0D.,]+")).alias("name"))
+    names = words.filter(F.length("name") >= 5).unionAll(_t(spark, d, "part").select(F.col("p_name").alias("name")))
+    return X.screen_term_table(_t(spark, d, "documents"), ["doc_id"], "text", names, "name")
+
+
+def q_typed_csv(spark, d):
+    """Orders written as CSV with padded keys, and with a field too many or a bad price in some rows, read back typed."""
+    o = _t(spark, d, "orders")
+    price = F.when(F.col("o_orderkey") % 40 == 3, F.lit("unknown")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    odd = F.when(F.col("o_orderkey") % 50 == 7, F.lit(",extra")).otherwise(F.lit(""))
+    rows = o.select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"), F.col("o_custkey").alias("customer"), price.alias("price"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.concat("o_orderstatus", odd).alias("status"))
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.csv"
+    rows.write.option("header", True).option("quote", "\u0001").csv(path)  # a comma inside a value then splits it for a reader
+    read = read_typed_csv(spark, path, types={"price": "double"})
+    kinds = ",".join(f"{c}:{t}" for c, t in read.types.items())
+    kept = read.df.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first_key"), F.round(F.sum("price"), 2).alias("price"),
+                                         F.max("ordered").cast("date").alias("last_day")).withColumn("kind", F.lit(kinds))
+    lost = read.rejects.groupBy(F.col("reason").alias("status")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.substring("raw_row", 1, 9)).alias("first_key"))
+    lost = lost.select("*", F.lit(None).cast("double").alias("price"), F.lit(None).cast("date").alias("last_day"), F.lit("rejected").alias("kind"))
+    return kept.unionByName(lost)
+
+
 def q_staged_transforms(spark, d):
     """One transform that fails on a single row, one that loses rows against its contract, and one that is committed."""
     items = _t(spark, d, "lineitem")
@@ -618,5 +644,7 @@ QUERIES: dict[str, Query] = {
     "merge_contract": q_merge_contract,
     "report_store": q_report_store,
     "sketch_profile": q_sketch_profile,
+    "typed_csv": q_typed_csv,
+    "screen_names": q_screen_names,
     "staged_transforms": q_staged_transforms,
 }

@@ -131,16 +131,16 @@ def _validate_sql() -> str:
         "CASE WHEN xt NOT IN ('datetime', 'numeric', 'date_string', 'numeric_string') THEN 'error' "
         "WHEN xt IN ('date_string', 'numeric_string') THEN 'warning' ELSE 'ok' END, xt, "
         f"CASE WHEN xt NOT IN ('datetime', 'numeric', 'date_string', 'numeric_string') "
-        f"THEN 'X-axis ''{x}'' must be numeric or date (linear values).' "
-        f"WHEN xt IN ('date_string', 'numeric_string') THEN 'X-axis ''{x}'' will be converted (' || xt || ').' END "
+        f"THEN '{x}: the time axis holds values that are neither numbers nor dates' "
+        f"WHEN xt IN ('date_string', 'numeric_string') THEN '{x}: the time axis is read from text as ' || xt END "
         "FROM q WHERE n_rows > 0 "
         "UNION ALL SELECT 'bar_numeric', bt IN ('datetime', 'numeric'), "
         "CASE WHEN bt NOT IN ('datetime', 'numeric') THEN 'error' WHEN bt = 'datetime' THEN 'warning' "
         f"ELSE 'ok' END, bt, CASE WHEN bt NOT IN ('datetime', 'numeric') THEN "
-        f"'HBAR ''{b}'' must be numeric for duration calculation.' WHEN bt = 'datetime' THEN "
-        f"'HBAR ''{b}'' is datetime - will convert to days.' END FROM q WHERE n_rows > 0 "
+        f"'{b}: bar lengths need numbers' WHEN bt = 'datetime' THEN "
+        f"'{b}: bar ends are times and become days' END FROM q WHERE n_rows > 0 "
         "UNION ALL SELECT 'graph_request_screen', false, 'error', 'subset by', "
-        "'Graph customization contains data elements: subset by' FROM q WHERE n_rows > 0 "
+        "'The plot request asks for data work: subset by' FROM q WHERE n_rows > 0 "
         "UNION ALL SELECT 'roles_in_data', false, 'error', 'No data', 'No data' FROM q WHERE n_rows = 0"
     )
 
@@ -353,7 +353,7 @@ ORACLE_SQL: dict[str, str] = {
         "AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = r.ref)"
     ),
     "conversation_log": (
-        "SELECT c.conv_id, c.turn, c.role, CASE WHEN length(c.text) > 100 "
+        "SELECT c.conv_id, c.turn, c.role, c.text, CASE WHEN length(c.text) > 100 "
         "THEN left(c.text, 100) || '...' ELSE c.text END AS snippet, g.n_messages, "
         "g.first_turn, g.last_turn FROM conversations c JOIN (SELECT conv_id, "
         "count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn "
@@ -499,4 +499,19 @@ ORACLE_SQL: dict[str, str] = {
            else "CAST(NULL AS BIGINT) AS n_exact, CAST(NULL AS BOOLEAN) AS within_bound") + " FROM events"
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
     ),
+    "screen_names": (
+        "WITH t AS (SELECT DISTINCT lower(name) AS term FROM (SELECT w AS name FROM "
+        "(SELECT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D.,]+')) AS w FROM benchmark) WHERE length(w) >= 5 "
+        "UNION ALL SELECT p_name FROM part) WHERE name <> ''), "
+        "h AS (SELECT doc_id, list(term ORDER BY term) AS issues FROM documents JOIN t ON contains(lower(text), term) GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(issues, []) AS issues, issues IS NULL AS valid FROM documents LEFT JOIN h USING (doc_id)"
+    ),
+    "typed_csv": (
+        "WITH o AS (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS key, o_orderkey % 50 = 7 AS odd, o_orderkey % 40 = 3 AS bad FROM orders) "
+        "SELECT o_orderstatus AS status, count(*) AS n_rows, min(key) AS first_key, round(sum(o_totalprice), 2) AS price, "
+        "CAST(max(o_orderdate) AS DATE) AS last_day, 'key:string,customer:bigint,price:double,ordered:timestamp,status:string' AS kind "
+        "FROM o WHERE NOT odd AND NOT bad GROUP BY o_orderstatus "
+        "UNION ALL SELECT 'fields', count(*), min(key), NULL, NULL, 'rejected' FROM o WHERE odd HAVING count(*) > 0 "
+        "UNION ALL SELECT 'double', count(*), min(key), NULL, NULL, 'rejected' FROM o WHERE bad AND NOT odd HAVING count(*) > 0"
+    ),
 }

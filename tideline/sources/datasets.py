@@ -84,8 +84,9 @@ def read_table(
     filter on ``nanvl(x, NULL)`` is not pushed to the scan); call
     :func:`normalize_nan` explicitly when such data does hold NaN.
 
-    Declare ``schema`` for CSV in production: inference costs an extra pass
-    and loses leading zeros in identifiers.
+    Declare ``schema`` for CSV in production, or read it through
+    :func:`tideline.sources.typed_csv.read_typed_csv`: Spark's inference loses
+    leading zeros in identifiers.
     """
     kind = _format_of(path, fmt)
     reader = spark.read
