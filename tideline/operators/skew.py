@@ -73,17 +73,23 @@ def _hashes(many: DataFrame, many_key: str, one: DataFrame, one_key: str) -> tup
     return F.xxhash64(keys[0]), F.xxhash64(keys[1])
 
 
-#: Copies of one row that one step writes.
-REPEAT_CHUNK = 4096
+#: Numbers of one row that one step writes.
+RANGE_CHUNK = 4096
 
 
-def repeat_rows(df: DataFrame, times: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
-    """Each row as often as its column ``times`` says (not at all for 0 or NULL); ``times`` is dropped.
+def explode_range(df: DataFrame, first: Column, last: Column, name: str, chunk: int = RANGE_CHUNK) -> DataFrame:
+    """Each row once for every whole number from ``first`` to ``last``, as column ``name``; none where ``last < first``.
 
-    A row with very many copies is first cut into chunks, which are dealt out by
-    size, so no array holds all of its copies and no task writes them alone.
+    A long range is first cut into chunks, which are dealt out by size, so no
+    array holds all of it and no task writes it alone.
     """
-    last = F.floor((F.col(times) - 1) / chunk).cast("long")
-    chunks = df.filter(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).hint("rebalance")
-    own = F.least(F.lit(chunk).cast("long"), F.col(times).cast("long") - F.col("_chunk") * chunk)
-    return chunks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).drop("_chunk", "_copy", times)
+    ends = df.withColumns({"_first": first.cast("long"), "_last": last.cast("long")}).filter(F.col("_last") >= F.col("_first"))
+    chunks = F.floor((F.col("_last") - F.col("_first")) / chunk).cast("long")
+    cut = ends.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks))).hint("rebalance")
+    start = F.col("_first") + F.col("_chunk") * chunk
+    return cut.withColumn(name, F.explode(F.sequence(start, F.least("_last", start + (chunk - 1))))).drop("_first", "_last", "_chunk")
+
+
+def repeat_rows(df: DataFrame, times: str, chunk: int = RANGE_CHUNK) -> DataFrame:
+    """Each row as often as its column ``times`` says (not at all for 0 or NULL); ``times`` is dropped."""
+    return explode_range(df, F.lit(1), F.col(times), "_copy", chunk).drop("_copy", times)
