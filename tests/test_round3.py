@@ -20,7 +20,7 @@ from tideline.roles import Roles
 from tideline.sources import append_run, read_runs, write_report
 from tideline.sources.datasets import DatasetError
 from tideline.sources.staging import shared_dir, stage_table
-from tideline.sources.typed_csv import read_typed_csv
+from tideline.sources.typed_csv import load_typed_dataset, read_typed_csv
 
 
 def staged_folders(spark):
@@ -363,6 +363,15 @@ def test_typed_csv_rows_are_all_accounted_for(spark, tmp_path):
     assert t.types["n"] == "bigint" and t.df.filter("n is null").count() == 100
 
 
+def test_named_datasets_are_read_typed(spark, tmp_path):
+    (tmp_path / "ADSL.csv").write_text("USUBJID,AGE,TRTSDT\n001,64,2024-01-31\n002,,2024-02-01\n")
+    t = load_typed_dataset(spark, "ADSL", str(tmp_path))
+    assert t.types == {"USUBJID": "string", "AGE": "bigint", "TRTSDT": "timestamp"} and rows(t.df, "USUBJID", "AGE") == [("001", 64), ("002", None)]
+    for name in ("ADRS", "NOPE"):
+        with pytest.raises(DatasetError):
+            load_typed_dataset(spark, name, str(tmp_path))
+
+
 def test_typed_csv_without_rows_and_unknown_columns(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("a,b\n")

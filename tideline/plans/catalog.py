@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ from tideline.operators import timeline as G
 from tideline.plans.bars import record_bars, record_conflicts
 from tideline.plans.steps import apply_steps, staged_transform
 from tideline.roles import Roles
-from tideline.sources import load_table, read_runs, write_report
-from tideline.sources.typed_csv import read_typed_csv
+from tideline.sources import DatasetSpec, load_table, read_runs, write_report
 from tideline.sources.staging import shared_dir, stage_table
+from tideline.sources.typed_csv import load_typed_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -552,9 +553,9 @@ def q_typed_csv(spark, d):
     odd = F.when(F.col("o_orderkey") % 50 == 7, F.lit(",extra")).otherwise(F.lit(""))
     rows = o.select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"), F.col("o_custkey").alias("customer"), price.alias("price"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), F.concat("o_orderstatus", odd).alias("status"))
-    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.csv"
-    rows.write.option("header", True).option("quote", "\u0001").csv(path)  # a comma inside a value then splits it for a reader
-    read = read_typed_csv(spark, path, types={"price": "double"})
+    base, named = f"{shared_dir(spark)}/datasets-{uuid.uuid4().hex}", {"ORDERS": DatasetSpec("orders.csv", "Orders as text")}
+    rows.write.option("header", True).option("quote", "\u0001").csv(f"{base}/orders.csv")  # a comma inside a value then splits it for a reader
+    read = load_typed_dataset(spark, "ORDERS", base, datasets=named, types={"price": "double"})
     kinds = ",".join(f"{c}:{t}" for c, t in read.types.items())
     kept = read.df.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first_key"), F.round(F.sum("price"), 2).alias("price"),
                                          F.max("ordered").cast("date").alias("last_day")).withColumn("kind", F.lit(kinds))
@@ -564,13 +565,14 @@ def q_typed_csv(spark, d):
 
 
 def q_staged_transforms(spark, d):
-    """One transform that fails on a single row, one that loses rows against its contract, and one that is committed."""
+    """Transforms that fail on a single row, lose rows against their contract or drop a role column, and one that is committed."""
     items = _t(spark, d, "lineitem")
     place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     text = F.when(place == items.agg(F.max(place)).scalar(), F.lit("unknown")).otherwise(F.col("l_quantity").cast("string"))
     transforms = {
         "cast": lambda df: df.withColumn("l_quantity", text.cast("double")),
         "filter": lambda df: df.filter("l_returnflag <> 'N'"),
+        "drop": lambda df: df.drop("l_shipdate"),
         "double": lambda df: df.withColumn("l_quantity", F.col("l_quantity") * 2),
     }
     parts = []
@@ -578,7 +580,7 @@ def q_staged_transforms(spark, d):
         result = staged_transform(items, fn, Roles(subject="l_orderkey", x="l_shipdate", bar="l_quantity"), rows="same", name=name)
         parts.append(result.df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
                      .withColumns({"transform": F.lit(name), "status": F.lit(result.status)}))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES: dict[str, Query] = {

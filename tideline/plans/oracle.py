@@ -486,7 +486,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "staged_transforms": (
         "SELECT transform, status, l_returnflag, count(*) AS n_rows, sum(l_quantity) * times AS quantity FROM lineitem, "
-        "(VALUES ('cast', 'run_error', 1), ('filter', 'contract', 1), ('double', 'committed', 2)) t(transform, status, times) "
+        "(VALUES ('cast', 'run_error', 1), ('filter', 'contract', 1), ('drop', 'missing_columns', 1), ('double', 'committed', 2)) t(transform, status, times) "
         "GROUP BY transform, status, l_returnflag, times"
     ),
     "report_store": (

@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.dates import to_timestamp_lenient
 from tideline.functions.numbers import to_number
-from tideline.sources.datasets import DatasetError
+from tideline.sources.datasets import CLINICAL_DATASETS, DatasetError, DatasetSpec
 from tideline.sources.staging import StagedTable, stage_table
 
 RAW = "_raw_row"
@@ -95,6 +96,20 @@ def read_typed_csv(
     return TypedTable(df, rejects, kinds, staged)
 
 
+def load_typed_dataset(
+    spark: SparkSession, name: str, base: str, datasets: Mapping[str, DatasetSpec] = CLINICAL_DATASETS, **how,
+) -> TypedTable:
+    """A named dataset from ``base`` through :func:`read_typed_csv`; unknown names and unreadable files raise."""
+    spec = datasets.get(name)
+    if spec is None:
+        raise DatasetError(f"Unknown dataset '{name}'. Available: {list(datasets)}")
+    path = f"{base.rstrip('/')}/{spec.file}"
+    try:
+        return read_typed_csv(spark, path, **how)
+    except AnalysisException as err:
+        raise DatasetError(f"Cannot read dataset '{name}' at {path}: {err}") from err
+
+
 def _typed(c: Column, kind: str) -> Column:
     """A text column as ``kind``; NULL where it does not fit."""
     if kind == "string":
