@@ -1,4 +1,4 @@
-"""Summarise the final (post-AQE) physical plan of every registered query.
+"""Summarise the final (post-AQE) physical plan of every library query.
 
 Usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 
@@ -37,17 +37,17 @@ def summarise(plan: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from tideline.plans.catalog import QUERIES
 
     spark = build_session(master="local[8]", shuffle_partitions=8)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    print(f"# Final physical plans of the registered queries ({os.path.basename(sf_dir)})\n")
+    print(f"# Final physical plans of the library's registered queries ({os.path.basename(sf_dir)})\n")
     print("Generated by `scripts/plan_report.py` after running each query (AQE final plans, "
           "default broadcast threshold, local[8]). Scalar subqueries are counted with their "
-          "parent. `lane_order`'s range exchange runs inside its checkpoint job and is not listed.\n")
+          "parent. Jobs that a query runs while it is built (staged tables, reports) are not listed.\n")
     print("| query | shuffle exchanges | broadcasts | joins | aggregates | scans (columns read) |")
     print("|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())

@@ -40,7 +40,7 @@ from tideline.operators import timeline as G
 from tideline.plans.bars import record_bars, record_conflicts
 from tideline.plans.steps import apply_steps, staged_transform
 from tideline.roles import Roles
-from tideline.sources import DatasetSpec, load_table, read_runs, write_report
+from tideline.sources import DatasetSpec, load_table, read_runs, shape, write_report
 from tideline.sources.staging import shared_dir, stage_table
 from tideline.sources.typed_csv import load_typed_dataset
 
@@ -387,6 +387,13 @@ def q_sort_by_bar(spark, d):
     return G.sort_by_bar(item_bars(spark, d), "bar_days", "l_orderkey")
 
 
+def q_sorted_places(spark, d):
+    """L1 with its order: each bar's place in the sorted output, numbered from what the sort wrote."""
+    ordered = G.sort_by_bar(item_bars(spark, d), "bar_days", "l_orderkey")
+    written = stage_table(ordered.select("l_orderkey", "bar_days", F.monotonically_increasing_id().alias("at")), "sorted").df
+    return G.lane_order(written, "l_orderkey", "at", name="place").drop("at")
+
+
 def q_column_min(spark, d):
     return P.column_min(_t(spark, d, "orders"), "o_orderdate")
 
@@ -516,11 +523,11 @@ def q_merge_contract(spark, d):
 
 
 def q_report_store(spark, d):
-    """A report per merge, one of them written twice under its id, read back from the store."""
+    """The shape of two tables, one report written twice under its id, read back from the store."""
     path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
     runs = {"items": _t(spark, d, "lineitem"), "orders": _t(spark, d, "orders")}
     for run in ("items", "orders", "items"):
-        report = runs[run].agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(runs[run].columns)).cast("long"))
+        report = spark.createDataFrame([shape(runs[run])], "n_rows long, n_columns long")
         write_report(report, path, run_id=run)
     return read_runs(spark, path, report.schema, "json")
 
@@ -646,6 +653,7 @@ QUERIES: dict[str, Query] = {
     "merge_contract": q_merge_contract,
     "report_store": q_report_store,
     "sketch_profile": q_sketch_profile,
+    "sorted_places": q_sorted_places,
     "typed_csv": q_typed_csv,
     "screen_names": q_screen_names,
     "staged_transforms": q_staged_transforms,

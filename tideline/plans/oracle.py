@@ -514,4 +514,8 @@ ORACLE_SQL: dict[str, str] = {
         "UNION ALL SELECT 'fields', count(*), min(key), NULL, NULL, 'rejected' FROM o WHERE odd HAVING count(*) > 0 "
         "UNION ALL SELECT 'double', count(*), min(key), NULL, NULL, 'rejected' FROM o WHERE bad AND NOT odd HAVING count(*) > 0"
     ),
+    "sorted_places": (
+        "SELECT l_orderkey, bar_days, row_number() OVER (ORDER BY bar_days NULLS LAST, l_orderkey) AS place "
+        f"FROM {ITEM_BARS}"
+    ),
 }
