@@ -8,8 +8,11 @@ is) keeps diverse edges.  Each query runs a beam search in every shard; the
 shards' best are re-scored exactly, in double precision, on the original
 vectors, and merged.
 
-Equal vectors are one graph node that carries its smallest ids, as many as a
-result can hold, so a vector that a third of the rows share stays small.
+Cosines depend on directions only.  Vectors whose unit vectors agree to about
+2^-20 in every component (equal and scaled copies) are one graph node, which
+carries its smallest ids, as many as a result can hold, with their own vectors:
+copies tie, and ties go to smaller ids.  So a direction that a third of the rows
+share stays small.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +35,7 @@ BUILD_BEAM = 48
 SEARCH_BEAM = 64
 ALPHA = 1.2
 BATCH = 128
+STEPS = 1 << 20  # of a unit vector's component: directions closer than that are one node
 
 
 def usable(vector: str = "embedding"):
@@ -150,12 +154,21 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((unit(a) * unit(b)).sum(axis=1), -1.0, 1.0)
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector: ``node`` (smallest id), ``ids`` (its k + 1 smallest), ``v``."""
-    w = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(
-        F.element_at("ids", 1).alias("node"), "ids", "v")
+def direction(v: Column) -> Column:
+    """Unit vector in whole steps of 1 / STEPS; safe against overflow and underflow of squares."""
+    most = F.array_max(F.transform(v, F.abs))
+    scaled = F.transform(v, lambda x: x / most)
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(scaled, lambda x: F.round(x / length * STEPS).cast("int"))
+
+
+def distinct_directions(rows: DataFrame, k: int) -> DataFrame:
+    """One row per direction: ``node`` (smallest id), ``ids`` (its k + 1 smallest), ``vs`` (their vectors) and ``v`` (the node's)."""
+    w = Window.partitionBy("toward").orderBy("vec_id")
+    few = rows.withColumn("toward", direction(F.col("v"))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    own = few.groupBy("toward").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("own"))
+    return own.select(F.col("own")[0]["vec_id"].alias("node"), F.col("own.vec_id").alias("ids"), F.col("own.v").alias("vs"),
+                      F.col("own")[0]["v"].alias("v"))
 
 
 def _build(shard: pd.DataFrame) -> pd.DataFrame:
@@ -168,11 +181,11 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Graph of every shard, one row per distinct vector: shard, node, ids, v, at, links."""
-    nodes = save(distinct_vectors(rows, k), "vectors")
+    """Graph of every shard, one row per direction: shard, node, ids, vs, v, at, links."""
+    nodes = save(distinct_directions(rows, k), "vectors")
     shards = max(1, -(-nodes.count() // shard_rows))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
-    schema = "node long, ids array<long>, v array<double>, shard int, at int, links array<int>"
+    schema = "node long, ids array<long>, vs array<array<double>>, v array<double>, shard int, at int, links array<int>"
     return save(dealt.groupBy("shard").applyInPandas(_build, schema), "graph")
 
 
@@ -220,8 +233,11 @@ def search_shard(graph: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) ->
             hits, _ = g.beam(unit(q[i:i + BATCH]).astype(np.float32), width)
             row, col = np.nonzero(hits >= 0)
             node = hits[row, col]
-            part = pd.DataFrame({"query_id": ids[i:i + BATCH][row], "score": exact_cosine(q[i:i + BATCH][row], v[node]),
-                                 "vec_id": [graph["ids"].iat[j] for j in node]}).explode("vec_id")
+            members = [len(graph["ids"].iat[j]) for j in node]
+            row = np.repeat(row, members)
+            own = np.array([x for j in node for x in graph["vs"].iat[j]], dtype=np.float64)
+            part = pd.DataFrame({"query_id": ids[i:i + BATCH][row], "score": exact_cosine(q[i:i + BATCH][row], own),
+                                 "vec_id": [x for j in node for x in graph["ids"].iat[j]]})
             part = part[part["vec_id"] != part["query_id"]]
             part = part.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(part.groupby("query_id", sort=False).head(k))
