@@ -24,7 +24,6 @@ WIDTHS = (2, 3, 4, 5)  # filter widths in bytes
 FILTERS = 8           # filters of each width
 EMBED = 8
 PER_LANG = 1200       # bound of the training sample: rows of each language
-MAX_LANGS = 500
 CHUNK = 256           # windows per matrix product
 UNKNOWN = "und"
 
@@ -135,7 +134,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> ConvNet:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
     if not counts:
         return train([], [])
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * per_lang / r["count"]))])
