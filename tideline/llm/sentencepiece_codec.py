@@ -179,10 +179,10 @@ class Normalizer:
 class Codec:
     """One loaded model: ids, source spans and decoding of whole texts."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalizer = Normalizer.of_model(self.library.serialized_model_proto())
         n = self.library.get_piece_size()
         self.size = np.array([1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).encode())
@@ -212,21 +212,31 @@ class Codec:
         return self.library.decode(ids)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
-def codec(model_file: str) -> Codec:
-    if model_file not in _codecs:
-        _codecs[model_file] = Codec(model_file)
-    return _codecs[model_file]
+def codec(model: bytes) -> Codec:
+    """The codec of a model's bytes, loaded once a process."""
+    name = hashlib.sha256(model).digest()
+    if name not in _codecs:
+        _codecs[name] = Codec(model)
+    return _codecs[name]
+
+
+def model_bytes(model_file: str) -> bytes:
+    """The model file, read on the driver: it travels with the tasks, so executors need no such file."""
+    with open(model_file, "rb") as f:
+        return f.read()
 
 
 def encoded(text: Column, model_file: str) -> Column:
     """Struct of ``ids`` with the source byte spans ``begins`` and ``ends`` (null: empty arrays)."""
 
+    model = model_bytes(model_file)
+
     @F.pandas_udf("ids array<int>, begins array<int>, ends array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model_file)
+        c = codec(model)
         for t in texts:
             ids = [c.encode(x) for x in t]
             spans = [c.spans(x, i) for x, i in zip(t, ids, strict=True)]
@@ -240,9 +250,11 @@ def encoded(text: Column, model_file: str) -> Column:
 def decoded(ids: Column, model_file: str) -> Column:
     """Text of an id array (null: empty text)."""
 
+    model = model_bytes(model_file)
+
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(model_file)
+        c = codec(model)
         for p in parts:
             yield pd.Series([c.decode([int(i) for i in ids]) if ids is not None else "" for ids in p], dtype=object)
 
@@ -259,15 +271,20 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
 def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """Encode, check the spans and decode in one pass; only digests leave the Python worker.
 
+    A null or empty text has no tokens.  Null and repeated ids keep their rows,
+    repeated rows give equal results, other columns are ignored, and an empty
+    table gives an empty result.
+
     ``source_bytes`` is the number of source bytes that the projected spans
     cover, equal to the text's size for a model that drops nothing.
     """
     text_batches(docs.sparkSession, 200)
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long"
+    model = model_bytes(model_file)
 
     @F.pandas_udf(schema)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model_file)
+        c = codec(model)
         for t in texts:
             out = []
             for x in t:
