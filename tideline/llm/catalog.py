@@ -80,7 +80,7 @@ walk(k, j) as (
 bounds as (select h.len as bucket from walk join h on h.j = walk.j),
 placed as (select p.*, (select min(bucket) from bounds where bucket >= p.n_words) as bucket from pieces p),
 per as (select bucket, greatest(1, (count(*) + {packing.SLICE_ROWS - 1}) // {packing.SLICE_ROWS}) as slices from placed group by bucket),
-sliced as (select placed.*, cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) % slices as bigint) as slice
+sliced as (select placed.*, cast(cast('0x' || substr(md5(concat_ws('/', coalesce(cast(doc_id as varchar), ''), piece, n_words)), 1, 8) as bigint) % slices as bigint) as slice
            from placed join per using (bucket))
 select doc_id, piece, n_words, bucket, slice,
        (row_number() over (partition by bucket, slice order by doc_id, piece, n_words) - 1) // greatest(1, {packing.BUDGET} // bucket) as batch,

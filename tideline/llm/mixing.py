@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import save, table
+from tideline.llm.common import save, table, word_count
 from tideline.operators.skew import join_one_per_key
 
 WEIGHTS = (3, 1, 2)
@@ -40,21 +40,9 @@ SLICE_ROWS = 1 << 15
 CHUNK = 1 << 12      # equal rows written out by one step
 UNIT = 1 << 32
 CLASSES = 64         # size classes in each doubling of the size
-_RARE_SPACES = ("\t", "\v", "\f", "\r")
 _KEY = ("source", "doc_id", "size", "digest")
 
 
-def word_count(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a whole text; null: 0."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    odd = F.lit(False)
-    for c in _RARE_SPACES:
-        odd = odd | F.contains(text, F.lit(c))
-    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
-    parts = F.when(odd, F.split(text, r"[\x20\x09-\x0D]+", -1)).otherwise(plain)
-    return F.size(F.array_remove(parts, "")).cast("long")
-
-
 def size_class(size: Column) -> Column:
     """Grows with the size: small sizes alone, then CLASSES to a doubling."""
     bits = F.length(F.bin(size))

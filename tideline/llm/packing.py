@@ -6,21 +6,22 @@ the corpus) chooses the bucket boundaries that minimise padding.  Inside each
 bucket, token-budget batches hold as many pieces as fit when all are padded to
 the bucket's boundary.
 
-Batches are formed inside slices of a bucket.  A slice is a hash range of
-document ids holding about ``slice_rows`` pieces; every slice ends with at most
-one batch that is not full.  Equal rows (id, piece and length) are ranked as one
-counted row.  So a null or repeated id, all of whose pieces share a slice, gives
-the ranking at most ``max_len`` rows a piece number, however many pieces it has.
+Batches are formed inside slices of a bucket.  A slice is a hash range of pieces
+(id, piece and length) holding about ``slice_rows`` pieces; every slice ends with
+at most one batch that is not full.  Equal pieces are one counted row until their
+batches are known, and are then dealt out in chunks.  So no task ranks a whole
+bucket or writes all pieces of a null or repeated id.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.common import table
+from tideline.llm.common import save, table, word_count
+from tideline.operators.skew import explode_range, repeat_rows
 
 MAX_LEN = 2048
 BUCKETS = 16
@@ -28,12 +29,6 @@ BUDGET = 16384
 SLICE_ROWS = 8192
 
 
-def word_count(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a whole text; null: 0."""
-    squeezed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^\x20\x09-\x0D]+", "w")
-    return F.length(F.regexp_replace(squeezed, r"[\x20\x09-\x0D]+", "")).cast("long")
-
-
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Boundaries (always existing lengths) of at most ``buckets`` buckets with least padding.
 
@@ -86,7 +81,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
     often as they occur (equal rows are interchangeable).  An empty table gives
     an empty result.
     """
-    pieces = pieces_of(docs, max_len)
+    pieces = save(pieces_of(docs, max_len), "pieces")  # texts are read once
     histogram = pieces.groupBy("n_words").count().orderBy("n_words").collect()  # at most max_len rows
     lengths, counts = [r["n_words"] for r in histogram], [r["count"] for r in histogram]
     bounds = best_boundaries(lengths, counts, buckets)
@@ -100,18 +95,21 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("n_words") <= b, F.lit(b)).otherwise(bucket)
         slices = F.when(F.col("n_words") <= b, F.lit(max(1, -(-per[b] // slice_rows)))).otherwise(slices)
-    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    ident = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "n_words")
+    spread = F.conv(F.substring(F.md5(ident), 1, 8), 16, 10).cast("long")
     rows = pieces.withColumn("bucket", bucket.cast("long")).withColumn("slice", (spread % slices).cast("long"))
     # Equal rows are counted first, so a repeated id gives the window its distinct rows only.
     kinds = rows.groupBy("bucket", "slice", "doc_id", "piece", "n_words").agg(F.count("*").alias("times"))
     w = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "n_words")
     last = F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = kinds.withColumn("last", last)
-    placed = placed.withColumn("place", F.explode(F.sequence(F.col("last") - F.col("times"), F.col("last") - 1)))
-    fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
-    batch = F.floor(F.col("place") / fits).cast("long")
-    return placed.select("doc_id", "piece", "n_words", "bucket", "slice", batch.alias("batch"),
-                         (F.col("bucket") - F.col("n_words")).alias("padding"))
+    placed = kinds.withColumn("last", last).withColumn("fits", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))))
+    # Equal pieces fill the batches from that of their first place to that of their last.
+    first = F.col("last") - F.col("times")
+    filled = explode_range(placed, F.floor(first / F.col("fits")), F.floor((F.col("last") - 1) / F.col("fits")), "batch")
+    end = F.least(F.col("last"), (F.col("batch") + 1) * F.col("fits"))
+    filled = filled.withColumn("copies", end - F.greatest(first, F.col("batch") * F.col("fits")))
+    return repeat_rows(filled.select("doc_id", "piece", "n_words", "bucket", "slice", "batch",
+                                     (F.col("bucket") - F.col("n_words")).alias("padding"), "copies"), "copies")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
