@@ -94,9 +94,7 @@ def brute_lines(rows):
             if any(5 * len(w & v) >= 4 * len(w | v) for _, _, v in sets[:n])}
 
 
-@pytest.mark.parametrize("big", [1000, 1])
-def test_line_dedup_matches_brute_force(spark, monkeypatch, big):
-    monkeypatch.setattr(line_dedup, "BIG", big)
+def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(60)]
     base = [[rng.choice(vocab) for _ in range(rng.randint(1, 200 if i < 2 else 14))] for i in range(25)]

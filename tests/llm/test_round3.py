@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import lexical_search, mixing, whitening
+from tideline.llm import language_id, lexical_search, line_dedup, mixing, packing, simhash_dedup, vector_search, whitening
+from tideline.llm.common import is_held_out
 
 VECTORS = "vec_id long, embedding array<float>, label int, n long, whitened string, at string"
 DOCS = "doc_id long, text string, source string, n long, size string, copies string, digest string, term string, place int"
@@ -249,3 +250,117 @@ def test_term_counts_are_handed_on_in_parts(spark, monkeypatch):
     got = index.frequencies(spark.createDataFrame([(b"w3",), (b"w399",), (b"no",)], "term binary")).collect()
     want = Counter(t for _, text, _ in corpus() for t in set(lexical_search.terms_of((text or "").encode())))
     assert {bytes(r["term"]): r["df"] for r in got} == {t: want[t] for t in (b"w3", b"w399")}
+
+
+# operators 2 and 10 -------------------------------------------------------------------------------
+
+def plain_removed(docs):
+    """Lines equal or similar (0.8) to an earlier line."""
+    lines = [(i, n, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))) for i, t, _ in docs for n, line in enumerate((t or "").split("\n"))]
+    lines.sort(key=lambda x: x[:2])
+    out: dict = {}
+    for at, (i, n, words) in enumerate(lines):
+        if words and any(y and 5 * len(words & y) >= 4 * len(words | y) for _, _, y in lines[:at]):
+            out.setdefault(i, []).append(n)
+    return out
+
+
+def line_groups():
+    """Groups of similar lines whose members are not all alike, and one word in every line."""
+    rng = random.Random(12)
+    docs = []
+    bases = [[f"b{g}x{j}" for j in range(rng.randint(4, 90))] for g in range(6)]
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            own = list(rng.choice(bases))
+            for _ in range(rng.randint(0, max(1, len(own) // 7))):
+                own[rng.randrange(len(own))] = f"v{rng.randint(0, 400)}"
+            lines.append(" ".join(["everywhere", *own]))
+        docs.append((i, "\n".join(lines), "s"))
+    return docs
+
+
+def test_line_dedup_against_all_pairs(spark):
+    docs = line_groups()
+    got = line_dedup.line_decisions(documents(spark, docs)).collect()
+    want = plain_removed(docs)
+    assert {r["doc_id"]: [int(x) for x in r["removed"].split(",")] for r in got if r["n_removed"]} == want
+    assert 50 < sum(map(len, want.values())) and any(r["n_removed"] < r["n_lines"] for r in got)
+
+
+def test_cutting_lines_is_linear_in_a_text(spark):
+    text = "\n".join(["the same line of text here"] * 60000 + ["another line", "", "the same line of text here"])
+    got = line_dedup.dedup_lines(documents(spark, [(1, text, "s"), (2, None, "s"), (3, "a\n\nb", "s"), (4, "a", "s")])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: "the same line of text here\nanother line\n", 2: None, 3: "a\n\nb", 4: ""}
+
+
+def test_scaled_copies_are_one_direction(spark):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(2000, 16)).astype(np.float32).astype(np.float64)
+    v[100:500] = v[100] * 2.0 ** rng.integers(-8, 9, 400)[:, None]
+    rows = [(i, x.tolist(), "n") for i, x in enumerate(v)]
+    df = vector_search.vector_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string"))
+    index = vector_search.build_index(df, 5, shard_rows=512)
+    assert index.count() == 1601
+    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    got: dict = {}
+    for r in vector_search.search(index, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    u, hit = v / np.linalg.norm(v, axis=1, keepdims=True), 0
+    for q, found in got.items():
+        s = np.round(u @ u[q], 9)
+        hit += len(set(found) & set(sorted((i for i in range(2000) if i != q), key=lambda i: (-s[i], i))[:5]))
+    assert len(got) == 40 and hit >= 0.95 * 200
+    assert sorted(got[150]) == [100, 101, 102, 103, 104]
+
+
+# operator 4 ---------------------------------------------------------------------------------------
+
+def test_packing_of_one_key_with_very_many_equal_pieces(spark):
+    df = spark.range(300000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("three equal words").alias("text"), F.col("id").alias("piece"))
+    df = df.unionAll(spark.range(50).select("id", F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))), "id"))
+    out = packing.pack(df, buckets=2, budget=30, slice_rows=100)
+    per = out.groupBy("bucket", "slice", "batch").count().agg(F.max(F.col("count") * F.col("bucket")), F.sum("count")).first()
+    assert per[0] <= 30 and per[1] == 300050
+    whole = out.filter("n_words = 3").groupBy("slice").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("b")).collect()
+    assert sum(r["n"] for r in whole) >= 300000
+
+
+# pieces of operators 3, 5, 6 and 9 against plain versions -----------------------------------------
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from tideline.llm.components import connected_components
+
+    links = [(1, i) for i in range(2, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(-5, 1000), (7, 7)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(2, 400), 1), **dict.fromkeys(range(1000, 1061), -5)}
+
+
+def test_fingerprints_against_a_plain_count(spark):
+    import xxhash
+
+    texts = [None, "", "one", "one two", "A b C d e", "a b c d e a b c d e", "é Ü ß É x", "w " * 70000 + "end", " \t x\ny\r z "]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.simhash_components(df, simhash_dedup.SHINGLE, simhash_dedup.RADIUS).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        shingles = [" ".join(words[j:j + 3]) for j in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        counts = Counter(xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles)
+        bits = sum(1 << b for b in range(64) if 2 * sum(c for h, c in counts.items() if h >> b & 1) > len(shingles))
+        assert got[i] == f"{bits:016x}", i
+
+
+def test_operators_take_empty_tables(spark):
+    none = documents(spark, []).withColumn("lang", F.lit("en"))
+    assert language_id.predict(none, language_id.learn(none)).collect() == []
+    assert simhash_dedup.simhash_components(none, simhash_dedup.SHINGLE, simhash_dedup.RADIUS).collect() == []
+    assert packing.pack(none).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i:04d}") for i in range(520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r["lang"] for r in df.filter(~is_held_out(F.col("doc_id"))).collect()}
+    net = language_id.learn(df)
+    assert set(net.langs) == held and len(held) > 400

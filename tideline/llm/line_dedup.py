@@ -17,14 +17,18 @@ DataFrame functions are used:
 * what passes is verified on the words themselves, for each line first with its
   likeliest partner and then, if that fails, with all others.
 
-Words that very many sets have in their prefix (over ``BIG``) are first joined
-with the first set at that word only, as one match is enough for a line to go.
-Only lines still standing then meet all earlier sets there.
+One match is enough for a line to go.  So each set is first joined only with the
+earliest set at each of its prefix words (in ``LEAD_PARTS`` parts of the words,
+so that less is shuffled at once), and what passes is verified; only lines that
+still stand then meet all earlier sets at their prefix words.  A group of similar lines thus gives pairs with its
+first line, not pairs of all with all.  The first step only saves work: the
+second is complete for all it left standing.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +37,8 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
-SMALL = 64           # words of a set up to which 64 parity bits tell enough
-BIG = 1000           # sets at one prefix word that are joined all with all
+LEAD_PARTS = 3       # parts of the words in the first step
+SMALL = 32           # words of a set up to which 64 parity bits tell enough
 _NO_ID = -(1 << 63)
 _ORDER = ["doc", "version", "line"]
 _RARE_SPACES = ("\t", "\v", "\f", "\r")
@@ -149,8 +153,8 @@ def _least_own(n: Column) -> Column:
 _X, _Y = [f"x_{c}" for c in _ORDER], [f"y_{c}" for c in _ORDER]
 
 
-def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of a later line x and an earlier line y that meet at a prefix word and pass the filters.
+def _meet(x: DataFrame, y: DataFrame, which: Column) -> DataFrame:
+    """Pairs of a later line x (of those that ``which`` names) and an earlier line y that meet at a prefix word and pass the filters.
 
     With s words in both sets together, similarity NUM / DEN means at least
     NUM s / (NUM + DEN) shared and at most (DEN - NUM) s / (NUM + DEN) differing
@@ -158,21 +162,24 @@ def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
     """
     nx, ny = F.col("x.n"), F.col("y.n")
     most = (nx + ny) * (DEN - NUM)
-    folded = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUM + DEN) <= most  # cheap and nearly always false
+    folded = which & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUM + DEN) <= most)  # cheap and nearly always false
     near = folded & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & _before("y", "x") & (_differ() * (NUM + DEN) <= most)
     both = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & near)
     return both.groupBy(*[F.col(f"x.{c}").alias(f"x_{c}") for c in _ORDER], *[F.col(f"y.{c}").alias(f"y_{c}") for c in _ORDER]).agg(
-        F.count("*").alias("met"), F.max(nx).alias("nx"), F.max(ny).alias("ny"), F.max(_differ()).alias("differ"))
+        F.max(_differ()).alias("differ"))
 
 
-def _enough_met(pairs: DataFrame) -> DataFrame:
-    """Positional filter: shared prefix words and what lies behind the prefixes must reach the overlap.
+def _early_enough() -> Column:
+    """Positional filter: with a common word at places i and j (from 0), enough words can be shared.
 
-    Words shared beyond the prefixes lie behind that of the set whose prefix
-    ends first.
+    The first word that similar sets share has all others they share behind it,
+    in both sets.  At any common word, what they share before it is within the
+    shorter part before, and what behind within the shorter part behind.
     """
-    behind = F.greatest(_least_own(F.col("nx")), _least_own(F.col("ny"))) - 1
-    return pairs.where((F.col("met") + behind) * (NUM + DEN) >= (F.col("nx") + F.col("ny")) * NUM)
+    i, j, nx, ny = F.col("x.at"), F.col("y.at"), F.col("x.n"), F.col("y.n")
+    enough = (nx + ny) * NUM
+    behind = F.least(nx - i, ny - j)  # the word itself included
+    return (behind * (NUM + DEN) >= enough) & ((F.least(i, j) + behind) * (NUM + DEN) >= enough)
 
 
 def _places(pairs: DataFrame, side: list[str]) -> DataFrame:
@@ -190,6 +197,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _places(both.where(F.col("shared") * (NUM + DEN) >= F.col("both") * NUM), _X).distinct()
 
 
+def _with_leads(sets: DataFrame, part: int) -> DataFrame:
+    """Pairs of a set and the earliest set at one of its words; of the words, one of ``LEAD_PARTS`` parts by hash.
+
+    Only the words that similar sets of one size need for a prefix: what this
+    misses, the second step finds.
+    """
+    early = F.slice("prefix", F.lit(1), F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM)).cast("int") + 1)
+    words = sets.select(*_ORDER, "n", *_BITS, F.explode(early).alias("word")).where(F.pmod("word", F.lit(LEAD_PARTS)) == part)
+    leads = words.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
+    return _meet(words, leads, F.lit(True))
+
+
+def _gone(pairs: DataFrame, once: DataFrame) -> DataFrame:
+    """Places of the x lines of ``pairs`` that are similar to one of their y lines; ``once`` holds each line's text.
+
+    A line is compared with its likeliest partner first and, if that fails, with the others.
+    """
+    pairs = save(pairs.select(*_X, *_Y, "differ"), "line-pairs")
+    texts = save(once.join(_places(pairs, _X).union(_places(pairs, _Y)).distinct(), _ORDER), "line-texts")
+    likeliest = pairs.groupBy(*_X).agg(F.min(F.struct("differ", *_Y)).alias("y")).select(*_X, "y.*")
+    at_once = save(_verified(likeliest, texts), "lines-gone")
+    standing = pairs.join(at_once.select(*[F.col(c).alias(f"x_{c}") for c in _ORDER]), _X, "left_anti")
+    gone = save(at_once.union(_verified(standing, texts)), "lines-gone")
+    for done in (pairs, texts, at_once):
+        delete(done)
+    return gone
+
+
 def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     """doc, version and line of every line that goes."""
     lines = line_rows(docs, unique)
@@ -208,34 +243,21 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     signed = save(keyed.where("n > 0").select(*_ORDER, "sig", "sig2"), "line-signatures")
     delete(keyed)
 
-    words = sets.select(*_ORDER, "n", *_BITS, F.explode("prefix").alias("word"))
-    crowded = _literal([int(c > BIG) for c in _bucket_counts(words.select(F.col("word").alias("key")))])
-    crowded = words.where(F.element_at(crowded, _bucket(F.col("word")) + 1) == 1)
-    many = save(crowded.groupBy("word").count().where(F.col("count") > BIG).select("word"), "line-words")
-    any_many = not many.isEmpty()
-
-    # A similar pair that shares a crowded word meets there; all others share uncrowded ones only.
-    few = words.join(many, "word", "left_anti") if any_many else words
-    pairs, members = _enough_met(_meet(few, few)).select(*_X, *_Y, "differ"), None
-    if any_many:
-        members = save(words.join(many, "word", "left_semi"), "line-members")
-        lead = members.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
-        pairs = pairs.union(_meet(members, lead).select(*pairs.columns)).distinct()
-    pairs = save(pairs, "line-pairs")
-
-    ids = _places(pairs, _X).union(_places(pairs, _Y))
-    if any_many:
-        ids = ids.union(members.select(*_ORDER))
     once = lines if unique else lines.dropDuplicates(_ORDER)
-    texts = save(once.join(ids.distinct(), _ORDER), "line-texts")
-
-    likeliest = pairs.groupBy(*_X).agg(F.min(F.struct("differ", *_Y)).alias("y")).select(*_X, "y.*")
-    gone = save(_verified(likeliest, texts), "lines-gone")
-    standing = pairs.join(gone.select(*[F.col(c).alias(f"x_{c}") for c in _ORDER]), _X, "left_anti")
-    gone = save(gone.union(_verified(standing, texts)), "lines-gone")
-    if any_many:
-        rest = _meet(members.join(gone, _ORDER, "left_anti"), members)
-        gone = gone.union(_verified(rest, texts))
+    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each prefix
+    # word, and what still stands then meets all others there.
+    first_met = [save(_with_leads(sets, part).select(*_X, *_Y, "differ"), "line-leads") for part in range(LEAD_PARTS)]
+    gone = _gone(reduce(DataFrame.union, first_met).distinct(), once)
+    for done in first_met:
+        delete(done)
+    # A condition on the same columns of both sides, so that both are one shuffle: no partner is large enough for a lost set.
+    # (The test for null is what Spark would else add on one side alone.)
+    least = F.when(F.col("lost").isNull(), 0).otherwise((1 << 31) - 1).alias("least")
+    marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select(*_ORDER, "n", *_BITS, least, "prefix"), "line-sets")
+    delete(sets)
+    words = marked.where("least is not null").select(*_ORDER, "n", *_BITS, "least", F.posexplode("prefix").alias("at", "word"))
+    gone = gone.union(_gone(_meet(words, words, (F.col("x.least") <= F.col("y.n") + F.least(F.col("y.least"), F.lit(0))) & _early_enough()), once))
+    delete(marked)
 
     firsts = signed.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "at.*")
     firsts = firsts.join(gone.distinct().withColumn("lost", F.lit(True)), _ORDER, "left")
@@ -270,8 +292,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _doc().alias("doc"), _version(unique).alias("version"))
     out = rows.join(gone, ["doc", "version"], "left")
     text = F.col("row.text").cast("string")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    last = F.size(F.split(text, "\n", -1)) - 1
+    stay = F.array_except(F.sequence(F.lit(0), last), F.col("removed"))  # hashed, so linear in the lines
+    lines = F.array(F.split(text, "\n", -1))  # bound once as a lambda's variable, not split again for each line
+    kept = F.transform(lines, lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))
+    text = F.when(F.col("removed").isNull(), text).otherwise(F.get(kept, F.lit(0)))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
