@@ -381,7 +381,7 @@ def test_url_filters(spark):
     assert got == [
         (0, "", "", None, "allow"), (1, "", "", None, "allow"), (2, "a.example.org", "/es/x", "example.org/es/", "block"),
         (3, "example.org", "/en/12", "example.org/en/1", "block"), (4, "org", "/", "org/", "allow"), (5, "org", "", None, "allow"),
-        (6, "x.com", "/fr/", "com/fr/", "block"), (7, "x.com", "/fr", None, "allow"), (8, "notexample.org", "/es/", "org/", "allow"),
+        (6, "x.com", "/fr/", "com/fr/", "allow"), (7, "x.com", "/fr", None, "allow"), (8, "notexample.org", "/es/", "org/", "allow"),
         (9, "b:", "//c/", None, "allow"), (10, "", "/x", None, "allow"), (2, "a.example.org", "/es/x", "example.org/es/", "block"),
         (None, "y.com", "/de/", "com/de/", "block")]
     assert url_filters.judge_urls(df.limit(0)).collect() == []

@@ -112,7 +112,7 @@ hp as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'AB
               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') as path from u),
 rules(rule, host_part, path_part, verdict) as (values
   ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
-  ('com/fr/', 'com', '/fr/', 'block'), ('com/de/', 'com', '/de/', 'block')),
+  ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 fit as (select page_id, arg_max(rule, len(rule)) as rule, arg_max(verdict, len(rule)) as verdict
         from hp join rules on (host = host_part or ends_with(host, '.' || host_part)) and starts_with(path, path_part) group by page_id)
 select hp.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from hp left join fit using (page_id)

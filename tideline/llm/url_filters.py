@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import table
 
-ALLOW = ("org/",)
-BLOCK = ("example.org/es/", "example.org/en/1", "com/fr/", "com/de/")
+ALLOW = ("org/", "com/fr/")
+BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
 MAX_LEVELS = 64
 
 
