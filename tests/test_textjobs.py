@@ -1,4 +1,5 @@
 from conftest import rows
+from tideline.operators import textjobs
 from tideline.operators.textjobs import (
     PLOT_TERMS,
     audit_references,
@@ -93,3 +94,30 @@ def test_extract_fenced_and_rows_per_subject(spark):
     assert extract_fenced(df, "text", "sql").first()["block"] == "select 1"
     subj = spark.createDataFrame([("a",), ("a",), ("b",)], "s string")
     assert rows_per_subject(subj, "s").first()[0] == 1.5
+
+
+def test_texts_send_each_listed_term_once_to_the_list(spark, monkeypatch):
+    # X1 with a term table: what is shuffled follows what is found, not the places a term's pieces occur at
+    sent = []
+
+    def seen(many, one, many_key, one_key, how):
+        sent.append(many.count())
+        return many.join(one, many[many_key] == one[one_key], how)
+
+    monkeypatch.setattr(textjobs, "join_one_per_key", seen)
+    terms = ["thing", "thin", "things in", "t", "hi", "sixteen bytes it.", "sixteen bytes it", "nowhere"]
+    texts = {1: "thing " * 400 + "sixteen bytes it", 2: "things in " * 300, 3: "th", 4: "sixteen bytes it. " * 5}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = textjobs.screen_term_table(df, ["id"], "text", spark.createDataFrame([(t,) for t in terms], "t string"), "t")
+    want = {i: sorted(t for t in terms if t in x) for i, x in texts.items()}
+    assert {r["id"]: list(r["issues"]) for r in got.collect()} == want
+    assert sum(len(t) <= 16 for w in want.values() for t in w) in sent
+
+
+def test_terms_around_the_length_that_is_looked_up_whole(spark):
+    text = "abcdefghijklmnopqrstuvwxyz é " * 2
+    terms = [text[i:i + n] for n in (3, 4, 7, 8, 9, 15, 16, 17, 18, 30) for i in (0, 5, 22)] + ["x" * 16, "x" * 17, "xyz é abcdefgj"]
+    df = spark.createDataFrame([(1, text), (None, text[:20]), (3, None)], "id int, text string")
+    got = textjobs.screen_term_table(df, ["id"], "text", spark.createDataFrame([(t,) for t in terms], "t string"), "t")
+    assert {r["id"]: list(r["issues"]) for r in got.collect()} == {
+        1: sorted({t for t in terms if t in text}), None: sorted({t for t in terms if t in text[:20]}), 3: []}

@@ -11,6 +11,7 @@ original use on English requests.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +91,11 @@ def screen_terms(
     return df.withColumn(issues, found).withColumn(valid, F.size(F.col(issues)) == 0)
 
 
-#: Byte lengths of the pieces by which listed terms are looked up, longest first.
-GRAM_BYTES = (8, 4, 2, 1)
-#: Longs in the bit table of anchor pieces: 4 M bits, whatever the list.
+#: Terms up to this many bytes are looked up whole, longer ones by a piece of this length.
+WHOLE_BYTES = 16
+#: Byte lengths of the beginnings by which a whole term's place is tested first, longest first.
+HEAD_BYTES = (8, 4, 2, 1)
+#: Longs in a bit table of pieces: 4 M bits, whatever the list.
 _TABLE_LONGS = 1 << 16
 
 
@@ -108,49 +111,78 @@ def screen_term_table(
     do, also inside words and overlapping other terms; NULL and empty terms are
     ignored, a NULL text has none.
 
-    Cost does not grow with texts times terms.  Every term is anchored on one of
-    its own 8-byte pieces (4, 2 or 1 bytes for short terms), the one fewest
-    listed terms contain.  A position of a text goes on only if a bit table of
-    fixed size knows the hash of the piece that starts there; what goes on meets
-    the anchors in an equi-join, with as much of the text around it as the
-    longest term needs, and is compared in full.  Matching is on UTF-8 bytes,
-    where a whole term can only match whole characters.  Building asks the list
-    for the piece lengths it needs (at most four rows); all else is lazy.
+    Cost does not grow with texts times terms.  A position of a text goes on
+    only if a bit table of fixed size knows the hash of the 8 bytes (4, 2 or 1
+    for short terms) that start there as the beginning of a term, and then, for
+    each length of such terms, only if a second table knows the hash of that
+    many bytes as a whole term.  What goes on is nearly always a term, so each
+    text sends each of its terms once to the equi-join with the list that
+    decides: what is shuffled is in proportion to what is found.
+
+    Terms over ``WHOLE_BYTES`` bytes are anchored on one of their own pieces of
+    that length, the one fewest such terms contain; places of the pieces meet
+    the anchors with as much of the text around them as the longest term needs
+    and are compared in full.  Matching is on UTF-8 bytes, where a whole term
+    can only match whole characters.  Building asks the list for the lengths it
+    needs (at most ``WHOLE_BYTES`` + 1 rows); all else is lazy.
     """
     listed = terms.select(F.lower(F.col(term).cast("string")).alias("_term")).filter(F.col("_term") != "").distinct()
     listed = listed.select("_term", F.col("_term").cast("binary").alias("_bytes"), F.octet_length("_term").alias("_len"))
-    size = F.lit(GRAM_BYTES[-1])
-    for g in reversed(GRAM_BYTES[:-1]):
-        size = F.when(F.col("_len") >= g, g).otherwise(size)
-    listed = listed.withColumn("_size", size)
-    anchors = _anchors(listed)
-    reach = anchors.agg(F.struct(F.max("_offset").alias("before"), F.max("_len").alias("after"))).scalar()
-    table = _bit_table(anchors)
+    sizes = {r[0] for r in listed.select(F.least("_len", F.lit(WHOLE_BYTES + 1))).distinct().collect()}
 
     # A plain name for each id: the union below lines them up by position.
     keys = [F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)]
     texts = df.select(*keys, F.lower(F.col(text).cast("string")).cast("binary").alias("_text"))
     empty = texts.select(*[f"_id{i}" for i in range(len(ids))], F.lit(None).cast("string").alias("_term"))
     found = empty
-    for g in sorted(r["_size"] for r in listed.select("_size").distinct().collect()):
-        at = F.explode(F.sequence(F.lit(1), F.octet_length("_text") - (g - 1)))
-        places = texts.filter(F.octet_length("_text") >= g).select("*", at.alias("_at"))
-        places = places.withColumn("_gram", F.substring("_text", F.col("_at"), F.lit(g)))
-        slot = F.xxhash64("_gram").bitwiseAND(F.lit(64 * _TABLE_LONGS - 1).cast("long"))
-        word = F.get(table, F.shiftright(slot, 6).cast("int"))
-        known = F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-        start = F.greatest(F.col("_at") - reach["before"], F.lit(1))
-        places = places.filter(known).withColumn("_start", start)
-        places = places.select(*empty.columns[:-1], "_at", "_gram", "_start",
-                               F.substring("_text", F.col("_start"), reach["before"] + reach["after"]).alias("_around"))
-        met = places.join(anchors.filter(F.col("_size") == g), "_gram")
-        begin = F.col("_at") - F.col("_offset")
-        same = (begin >= 1) & (F.substring("_around", begin - F.col("_start") + 1, F.col("_len")) == F.col("_bytes"))
-        found = found.unionAll(met.filter(same).select(*empty.columns))
+    whole = sorted(n for n in sizes if n <= WHOLE_BYTES)
+    if whole:
+        found = found.unionAll(_whole_terms(texts, listed.filter(F.col("_len") <= WHOLE_BYTES), whole).select(*empty.columns))
+    if WHOLE_BYTES + 1 in sizes:
+        found = found.unionAll(_long_terms(texts, listed.filter(F.col("_len") > WHOLE_BYTES)).select(*empty.columns))
     out = found.groupBy(*empty.columns[:-1]).agg(F.array_sort(F.collect_set("_term")).alias(issues))
     return out.select(*[F.col(f"_id{i}").alias(c) for i, c in enumerate(ids)], issues, (F.size(issues) == 0).alias(valid))
 
 
+def _places(texts: DataFrame, size: int) -> DataFrame:
+    """Each position ``_at`` (from 1) of each text at which ``size`` bytes start, with these as ``_gram``."""
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("_text") - (size - 1)))
+    places = texts.filter(F.octet_length("_text") >= size).select("*", at.alias("_at"))
+    return places.withColumn("_gram", F.substring("_text", F.col("_at"), F.lit(size)))
+
+
+def _whole_terms(texts: DataFrame, listed: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """The ids and ``_term`` of every listed term, of one of ``lengths``, in a text: each pair once."""
+    head = F.lit(HEAD_BYTES[-1])
+    for g in reversed(HEAD_BYTES[:-1]):
+        head = F.when(F.col("_len") >= g, g).otherwise(head)
+    heads = _bit_table(listed.select(F.substring("_bytes", F.lit(1), head).alias("_gram")))
+    wholes = _bit_table(listed.select(F.col("_bytes").alias("_gram")))
+    ids = [c for c in texts.columns if c != "_text"]
+    parts = []
+    for g, above in zip(HEAD_BYTES, (WHOLE_BYTES + 1, *HEAD_BYTES), strict=False):
+        own = [n for n in lengths if g <= n < above]
+        if own:
+            places = _places(texts, g).filter(_known(heads, "_gram")).withColumn("_size", F.explode(F.array(*map(F.lit, own))))
+            places = places.filter(F.col("_at") + F.col("_size") <= F.octet_length("_text") + 1)
+            places = places.withColumn("_piece", F.substring("_text", F.col("_at"), F.col("_size")))
+            parts.append(places.filter(_known(wholes, "_piece")).select(*ids, "_piece").distinct())  # of one length each, so all pairs differ
+    return join_one_per_key(reduce(DataFrame.unionAll, parts), listed.select("_term", "_bytes"), "_piece", "_bytes", "inner")
+
+
+def _long_terms(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """The ids and ``_term`` of every listed term over ``WHOLE_BYTES`` bytes in a text."""
+    anchors = _anchors(listed.withColumn("_size", F.lit(WHOLE_BYTES)))
+    reach = anchors.agg(F.struct(F.max("_offset").alias("before"), F.max("_len").alias("after"))).scalar()
+    places = _places(texts, WHOLE_BYTES).filter(_known(_bit_table(anchors), "_gram"))
+    places = places.withColumn("_start", F.greatest(F.col("_at") - reach["before"], F.lit(1)))
+    around = F.substring("_text", F.col("_start"), reach["before"] + reach["after"]).alias("_around")
+    met = places.select(*[c for c in texts.columns if c != "_text"], "_at", "_gram", "_start", around).join(anchors, "_gram")
+    begin = F.col("_at") - F.col("_offset")
+    same = (begin >= 1) & (F.substring("_around", begin - F.col("_start") + 1, F.col("_len")) == F.col("_bytes"))
+    return met.filter(same)
+
+
 def _anchors(listed: DataFrame) -> DataFrame:
     """One piece of each term, the one fewest terms contain (then the first): ``_gram`` and its ``_offset`` in the term."""
     pieces = listed.select("*", F.explode(F.sequence(F.lit(0), F.col("_len") - F.col("_size"))).alias("_offset"))
@@ -161,17 +193,34 @@ def _anchors(listed: DataFrame) -> DataFrame:
     return best.select("_term", *[f"_best.{c}" for c in ("_gram", "_offset", "_bytes", "_len", "_size")])
 
 
-def _bit_table(anchors: DataFrame) -> Column:
-    """Scalar: array of ``_TABLE_LONGS`` longs with the bit of each anchor piece's hash set."""
-    slot = F.xxhash64("_gram").bitwiseAND(F.lit(64 * _TABLE_LONGS - 1).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    own = anchors.select(F.shiftright(slot, 6).alias("_word"), bit.alias("_bits"))
-    every = anchors.sparkSession.range(_TABLE_LONGS).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+def _slots(piece: str) -> list[Column]:
+    """The two bits of a bit table that a piece's hash stands for."""
+    bits = 64 * _TABLE_LONGS
+    h = F.xxhash64(piece)
+    return [x.bitwiseAND(F.lit(bits - 1).cast("long")) for x in (h, F.shiftright(h, bits.bit_length()))]
+
+
+def _bit_table(pieces: DataFrame) -> Column:
+    """Scalar: array of ``_TABLE_LONGS`` longs with the bits of each ``_gram`` set."""
+    own = pieces.select(F.explode(F.array(*_slots("_gram"))).alias("_slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    own = own.select(F.shiftright("_slot", 6).alias("_word"), bit.alias("_bits"))
+    every = pieces.sparkSession.range(_TABLE_LONGS).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
     words = own.unionAll(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
     dense = words.agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("_w"))
     return dense.select(F.col("_w._bits")).scalar()
 
 
+def _known(table: Column, piece: str) -> Column:
+    """Whether a bit table holds both bits of a piece: true for all it was built on."""
+    one, both = F.lit(1).cast("long"), F.lit(True)
+    for slot in _slots(piece):
+        word = F.get(table, F.shiftright(slot, 6).cast("int"))
+        bit = F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        both = both & (bit.bitwiseAND(one) == 1)
+    return both
+
+
 # ------------------------------------------------------------------- X2 intent
 
 def intent_expr(
