@@ -2,7 +2,9 @@
 
 import duckdb
 
-from tideline.llm import catalog, url_filters
+from pyspark.sql import functions as F
+
+from tideline.llm import catalog, line_dedup, url_filters
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
@@ -16,3 +18,15 @@ def test_every_rule_has_the_contracts_verdict(spark):
     con.execute("create table pages (page_id bigint, url varchar)")
     con.executemany("insert into pages values (?, ?)", urls)
     assert dict(con.execute(f"select rule, verdict from ({catalog.ORACLE_SQL['op8_url_filters']})").fetchall()) == RULES
+
+
+def test_texts_of_lines_in_no_pair_are_held_back(spark):
+    # op2: true for every place that is listed, for hardly any other, whatever the number listed
+    lines = spark.range(60000).select(F.col("id").alias("doc"), F.lit(0).cast("long").alias("version"), F.lit(3).alias("line"))
+    for step in (2, 500):
+        places = lines.where(F.col("doc") % step == 0)
+        known = lines.where(line_dedup._maybe_among(places, places.count()))
+        n = places.count()
+        assert known.join(places, ["doc", "version", "line"]).count() == n
+        assert known.count() - n < 6000
+    assert lines.where(line_dedup._maybe_among(lines.limit(0), 0)).count() == 0

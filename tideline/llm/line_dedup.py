@@ -38,6 +38,7 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
 LEAD_PARTS = 3       # parts of the words in the first step
+MOST_LONGS = 1 << 20  # longs of the table that tells which lines' texts are needed: 8 MB
 SMALL = 32           # words of a set up to which 64 parity bits tell enough
 _NO_ID = -(1 << 63)
 _ORDER = ["doc", "version", "line"]
@@ -209,13 +210,37 @@ def _with_leads(sets: DataFrame, part: int) -> DataFrame:
     return _meet(words, leads, F.lit(True))
 
 
+def _maybe_among(places: DataFrame, rows: int) -> Column:
+    """Whether a line may be one of ``places`` (``rows`` of them, about): true for each of them and for few others.
+
+    Two hash bits of each place in a table of 8 to 16 bits a place, at most ``MOST_LONGS`` longs.
+    """
+    longs = min(MOST_LONGS, 1 << max(10, (rows // 8).bit_length()))
+    one, h = F.lit(1).cast("long"), F.xxhash64(*_ORDER)
+    slots = [x.bitwiseAND(F.lit(64 * longs - 1).cast("long")) for x in (h, F.shiftright(h, 32))]
+
+    def bit(slot: Column) -> Column:
+        return slot.bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+    own = places.select(F.explode(F.array(*slots)).alias("slot"))
+    own = own.select(F.shiftright("slot", 6).alias("word"), F.call_function("shiftleft", one, bit(F.col("slot"))).alias("bits"))
+    every = places.sparkSession.range(longs).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = own.unionAll(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.col("w.bits")).scalar()
+    known = [F.call_function("shiftrightunsigned", F.get(table, F.shiftright(x, 6).cast("int")), bit(x)) for x in slots]
+    return reduce(Column.__and__, [k.bitwiseAND(one) == 1 for k in known])
+
+
 def _gone(pairs: DataFrame, once: DataFrame) -> DataFrame:
     """Places of the x lines of ``pairs`` that are similar to one of their y lines; ``once`` holds each line's text.
 
     A line is compared with its likeliest partner first and, if that fails, with the others.
+    Few lines are in any pair, so the texts of most others are held back before they are shuffled.
     """
     pairs = save(pairs.select(*_X, *_Y, "differ"), "line-pairs")
-    texts = save(once.join(_places(pairs, _X).union(_places(pairs, _Y)).distinct(), _ORDER), "line-texts")
+    places = save(_places(pairs, _X).union(_places(pairs, _Y)).distinct(), "line-places")
+    texts = save(once.where(_maybe_among(places, places.count())).join(places, _ORDER), "line-texts")
+    delete(places)
     likeliest = pairs.groupBy(*_X).agg(F.min(F.struct("differ", *_Y)).alias("y")).select(*_X, "y.*")
     at_once = save(_verified(likeliest, texts), "lines-gone")
     standing = pairs.join(at_once.select(*[F.col(c).alias(f"x_{c}") for c in _ORDER]), _X, "left_anti")
