@@ -1,5 +1,7 @@
 """What a query's contract fixes, compared word by word with the code and its SQL."""
 
+import random
+
 import duckdb
 
 from pyspark.sql import functions as F
@@ -30,3 +32,46 @@ def test_texts_of_lines_in_no_pair_are_held_back(spark):
         assert known.join(places, ["doc", "version", "line"]).count() == n
         assert known.count() - n < 6000
     assert lines.where(line_dedup._maybe_among(lines.limit(0), 0)).count() == 0
+
+
+def plain_gone(rows):
+    sets = [((i, n), frozenset(line.split())) for i, t in sorted(rows) for n, line in enumerate(t.split("\n"))]
+    return {at for k, (at, x) in enumerate(sets) if x and any(5 * len(x & y) >= 4 * len(x | y) for _, y in sets[:k])}
+
+
+def test_lines_of_all_sizes_at_the_bound_of_similarity(spark):
+    # op2: the smaller set meets the larger with a shorter prefix, in the larger one's size class, whichever is the later
+    rng, rows, i = random.Random(5), [], 0
+    for size in [*range(3, 46), 63, 64, 65, 95, 96, 97, 120, 191, 193, 250, 410]:
+        base = [f"s{size}x{j}" for j in range(size)]
+        for other in (base[: -(-4 * size // 5)], base[: max(1, -(-4 * size // 5) - 1)], base[: size - size // 9] + [f"o{size}x{j}" for j in range(size // 9)]):
+            pair = [[f"{w}v{i}" for w in base], [f"{w}v{i}" for w in other]]
+            rng.shuffle(pair)
+            for words in pair:
+                rng.shuffle(words)
+                rows.append((i, " ".join(words)))
+                i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_gone(rows)
+    got = line_dedup.line_decisions(df).where("n_removed > 0").collect()
+    assert {(r["doc_id"], int(k)) for r in got for k in r["removed"].split(",")} == want
+    assert 60 < len(want) < len(rows) // 2
+
+
+def test_keys_of_words_are_plain_longs(spark):
+    # op2: nothing in the arrays can be null, else Spark boxes every word to sort them
+    df = spark.createDataFrame([(1, " b a  b\tc "), (2, ""), (3, None)], "doc_id long, text string")
+    keys = df.select("doc_id", line_dedup.word_keys(F.col("text"), line_dedup.rarity_classes(df)).alias("keys"))
+    assert not keys.schema["keys"].dataType.containsNull
+    got = {r["doc_id"]: r["keys"] for r in keys.collect()}
+    assert len(got[1]) == 3 and got[1] == sorted(got[1]) and got[2] == [] and not got[3]
+
+
+def test_sets_of_close_sizes_meet_once_at_a_word_they_all_have(spark):
+    # op2: over all size classes, every pair that the sizes allow, no other and none twice
+    rows = [(n, [7, *range(1000 * n, 1000 * n + n // 5)], n) for n in range(4, 304)]
+    df = spark.createDataFrame(rows, "doc long, prefix array<long>, n int")
+    df = df.selectExpr("doc", "0L as version", "0 as line", "n", "0L as bits", "0L as half", "0L as low", "0L as high", "false as lost", "prefix")
+    pairs = [line_dedup._meet(df, part).count() for part in range(line_dedup.PARTS)]
+    close = sum(4 * x <= 5 * y for x in range(4, 304) for y in range(4, x) if 5 * y >= 4 * x)
+    assert sum(pairs) == close

@@ -10,19 +10,21 @@ DataFrame functions are used:
   is the same everywhere;
 * equal sets are joined by a signature, and only the first line of each set
   goes on;
-* two similar sets share a word in their prefixes (the rarest words); pairs
-  that meet at a prefix word must pass the length filter and a parity bitmap
+* two similar sets share a word in their prefixes (the rarest words; of the
+  smaller set a shorter prefix does); they meet at that word within a class of
+  sizes, and pairs that meet must pass the length filter and a parity bitmap
   (differing bits cannot outnumber differing words), and the positional filter
   bounds their overlap by the shared prefix words and what lies behind them;
 * what passes is verified on the words themselves, for each line first with its
   likeliest partner and then, if that fails, with all others.
 
 One match is enough for a line to go.  So each set is first joined only with the
-earliest set at each of its prefix words (in ``LEAD_PARTS`` parts of the words,
-so that less is shuffled at once), and what passes is verified; only lines that
-still stand then meet all earlier sets at their prefix words.  A group of similar lines thus gives pairs with its
-first line, not pairs of all with all.  The first step only saves work: the
-second is complete for all it left standing.
+earliest set of its size class at each of its ``LEAD_WORDS`` rarest words, and
+what passes is verified; only lines that still stand then meet all earlier sets
+at their prefix words (in ``PARTS`` parts of the words, so that less is shuffled
+at once).  A group of similar lines thus gives pairs with its first line, not
+pairs of all with all.  The first step only saves work: the second is complete
+for all it left standing.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
-LEAD_PARTS = 3       # parts of the words in the first step
+LEAD_WORDS = 2       # words of a set in the first step
+PARTS = 2            # parts of the words in the second step
+CLASS = 1.5          # ratio of the sizes that make a size class
 MOST_LONGS = 1 << 20  # longs of the table that tells which lines' texts are needed: 8 MB
-SMALL = 32           # words of a set up to which 64 parity bits tell enough
+SMALL = 96           # words of a set up to which 64 parity bits tell enough
 _NO_ID = -(1 << 63)
 _ORDER = ["doc", "version", "line"]
 _RARE_SPACES = ("\t", "\v", "\f", "\r")
@@ -98,10 +102,16 @@ def rarity_classes(docs: DataFrame) -> Column:
 
 
 def word_keys(text: Column, classes: Column) -> Column:
-    """Sorted distinct keys of a line's words: rarity class on top, hash bits below."""
-    hashes = F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.element_at(classes, _bucket(h) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    """Sorted distinct keys of a line's words: rarity class on top, hash bits below.
+
+    Nothing in the arrays can be null, so that Spark sorts and walks plain longs.
+    """
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        rarity = F.coalesce(F.get(classes, _bucket(h)), F.lit(0)).cast("long")
+        return F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.array_remove(F.array_distinct(F.sort_array(F.transform(_split(text), key))), key(F.lit("")))
 
 
 def _before(y: str, x: str) -> Column:
@@ -154,20 +164,21 @@ def _least_own(n: Column) -> Column:
 _X, _Y = [f"x_{c}" for c in _ORDER], [f"y_{c}" for c in _ORDER]
 
 
-def _meet(x: DataFrame, y: DataFrame, which: Column) -> DataFrame:
-    """Pairs of a later line x (of those that ``which`` names) and an earlier line y that meet at a prefix word and pass the filters.
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
+
+
+def _near(x: str, y: str) -> Column:
+    """Filters for a pair that may be similar, the cheapest and strictest first.
 
     With s words in both sets together, similarity NUM / DEN means at least
     NUM s / (NUM + DEN) shared and at most (DEN - NUM) s / (NUM + DEN) differing
     words, and sizes whose ratio is NUM / DEN or more.
     """
-    nx, ny = F.col("x.n"), F.col("y.n")
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     most = (nx + ny) * (DEN - NUM)
-    folded = which & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUM + DEN) <= most)  # cheap and nearly always false
-    near = folded & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & _before("y", "x") & (_differ() * (NUM + DEN) <= most)
-    both = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & near)
-    return both.groupBy(*[F.col(f"x.{c}").alias(f"x_{c}") for c in _ORDER], *[F.col(f"y.{c}").alias(f"y_{c}") for c in _ORDER]).agg(
-        F.max(_differ()).alias("differ"))
+    folded = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) * (NUM + DEN) <= most
+    return folded & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (_differ() * (NUM + DEN) <= most)
 
 
 def _early_enough() -> Column:
@@ -183,6 +194,45 @@ def _early_enough() -> Column:
     return (behind * (NUM + DEN) >= enough) & ((F.least(i, j) + behind) * (NUM + DEN) >= enough)
 
 
+def _pairs(joined: DataFrame, later: Column) -> DataFrame:
+    """Places of the later line x and the earlier line y of each pair, once, and their differing bits.
+
+    ``later``: whether the x of the join is the later one.
+    """
+    ends = [F.when(later, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")).alias(f"{a}_{c}")
+            for a, b in (("x", "y"), ("y", "x")) for c in _ORDER]
+    return joined.select(*ends, _differ().alias("differ")).groupBy(*_X, *_Y).agg(F.max("differ").alias("differ"))
+
+
+def _meet(marked: DataFrame, part: int) -> DataFrame:
+    """Pairs of similar size that meet at a prefix word (of one of ``PARTS`` parts) and pass the filters, the later line not lost.
+
+    The smaller set, y here, shares NUM 2 / (NUM + DEN) of its words or more, so
+    a shorter prefix does; of equal sizes, y is the earlier one.  A set meets
+    others of its size class; as the smaller one it is sent to each class in
+    which a similar larger set can be.
+    """
+    def words(most: Column, first: Column, last: Column) -> DataFrame:
+        own = marked.select(*_ORDER, "n", *_BITS, "lost", F.sequence(first, last).alias("classes"),
+                            F.posexplode(F.slice("prefix", F.lit(1), most)).alias("at", "word"))
+        own = own.select(*_ORDER, "n", *_BITS, "lost", "at", "word", F.explode("classes").alias("class"))
+        return own.withColumn("word", F.xxhash64("word", "class")).drop("class").where(F.pmod("word", F.lit(PARTS)) == part)
+
+    n = F.col("n")
+    own = _size_class(n)
+    large = words(F.size("prefix"), own, own)
+    small = words(_short_prefix(), own, _size_class(F.floor(n * DEN / NUM)))
+    later = _before("y", "x")
+    wanted = _near("x", "y") & _early_enough() & ~F.when(later, F.col("x.lost")).otherwise(F.col("y.lost"))
+    once = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & later)
+    return _pairs(large.alias("x").join(small.alias("y"), (F.col("x.word") == F.col("y.word")) & wanted & once), later)
+
+
+def _short_prefix() -> Column:
+    """Words of a set of n that hold the first word it shares with any similar set that is not smaller."""
+    return F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM)).cast("int") + 1
+
+
 def _places(pairs: DataFrame, side: list[str]) -> DataFrame:
     return pairs.select(*[F.col(c).alias(c[2:]) for c in side])
 
@@ -198,16 +248,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _places(both.where(F.col("shared") * (NUM + DEN) >= F.col("both") * NUM), _X).distinct()
 
 
-def _with_leads(sets: DataFrame, part: int) -> DataFrame:
-    """Pairs of a set and the earliest set at one of its words; of the words, one of ``LEAD_PARTS`` parts by hash.
+def _with_leads(sets: DataFrame) -> DataFrame:
+    """Pairs of a set and the earliest set of its size class at one of its ``LEAD_WORDS`` rarest words.
 
-    Only the words that similar sets of one size need for a prefix: what this
-    misses, the second step finds.
+    What this misses, the second step finds.
     """
-    early = F.slice("prefix", F.lit(1), F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM)).cast("int") + 1)
-    words = sets.select(*_ORDER, "n", *_BITS, F.explode(early).alias("word")).where(F.pmod("word", F.lit(LEAD_PARTS)) == part)
+    words = sets.select(*_ORDER, "n", *_BITS, _size_class(F.col("n")).alias("class"),
+                        F.explode(F.slice("prefix", 1, LEAD_WORDS)).alias("word"))
+    words = words.withColumn("word", F.xxhash64("word", "class")).drop("class")
     leads = words.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
-    return _meet(words, leads, F.lit(True))
+    met = words.alias("x").join(leads.alias("y"), (F.col("x.word") == F.col("y.word")) & _near("x", "y") & _before("y", "x"))
+    return _pairs(met, F.lit(True))
 
 
 def _maybe_among(places: DataFrame, rows: int) -> Column:
@@ -269,20 +320,16 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     delete(keyed)
 
     once = lines if unique else lines.dropDuplicates(_ORDER)
-    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each prefix
-    # word, and what still stands then meets all others there.
-    first_met = [save(_with_leads(sets, part).select(*_X, *_Y, "differ"), "line-leads") for part in range(LEAD_PARTS)]
-    gone = _gone(reduce(DataFrame.union, first_met).distinct(), once)
-    for done in first_met:
-        delete(done)
-    # A condition on the same columns of both sides, so that both are one shuffle: no partner is large enough for a lost set.
-    # (The test for null is what Spark would else add on one side alone.)
-    least = F.when(F.col("lost").isNull(), 0).otherwise((1 << 31) - 1).alias("least")
-    marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select(*_ORDER, "n", *_BITS, least, "prefix"), "line-sets")
+    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each of a few
+    # words, and what still stands then meets all others at its prefix words.
+    gone = _gone(_with_leads(sets), once)
+    lost = F.col("lost").isNotNull().alias("lost")
+    marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select(*_ORDER, "n", *_BITS, lost, "prefix"), "line-sets")
     delete(sets)
-    words = marked.where("least is not null").select(*_ORDER, "n", *_BITS, "least", F.posexplode("prefix").alias("at", "word"))
-    gone = gone.union(_gone(_meet(words, words, (F.col("x.least") <= F.col("y.n") + F.least(F.col("y.least"), F.lit(0))) & _early_enough()), once))
-    delete(marked)
+    met = [save(_meet(marked, part), "line-met") for part in range(PARTS)]
+    gone = gone.union(_gone(reduce(DataFrame.union, met).groupBy(*_X, *_Y).agg(F.max("differ").alias("differ")), once))
+    for done in (marked, *met):
+        delete(done)
 
     firsts = signed.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "at.*")
     firsts = firsts.join(gone.distinct().withColumn("lost", F.lit(True)), _ORDER, "left")
@@ -301,7 +348,9 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     """
     unique = ids_are_unique(docs)
     gone = removed_lines(docs, unique).groupBy("doc", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col("text").cast("string"), "\n", -1)))
+    text = F.col("text").cast("string")
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    lines = F.when(text.isNull(), F.lit(0)).otherwise(ends + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc().alias("doc"), _version(unique).alias("version"),
                        lines.alias("n_lines"))
     out = rows.join(gone, ["doc", "version"], "left")
