@@ -19,10 +19,10 @@ DataFrame functions are used:
   likeliest partner and then, if that fails, with all others.
 
 One match is enough for a line to go.  So each set is first joined only with the
-earliest set of its size class at each of its ``LEAD_WORDS`` rarest words, and
-what passes is verified; only lines that still stand then meet all earlier sets
-at their prefix words (in ``PARTS`` parts of the words, so that less is shuffled
-at once).  A group of similar lines thus gives pairs with its first line, not
+earliest set of its size class at each word of its short prefix, and what passes
+is verified; only lines that still stand then meet all earlier sets at their
+prefix words.  Both steps take the words in parts (``LEAD_PARTS``, ``PARTS``), so
+that less is shuffled at once.  A group of similar lines thus gives pairs with its first line, not
 pairs of all with all.  The first step only saves work: the second is complete
 for all it left standing.
 """
@@ -39,7 +39,7 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
-LEAD_WORDS = 2       # words of a set in the first step
+LEAD_PARTS = 3       # parts of the words in the first step
 PARTS = 2            # parts of the words in the second step
 CLASS = 1.5          # ratio of the sizes that make a size class
 MOST_LONGS = 1 << 20  # longs of the table that tells which lines' texts are needed: 8 MB
@@ -233,6 +233,11 @@ def _short_prefix() -> Column:
     return F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM)).cast("int") + 1
 
 
+def _once(parts: list[DataFrame]) -> DataFrame:
+    """Pairs of all parts, each once."""
+    return reduce(DataFrame.union, parts).groupBy(*_X, *_Y).agg(F.max("differ").alias("differ"))
+
+
 def _places(pairs: DataFrame, side: list[str]) -> DataFrame:
     return pairs.select(*[F.col(c).alias(c[2:]) for c in side])
 
@@ -248,14 +253,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _places(both.where(F.col("shared") * (NUM + DEN) >= F.col("both") * NUM), _X).distinct()
 
 
-def _with_leads(sets: DataFrame) -> DataFrame:
-    """Pairs of a set and the earliest set of its size class at one of its ``LEAD_WORDS`` rarest words.
+def _with_leads(sets: DataFrame, part: int) -> DataFrame:
+    """Pairs of a set and the earliest set of its size class at a word of its short prefix; of the words, one of ``LEAD_PARTS`` parts.
 
     What this misses, the second step finds.
     """
     words = sets.select(*_ORDER, "n", *_BITS, _size_class(F.col("n")).alias("class"),
-                        F.explode(F.slice("prefix", 1, LEAD_WORDS)).alias("word"))
-    words = words.withColumn("word", F.xxhash64("word", "class")).drop("class")
+                        F.explode(F.slice("prefix", F.lit(1), _short_prefix())).alias("word"))
+    words = words.withColumn("word", F.xxhash64("word", "class")).drop("class").where(F.pmod("word", F.lit(LEAD_PARTS)) == part)
     leads = words.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
     met = words.alias("x").join(leads.alias("y"), (F.col("x.word") == F.col("y.word")) & _near("x", "y") & _before("y", "x"))
     return _pairs(met, F.lit(True))
@@ -320,14 +325,17 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     delete(keyed)
 
     once = lines if unique else lines.dropDuplicates(_ORDER)
-    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each of a few
-    # words, and what still stands then meets all others at its prefix words.
-    gone = _gone(_with_leads(sets), once)
+    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each prefix
+    # word, and what still stands then meets all others there.
+    first_met = [save(_with_leads(sets, part), "line-leads") for part in range(LEAD_PARTS)]
+    gone = _gone(_once(first_met), once)
+    for done in first_met:
+        delete(done)
     lost = F.col("lost").isNotNull().alias("lost")
     marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select(*_ORDER, "n", *_BITS, lost, "prefix"), "line-sets")
     delete(sets)
     met = [save(_meet(marked, part), "line-met") for part in range(PARTS)]
-    gone = gone.union(_gone(reduce(DataFrame.union, met).groupBy(*_X, *_Y).agg(F.max("differ").alias("differ")), once))
+    gone = gone.union(_gone(_once(met), once))
     for done in (marked, *met):
         delete(done)
 
