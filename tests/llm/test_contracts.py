@@ -75,3 +75,37 @@ def test_sets_of_close_sizes_meet_once_at_a_word_they_all_have(spark):
     pairs = [line_dedup._meet(df, part).count() for part in range(line_dedup.PARTS)]
     close = sum(4 * x <= 5 * y for x in range(4, 304) for y in range(4, x) if 5 * y >= 4 * x)
     assert sum(pairs) == close
+
+
+def test_only_crowded_words_lead(spark):
+    # op2: the first step pairs a crowd with its first line only, and leaves words that few sets share to the second
+    def rows(word, docs):
+        return [(doc, [word, 1000 + doc], 20) for doc in docs]
+
+    crowd, few = range(10, 10 + 2 * line_dedup.CROWD), range(500, 500 + line_dedup.CROWD)
+    df = spark.createDataFrame(rows(7, crowd) + rows(8, few), "doc long, prefix array<long>, n int")
+    df = df.selectExpr("doc", "0L as version", "0 as line", "n", "0L as bits", "0L as half", "0L as low", "0L as high", "prefix")
+    got = sorted((r["x_doc"], r["y_doc"]) for r in line_dedup._with_leads(df).collect())
+    assert got == [(doc, 10) for doc in crowd[1:]]
+
+
+def test_crowds_of_similar_lines_of_all_sizes(spark):
+    # op2: crowds whose sizes lie in several classes, with lines similar to their first line and lines similar to a later one only
+    rng, rows = random.Random(6), []
+    for crowd, size in enumerate((6, 11, 17, 25, 60, 130)):
+        base = [f"c{crowd}w{j}" for j in range(size)]
+        for _ in range(70):
+            words = [w for w in base if rng.random() > 0.1] + [f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + size // 8))]
+            rng.shuffle(words)
+            rows.append((rng.randrange(10**9), " ".join(words)))
+    want = plain_gone(rows)
+    got = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert {(r["doc_id"], int(k)) for r in got for k in r["removed"].split(",")} == want
+    assert 100 < len(want) < len(rows) - 20
+
+
+def test_least_size_of_a_class(spark):
+    # op2: a higher class is met with a shorter prefix, which must allow for the least size there
+    df = spark.range(1, 20000).select(F.col("id").alias("n")).select("n", line_dedup._size_class(F.col("n")).alias("c"))
+    df = df.groupBy("c").agg(F.min("n").alias("n")).select("n", line_dedup._least_of_class(F.col("c")).alias("least"))
+    assert all(r["n"] - 1 <= r["least"] <= r["n"] for r in df.collect())

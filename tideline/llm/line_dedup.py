@@ -18,13 +18,13 @@ DataFrame functions are used:
 * what passes is verified on the words themselves, for each line first with its
   likeliest partner and then, if that fails, with all others.
 
-One match is enough for a line to go.  So each set is first joined only with the
-earliest set of its size class at each word of its short prefix, and what passes
-is verified; only lines that still stand then meet all earlier sets at their
-prefix words.  Both steps take the words in parts (``LEAD_PARTS``, ``PARTS``), so
-that less is shuffled at once.  A group of similar lines thus gives pairs with its first line, not
-pairs of all with all.  The first step only saves work: the second is complete
-for all it left standing.
+One match is enough for a line to go.  So where more than ``CROWD`` sets of a size
+class share a word of their short prefixes, each is first joined only with the
+earliest of them, and what passes is verified; only lines that still stand then
+meet all earlier sets at their prefix words, the words in parts (``PARTS``), so
+that less is shuffled at once.  A large group of similar lines thus gives pairs
+with its first line, not pairs of all with all.  The first step only saves work:
+the second is complete for all it left standing, and alone where few sets meet.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
-LEAD_PARTS = 3       # parts of the words in the first step
+CROWD = 32           # sets at a word from which they first meet the earliest of them only
 PARTS = 2            # parts of the words in the second step
 CLASS = 1.5          # ratio of the sizes that make a size class
 MOST_LONGS = 1 << 20  # longs of the table that tells which lines' texts are needed: 8 MB
@@ -146,13 +146,45 @@ def _bitmaps(n: Column) -> list[Column]:
             F.when(n > 2 * SMALL, _parity(64, 255)).otherwise(zero).alias("high")]
 
 
+def _tag(n: Column, at: Column, lost: Column) -> Column:
+    """Size of a set, place of a word in its prefix and whether it is lost, in one long."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(at.cast("long"), 1)).bitwiseOR(lost.cast("long"))
+
+
+def _n(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.tag"), 32)
+
+
+def _at(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.tag").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+
+
+def _lost(side: str) -> Column:
+    return F.col(f"{side}.tag").bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _word_rows(sets: DataFrame, words: Column, classes: Column | None = None, lost: Column | None = None) -> DataFrame:
+    """word (hashed with a size class), place of the line, tag and bitmaps, for the first ``words`` of each prefix.
+
+    For every class of ``classes`` (own class if None); ``words`` may use the column ``class``.  The wider
+    bitmaps are null for small sets, so that most rows stay narrow when they are shuffled.
+    """
+    n = F.col("n")
+    wide = F.when(n > SMALL, F.struct("half", "low", "high")).alias("wide")
+    lost = F.lit(False) if lost is None else lost
+    own = _size_class(n) if classes is None else F.explode(classes)
+    rows = sets.select(*_ORDER, "n", lost.alias("lost"), "bits", wide, "prefix", own.alias("class"))
+    rows = rows.select(*_ORDER, "n", "lost", "bits", "wide", "class", F.posexplode(F.slice("prefix", F.lit(1), words)).alias("at", "word"))
+    return rows.select(F.xxhash64("word", "class").alias("word"), *_ORDER, _tag(n, F.col("at"), F.col("lost")).alias("tag"), "bits", "wide")
+
+
 def _differ() -> Column:
     """Differing bits of x and y in the widest bitmap that both sets have."""
-    bits, half, low, high = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in _BITS)
+    bits, half, low, high = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("bits", *(f"wide.{b}" for b in _BITS[1:])))
     other = bits.bitwiseXOR(half)
     wide = F.bit_count(half) + F.bit_count(other)
     widest = F.bit_count(low) + F.bit_count(half.bitwiseXOR(low)) + F.bit_count(high) + F.bit_count(other.bitwiseXOR(high))
-    n = F.least("x.n", "y.n")
+    n = F.least(_n("x"), _n("y"))
     return F.when(n > 2 * SMALL, widest).when(n > SMALL, wide).otherwise(F.bit_count(bits))
 
 
@@ -175,7 +207,7 @@ def _near(x: str, y: str) -> Column:
     NUM s / (NUM + DEN) shared and at most (DEN - NUM) s / (NUM + DEN) differing
     words, and sizes whose ratio is NUM / DEN or more.
     """
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    nx, ny = _n(x), _n(y)
     most = (nx + ny) * (DEN - NUM)
     folded = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) * (NUM + DEN) <= most
     return folded & (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (_differ() * (NUM + DEN) <= most)
@@ -188,7 +220,7 @@ def _early_enough() -> Column:
     in both sets.  At any common word, what they share before it is within the
     shorter part before, and what behind within the shorter part behind.
     """
-    i, j, nx, ny = F.col("x.at"), F.col("y.at"), F.col("x.n"), F.col("y.n")
+    i, j, nx, ny = _at("x"), _at("y"), _n("x"), _n("y")
     enough = (nx + ny) * NUM
     behind = F.least(nx - i, ny - j)  # the word itself included
     return (behind * (NUM + DEN) >= enough) & ((F.least(i, j) + behind) * (NUM + DEN) >= enough)
@@ -210,27 +242,30 @@ def _meet(marked: DataFrame, part: int) -> DataFrame:
     The smaller set, y here, shares NUM 2 / (NUM + DEN) of its words or more, so
     a shorter prefix does; of equal sizes, y is the earlier one.  A set meets
     others of its size class; as the smaller one it is sent to each class in
-    which a similar larger set can be.
+    which a similar larger set can be, to a higher one with the still shorter
+    prefix that the least size there asks for.
     """
-    def words(most: Column, first: Column, last: Column) -> DataFrame:
-        own = marked.select(*_ORDER, "n", *_BITS, "lost", F.sequence(first, last).alias("classes"),
-                            F.posexplode(F.slice("prefix", F.lit(1), most)).alias("at", "word"))
-        own = own.select(*_ORDER, "n", *_BITS, "lost", "at", "word", F.explode("classes").alias("class"))
-        return own.withColumn("word", F.xxhash64("word", "class")).drop("class").where(F.pmod("word", F.lit(PARTS)) == part)
+    def words(most: Column, classes: Column | None) -> DataFrame:
+        return _word_rows(marked, most, classes, F.col("lost")).where(F.pmod("word", F.lit(PARTS)) == part)
 
     n = F.col("n")
-    own = _size_class(n)
-    large = words(F.size("prefix"), own, own)
-    small = words(_short_prefix(), own, _size_class(F.floor(n * DEN / NUM)))
+    large = words(F.size("prefix"), None)
+    small = words(_short_prefix(F.greatest(n, _least_of_class(F.col("class")))), F.sequence(_size_class(n), _size_class(F.floor(n * DEN / NUM))))
     later = _before("y", "x")
-    wanted = _near("x", "y") & _early_enough() & ~F.when(later, F.col("x.lost")).otherwise(F.col("y.lost"))
-    once = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & later)
+    wanted = _near("x", "y") & _early_enough() & ~F.when(later, _lost("x")).otherwise(_lost("y"))
+    once = (_n("x") > _n("y")) | ((_n("x") == _n("y")) & later)
     return _pairs(large.alias("x").join(small.alias("y"), (F.col("x.word") == F.col("y.word")) & wanted & once), later)
 
 
-def _short_prefix() -> Column:
-    """Words of a set of n that hold the first word it shares with any similar set that is not smaller."""
-    return F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM)).cast("int") + 1
+def _least_of_class(c: Column) -> Column:
+    """No set of size class ``c`` is smaller (rounding cannot make it larger than the least)."""
+    return F.floor(F.pow(F.lit(CLASS), c) * (1 - 1e-9))
+
+
+def _short_prefix(least: Column | None = None) -> Column:
+    """Words of a set of n that hold the first word it shares with any similar set of ``least`` words (n if None) or more, n at least."""
+    n = F.col("n")
+    return (n - F.ceil((n + (n if least is None else least)) * NUM / (NUM + DEN)) + 1).cast("int")
 
 
 def _once(parts: list[DataFrame]) -> DataFrame:
@@ -253,17 +288,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _places(both.where(F.col("shared") * (NUM + DEN) >= F.col("both") * NUM), _X).distinct()
 
 
-def _with_leads(sets: DataFrame, part: int) -> DataFrame:
-    """Pairs of a set and the earliest set of its size class at a word of its short prefix; of the words, one of ``LEAD_PARTS`` parts.
+def _with_leads(sets: DataFrame) -> DataFrame:
+    """Pairs of a set and the earliest set of its size class at a word of its short prefix that more than ``CROWD`` sets share there.
 
     What this misses, the second step finds.
     """
-    words = sets.select(*_ORDER, "n", *_BITS, _size_class(F.col("n")).alias("class"),
-                        F.explode(F.slice("prefix", F.lit(1), _short_prefix())).alias("word"))
-    words = words.withColumn("word", F.xxhash64("word", "class")).drop("class").where(F.pmod("word", F.lit(LEAD_PARTS)) == part)
-    leads = words.groupBy("word").agg(F.min(F.struct(*_ORDER, "n", *_BITS)).alias("lead")).select("word", "lead.*")
+    words = _word_rows(sets, _short_prefix())
+    crowds = save(words.groupBy("word").count().where(F.col("count") > CROWD).select("word"), "line-crowds")
+    words = save(words.join(crowds, "word", "left_semi"), "line-crowds")
+    leads = words.groupBy("word").agg(F.min(F.struct(*_ORDER, "tag", "bits", "wide")).alias("lead")).select("word", "lead.*")
     met = words.alias("x").join(leads.alias("y"), (F.col("x.word") == F.col("y.word")) & _near("x", "y") & _before("y", "x"))
-    return _pairs(met, F.lit(True))
+    met = save(_pairs(met, F.lit(True)), "line-leads")
+    for done in (crowds, words):
+        delete(done)
+    return met
 
 
 def _maybe_among(places: DataFrame, rows: int) -> Column:
@@ -316,32 +354,30 @@ def removed_lines(docs: DataFrame, unique: bool) -> DataFrame:
     keyed = save(keyed.select(*_ORDER, n.alias("n"), F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"),
                               *_bitmaps(n), F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
 
-    # Sets of up to three words are similar to equal sets only.
     first = F.min(F.struct(*_ORDER)).alias("at")
-    sets = keyed.where(F.col("n") * DEN >= (F.col("n") + 1) * NUM).groupBy("sig", "sig2").agg(
-        first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in (*_BITS, "prefix")])
-    sets = save(sets.select("at.*", "n", *_BITS, "prefix"), "line-sets")
+    sets = keyed.where("n > 0").groupBy("sig", "sig2").agg(first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in (*_BITS, "prefix")])
+    sets = save(sets.select("sig", "sig2", "at.*", "n", *_BITS, "prefix"), "line-sets")
     signed = save(keyed.where("n > 0").select(*_ORDER, "sig", "sig2"), "line-signatures")
     delete(keyed)
 
     once = lines if unique else lines.dropDuplicates(_ORDER)
-    # One earlier partner is enough for a line to go: sets first meet only the earliest set at each prefix
-    # word, and what still stands then meets all others there.
-    first_met = [save(_with_leads(sets, part), "line-leads") for part in range(LEAD_PARTS)]
-    gone = _gone(_once(first_met), once)
-    for done in first_met:
-        delete(done)
+    # Sets of up to three words are similar to equal sets only.
+    several = F.col("n") * DEN >= (F.col("n") + 1) * NUM
+    # One earlier partner is enough for a line to go: where many sets share a prefix word, they first meet only
+    # the earliest of them, and what still stands then meets all others there.
+    first_met = _with_leads(sets.where(several))
+    gone = _gone(first_met, once)
+    delete(first_met)
     lost = F.col("lost").isNotNull().alias("lost")
-    marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select(*_ORDER, "n", *_BITS, lost, "prefix"), "line-sets")
+    marked = save(sets.join(gone.withColumn("lost", F.lit(True)), _ORDER, "left").select("sig", "sig2", *_ORDER, "n", *_BITS, lost, "prefix"), "line-sets")
     delete(sets)
-    met = [save(_meet(marked, part), "line-met") for part in range(PARTS)]
-    gone = gone.union(_gone(_once(met), once))
-    for done in (marked, *met):
+    met = [save(_meet(marked.where(several), part), "line-met") for part in range(PARTS)]
+    late = _gone(_once(met), once)
+    for done in met:
         delete(done)
 
-    firsts = signed.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "at.*")
-    firsts = firsts.join(gone.distinct().withColumn("lost", F.lit(True)), _ORDER, "left")
-    firsts = firsts.select("sig", "sig2", F.struct(*_ORDER).alias("first"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    firsts = marked.select("sig", "sig2", F.col("lost").alias("early"), *_ORDER).join(late.distinct().withColumn("late", F.lit(True)), _ORDER, "left")
+    firsts = firsts.select("sig", "sig2", F.struct(*_ORDER).alias("first"), (F.col("early") | F.col("late").isNotNull()).alias("lost"))
     judged = signed.join(firsts, ["sig", "sig2"])
     return judged.where(F.col("lost") | (F.struct(*_ORDER) != F.col("first"))).select(*_ORDER).distinct()
 
