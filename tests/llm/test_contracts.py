@@ -94,7 +94,7 @@ def test_crowds_of_similar_lines_of_all_sizes(spark):
     rng, rows = random.Random(6), []
     for crowd, size in enumerate((6, 11, 17, 25, 60, 130)):
         base = [f"c{crowd}w{j}" for j in range(size)]
-        for _ in range(70):
+        for _ in range(line_dedup.CROWD + 22):
             words = [w for w in base if rng.random() > 0.1] + [f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + size // 8))]
             rng.shuffle(words)
             rows.append((rng.randrange(10**9), " ".join(words)))

@@ -39,7 +39,7 @@ from tideline.llm.common import delete, ids_are_unique, save, table
 
 NUM, DEN = 4, 5      # similarity 0.8
 BUCKETS = 1 << 16    # hash buckets of words whose corpus counts give rarity
-CROWD = 32           # sets at a word from which they first meet the earliest of them only
+CROWD = 128          # sets at a word from which they first meet the earliest of them only
 PARTS = 2            # parts of the words in the second step
 CLASS = 1.5          # ratio of the sizes that make a size class
 MOST_LONGS = 1 << 20  # longs of the table that tells which lines' texts are needed: 8 MB
